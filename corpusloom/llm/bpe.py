@@ -46,6 +46,7 @@ class Bpe:
         ranks = {bytes(map(back.__getitem__, s)): i for s, i in vocab.items() if s != SPECIAL}
         self._plain, self._ahead = (tiktoken.Encoding("bpe", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PLAIN, AHEAD))
         self._library = Tokenizer.from_file(json_path)
+        self.size = self._library.get_vocab_size()
 
     def ids(self, text: str) -> list[int]:
         if SPECIAL in text:

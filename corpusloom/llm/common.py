@@ -29,11 +29,11 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corpusloom/{what}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, what: str) -> DataFrame:
+def keep(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
