@@ -53,6 +53,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm.decontam import find_overlaps
+
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import chat
 
@@ -84,7 +90,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_training_order, op3_secret_scan, op5_chat_format, op6_best_fit_packing, op7_language_id, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_training_order, op3_secret_scan, op4_decontamination, op5_chat_format, op6_best_fit_packing, op7_language_id, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
