@@ -89,8 +89,30 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import licenses
+
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.train(spark))
+    return found.filter("confirmed").select("doc_id", "start", "end", "family", "probability", "shared")
+
+
+def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents, take the toxic ones back, count those of low quality anew with an end id each, and send both batches again."""
+    from corpusloom.llm.rollups import Ledger, count_tokens
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ledger = Ledger(spark, common.fresh_path(spark, "rollups"))
+    ledger.apply("load", inserts=count_tokens(docs, bpe_path()).withColumn("tokenizer", F.lit("byte_bpe_50k")))
+    toxic, low = (labels.filter(F.col(c) == v).select("doc_id").distinct() for c, v in (("toxic", 1), ("quality", 0)))
+    for _ in range(2):
+        ledger.apply("toxic", deletes=toxic)
+        counted = ledger.current().filter("tokenizer = 'byte_bpe_50k'").join(low, "doc_id", "left_semi")
+        ledger.apply("end-ids", revised=counted.select("doc_id", "source", "lang", F.lit("byte_bpe_50k+end").alias("tokenizer"), (F.col("n_tokens") + F.col("n_docs")).alias("n_tokens")))
+    return ledger.totals()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_training_order, op3_secret_scan, op4_decontamination, op5_chat_format, op6_best_fit_packing, op7_language_id, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_training_order, op3_secret_scan, op4_decontamination, op5_chat_format, op6_best_fit_packing, op7_language_id, op8_simhash_near_dedup, op9_license_scan, op10_token_rollups)}
 
 
 def oracle_sql() -> dict[str, str]:

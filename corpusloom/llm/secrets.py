@@ -31,6 +31,8 @@ PATTERNS = {
     "break": "\\n[\\x20\\t\\r]*\\n",
 }
 KINDS = list(PATTERNS)
+#: In a text without this there is no weak candidate; it may be there without one.
+WEAK = "|".join([PATTERNS["ident"], PATTERNS["blob"], PATTERNS["endpoint"], _named("password|passwd|secret|token|api_?key", "[A-Za-z0-9+/_.=-]{1,5}(?![A-Za-z0-9+/_.=-])")])
 BASE, ORDER = ("assign", "access", "hex"), ("assign", "access", "hex", "ident", "blob", "endpoint", "short")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
@@ -55,7 +57,7 @@ def places(text: Column, pattern: str) -> Column:
 def _parts(kind: str, text: Column) -> Column:
     """array<struct<s, k, e>> of a kind's candidates; k is the place of the kind in ORDER, 9 for a blank line."""
     found = places(text, PATTERNS[kind])
-    if kind == "assign":  # the value is the match's tail after the first sign of its name's end: of values, too short ones are weak
+    if kind == "assign":  # a value that is too short makes it a weak candidate
         value = lambda m: F.length(F.regexp_extract(m, PATTERNS["assign"], 2))
         return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.when(value(x["m"]) >= LEAST["assign"], 0).otherwise(6).alias("k"), x["e"].alias("e")))
     if kind in LEAST:
@@ -79,13 +81,14 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     an endpoint with both a secret and an identifier near it. `Near`: the starts lie at most `reach` code points apart, in one scope.
 
     A null text counts as empty. Repeated rows are rows of their own; null ids are carried. An empty table gives no rows.
-    Only what the scan finds is shuffled, never texts.
+    Rows without a weak candidate are done where they lie; only the others, with their columns of `carry`, are shuffled for the link.
     """
     columns = [id_column] if carry is None else carry
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = docs.select(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).alias("own"), F.monotonically_increasing_id().alias("row"), F.concat(*(_parts(k, text) for k in KINDS)).alias("parts"))
-    # a text without a weak candidate needs no link: its row goes on with its base finds alone
-    rows = rows.select("own", "row", F.filter("parts", lambda x: x["k"] < 3).alias("base"), F.when(F.exists("parts", lambda x: x["k"].between(3, 6)), F.array_sort("parts")).alias("parts"))
+    alone = F.array_sort(F.filter(F.concat(*(_parts(k, text) for k in BASE)), lambda x: x["k"] < 3))
+    plain = docs.filter(~text.rlike(WEAK)).select(*columns, alone.alias("base")).withColumn("spans", F.col("base"))
+    rows = docs.filter(text.rlike(WEAK)).select(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).alias("own"), F.monotonically_increasing_id().alias("row"), F.concat(*(_parts(k, text) for k in KINDS)).alias("parts"))
+    rows = rows.select("own", "row", F.filter("parts", lambda x: x["k"] < 3).alias("base"), F.array_sort("parts").alias("parts"))
     parts = rows.select("own", "row", "base", F.posexplode_outer("parts").alias("pos", "part")).select(F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct("own", "base")).alias("first"), "row", "part.*").repartition("row")
     scope = F.sum(F.when(F.col("k") == 9, 1).otherwise(0)).over(Window.partitionBy("row").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = Window.partitionBy("row", "scope").orderBy("s").rangeBetween(-reach, reach)
@@ -94,7 +97,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     tied = parts.withColumn("scope", F.coalesce(scope, F.lit(0))).withColumns({"id": has(1, 3), "secret": has(0, 2, 4, 6), "place": has(5)})
     reported = F.col("k").isin(3) & F.col("secret") | F.col("k").isin(4, 6) & (F.col("id") | F.col("place")) | F.col("k").isin(5) & F.col("secret") & F.col("id")
     again = tied.groupBy("row").agg(F.first("first", ignorenulls=True).alias("first"), F.collect_list(F.when(reported, F.struct("s", "k", "e"))).alias("weak"))
-    return again.select(*(F.col(f"first.own.c{i}").alias(c) for i, c in enumerate(columns)), F.col("first.base").alias("base"), F.array_sort(F.concat("first.base", "weak")).alias("spans"))
+    linked = again.select(*(F.col(f"first.own.c{i}").alias(c) for i, c in enumerate(columns)), F.array_sort("first.base").alias("base"), F.array_sort(F.concat("first.base", "weak")).alias("spans"))
+    return plain.union(linked)
 
 
 def digests(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
