@@ -38,7 +38,8 @@ class Ledger:
     log/<batch>: a row for each document, source, lang and tokenizer: n_docs and n_tokens, signed.
     totals/<batch>: the batch's sums by source, lang and tokenizer. All totals are sums over batches, a few rows each.
 
-    apply() does nothing for a batch already committed, also after a crash between its steps, so a batch may be sent again and again.
+    A batch is committed once its totals stand; apply() does nothing for it then, and does all anew for one that a crash left half done, so a
+    batch may be sent again and again.
     One writer at a time; readers see whole batches only.
     """
 
@@ -62,15 +63,15 @@ class Ledger:
 
     def batches(self) -> list[str]:
         """Names of committed batches."""
-        return [r["batch"] for r in self._read("totals", "batch string").select("batch").distinct().collect()] if self._names("totals") else []
+        return self._names("totals")
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        names = self._names(kind)
+    def _read(self, kind: str, schema: str, only: list[str] | None = None) -> DataFrame:
+        names = [n for n in self._names(kind) if only is None or n in only]
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{kind}/{n}" for n in names)) if names else self.spark.createDataFrame([], schema)
 
     def current(self) -> DataFrame:
         """Net counts by document and key; rows that sum to nothing are gone."""
-        return self._read("log", LOG).groupBy("doc_id", *KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
+        return self._read("log", LOG, self.batches()).groupBy("doc_id", *KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
 
     def apply(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revised: DataFrame | None = None) -> bool:
         """Commit a batch once; False if it is committed already.
@@ -84,26 +85,26 @@ class Ledger:
             raise ValueError(f"not a batch name: {batch!r}")
         if batch in self.batches():
             return False
-        if batch not in self._names("log"):
-            plus = lambda df: df.select("doc_id", *KEYS, F.lit(1).cast("long").alias("n_docs"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
-            parts = [plus(df) for df in (inserts, revised) if df is not None]
-            gone = [df.select("doc_id") for df in (deletes, revised) if df is not None]
-            if gone:
-                ids = gone[0] if len(gone) == 1 else gone[0].union(gone[1])
-                parts.append(self.current().join(ids.distinct(), "doc_id", "left_semi").select("doc_id", *KEYS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")))
-            if not parts:
-                parts = [self.spark.createDataFrame([], LOG)]
-            rows = parts[0]
-            for more in parts[1:]:
-                rows = rows.unionByName(more)
-            self._publish(rows, "log", batch)
+        plus = lambda df: df.select("doc_id", *KEYS, F.lit(1).cast("long").alias("n_docs"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
+        parts = [plus(df) for df in (inserts, revised) if df is not None]
+        gone = [df.select("doc_id") for df in (deletes, revised) if df is not None]
+        if gone:
+            ids = gone[0] if len(gone) == 1 else gone[0].union(gone[1])
+            parts.append(self.current().join(ids.distinct(), "doc_id", "left_semi").select("doc_id", *KEYS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens")))
+        if not parts:
+            parts = [self.spark.createDataFrame([], LOG)]
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        fs, left = self._at(f"log/{batch}")
+        fs.delete(left, True)
+        self._publish(rows, "log", batch)
         own = self.spark.read.schema(LOG).parquet(f"{self.path}/log/{batch}")
-        sums = own.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).withColumn("batch", F.lit(batch))
-        mark = self.spark.createDataFrame([(None, None, None, 0, 0, batch)], "source string, lang string, tokenizer string, n_docs long, n_tokens long, batch string")
-        self._publish(sums.unionByName(mark).coalesce(1), "totals", batch)
+        sums = own.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        self._publish(sums.coalesce(1), "totals", batch)
         return True
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches; keys whose counts are 0 are left out."""
-        rows = self._read("totals", "source string, lang string, tokenizer string, n_docs long, n_tokens long, batch string")
+        rows = self._read("totals", "source string, lang string, tokenizer string, n_docs long, n_tokens long")
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
