@@ -67,11 +67,18 @@ def _truth(node: Node, number: dict[Phrase, int]) -> Column:
     return left & right if isinstance(node, And) else left | right if isinstance(node, Or) else left & ~right
 
 
+def _gain(node: Node, number: dict[Phrase, int]) -> Column:
+    """Sum of the phrases' parts; those below a node that the row doesn't satisfy don't count."""
+    if isinstance(node, Phrase):
+        return F.coalesce(F.col(f"p{number[node]}"), F.lit(0.0))
+    return F.when(_truth(node, number), _gain(node.left, number) + _gain(node.right, number)).otherwise(F.lit(0.0))
+
+
 def bm25(index: Index, query: Node) -> DataFrame:
     """(key, score) of the rows that match; lower scores are better.
 
     score = -sum over phrases of idf * f * (k1 + 1) / (f + k1 * (1 - b + b * len / mean len)), idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 at
-    least; n counts the rows that hold the phrase anywhere, so filters applied to the result never change scores.
+    least; a phrase below a part of the query that the row doesn't satisfy adds nothing. n counts the rows that hold the phrase anywhere, so filters applied to the result never change scores.
     """
     wanted = list(dict.fromkeys(phrases(query)))
     number = {p: i for i, p in enumerate(wanted)}
@@ -81,11 +88,9 @@ def bm25(index: Index, query: Node) -> DataFrame:
     # one row for each phrase: a broadcast of at most the query's own size
     idf = held.withColumn("one", F.lit(0)).join(F.broadcast(corpus), "one").select("k", "mean", F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    times = [sum(1 for p in phrases(query) if p == w) for w in wanted]
-    often = F.element_at(F.array(*map(F.lit, times)), F.col("k") + 1)
-    scored = found.join(F.broadcast(idf), "k").join(index.lengths, index.key).withColumn("part", part * often)
-    flags = [F.max(F.when(F.col("k") == i, F.col("f"))).alias(f"f{i}") for i in range(len(wanted))]
-    return scored.groupBy(index.key).agg((-F.sum("part")).alias("score"), *flags).filter(_truth(query, number)).select(index.key, "score")
+    scored = found.join(F.broadcast(idf), "k").join(index.lengths, index.key).withColumn("part", part)
+    each = [F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{n}{i}") for i in range(len(wanted)) for n, c in (("f", "f"), ("p", "part"))]
+    return scored.groupBy(index.key).agg(*each).filter(_truth(query, number)).select(index.key, (-_gain(query, number)).alias("score"))
 
 
 __all__ = ["And", "Index", "Not", "Or", "Phrase", "bm25", "build", "occurrences"]

@@ -42,21 +42,33 @@ SOURCES = "src AS (SELECT 'doc_' || doc_id AS slug, CAST(DATE '2020-01-01' + CAS
 def bm25_sql(rows: str, columns: list[str], said: str, truth: str) -> str:
     """CTEs up to scored(key, score): matches of the query's phrases in DuckDB, by self-joins of the postings."""
     wanted = list(dict.fromkeys(phrases(parse(said).node)))
+
+    def holds(node) -> str:
+        if isinstance(node, index.Phrase):
+            return f"(coalesce(f{wanted.index(node)}, 0) > 0)"
+        sign = {index.And: "AND", index.Or: "OR", index.Not: "AND NOT"}[type(node)]
+        return f"({holds(node.left)} {sign} {holds(node.right)})"
+
+    def gain(node) -> str:
+        if isinstance(node, index.Phrase):
+            return f"coalesce(p{wanted.index(node)}, 0)"
+        return f"CASE WHEN {holds(node)} THEN {gain(node.left)} + {gain(node.right)} ELSE 0 END"
+
     toks = " UNION ALL ".join(f"SELECT key, {i} AS col, regexp_extract_all(strip_accents(lower(CAST({c} AS VARCHAR))), '[\\p{{L}}\\p{{N}}]+') AS t FROM rows_" for i, c in enumerate(columns))
     parts, ctes = [], []
     for k, p in enumerate(wanted):
         fits = lambda a, i, p=p: f"starts_with({a}.term, '{p.tokens[i]}')" if p.prefix and i == len(p.tokens) - 1 else f"{a}.term = '{p.tokens[i]}'"
         joins = " ".join(f"JOIN post a{i} ON a{i}.key = a0.key AND a{i}.col = a0.col AND a{i}.pos = a0.pos + {i} AND {fits(f'a{i}', i)}" for i in range(1, len(p.tokens)))
         parts.append(f"SELECT a0.key, {k} AS k, count(*) AS f FROM post a0 {joins} WHERE {fits('a0', 0)} GROUP BY a0.key")
-        ctes.append(f"max(CASE WHEN k = {k} THEN f END) AS f{k}")
+        ctes.append(f"max(CASE WHEN k = {k} THEN f END) AS f{k}, max(CASE WHEN k = {k} THEN idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)) END) AS p{k}")
     return f"""{rows}, toks AS ({toks}),
 post AS (SELECT key, col, unnest(t) AS term, unnest(range(len(t))) AS pos FROM toks),
 lens AS (SELECT key, sum(len(t)) AS len FROM toks GROUP BY key),
 corpus AS (SELECT count(*) AS total, sum(len) / count(*) AS mean FROM lens),
 found AS ({' UNION ALL '.join(parts)}),
 idf AS (SELECT k, greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) AS idf FROM (SELECT k, count(*) AS n FROM found GROUP BY k), corpus),
-flagged AS (SELECT found.key, -sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))) AS score, {', '.join(ctes)} FROM found JOIN idf USING (k) JOIN lens USING (key), corpus GROUP BY found.key),
-scored AS (SELECT key, round(score, 9) AS score FROM flagged WHERE {truth})"""
+flagged AS (SELECT found.key, {', '.join(ctes)} FROM found JOIN idf USING (k) JOIN lens USING (key), corpus GROUP BY found.key),
+scored AS (SELECT key, round(-({gain(parse(said).node)}), 9) AS score FROM flagged WHERE {truth})"""
 
 
 TOP = "SELECT slug, key, CAST(row_number() OVER (ORDER BY score, key) AS INTEGER) AS rank, round(score, 6) AS score FROM {source} ORDER BY score, key LIMIT {n}"
