@@ -562,3 +562,57 @@ def ordered_dedupe(spark, sf):
 def reject_rates(spark, sf):
     rate = F.avg(F.when(F.col("l_discount") > 0.05, 1.0).otherwise(0.0))
     return corpus.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("source")).agg(F.count("*").alias("n"), F.round(rate, 6).alias("rejected"), ((F.count("*") >= 10) & (rate > 0.5)).alias("warn"))
+
+
+# ---- other formats, classification
+
+
+TAXONOMY = '{"domains":[{"name":"rag","description":"d","collections":[{"name":"Dense retrieval","description":"x"},{"name":"Agents","description":"y"}]},{"name":"vision","description":"","collections":[]}],"merge_notes":1}'
+MODS = """<modsCollection xmlns="http://www.loc.gov/mods/v3"><mods><titleInfo><title>Big Title</title><subTitle>with a tail</subTitle></titleInfo><name type="personal"><namePart type="given">Ann</namePart><namePart type="family">Lee</namePart><role><roleTerm>author</roleTerm></role></name><name type="personal"><namePart type="given">Ed</namePart><namePart type="family">Itor</namePart><role><roleTerm>editor</roleTerm></role></name><originInfo><dateIssued>2021-08</dateIssued></originInfo></mods></modsCollection>"""
+NOTEBOOK = '{"cells":[{"cell_type":"markdown","source":["# Hi\\n","there"]},{"cell_type":"code","source":"x = 1","outputs":[{"text":"no"}]},{"cell_type":"raw","source":["z"]}]}'
+POST = "See arXiv:2310.08560v2 and https://arxiv.org/abs/2401.00001, again arXiv: 2310.08560. Old: arXiv:CS/0701006"
+
+
+@query("SELECT * FROM (VALUES ('rag', 'Dense retrieval', 'x'), ('rag', 'Agents', 'y'), ('vision', NULL, NULL)) AS t(domain, collection, description)")
+def taxonomy_json(spark, sf):
+    from corpusloom.sources.formats import taxonomy as read
+
+    return read(spark.createDataFrame([(TAXONOMY,)], "j string"), "j")
+
+
+@query("SELECT 'Big Title: with a tail' AS title, 'Ann Lee' AS authors, '2021-01-01' AS date")
+def anthology_record(spark, sf):
+    from corpusloom.sources.formats import mods
+
+    return spark.createDataFrame([(MODS,)], "x string").select(mods(F.col("x")).alias("m")).select("m.title", F.array_join("m.authors", ";").alias("authors"), "m.date")
+
+
+@query("SELECT '# %% [markdown]' || chr(10) || '# Hi' || chr(10) || 'there' || chr(10) || chr(10) || '# %%' || chr(10) || 'x = 1' AS flat")
+def notebook_flat(spark, sf):
+    from corpusloom.sources.formats import notebook
+
+    return spark.createDataFrame([(NOTEBOOK,)], "c string").select(notebook(F.col("c")).alias("flat"))
+
+
+@query("SELECT * FROM (VALUES (1, '2310.08560'), (1, '2401.00001'), (1, 'cs/0701006')) AS t(id, cited)")
+def post_citations(spark, sf):
+    from corpusloom.sources.formats import post_references
+
+    return post_references(spark.createDataFrame([(1, POST), (2, "none")], "id int, t string"), "id", "t").select("id", "cited")
+
+
+@query("SELECT * FROM (VALUES ('p1', 'rag', 'Agents', true, false), ('p1', 'rag', 'Dense retrieval', false, false), ('p2', 'new_field', 'Fresh', true, true), ('p3', 'vision', 'Nets', true, true), ('p4', 'rag', 'Agents', true, false)) AS t(slug, domain, collection, is_primary, needs_review)")
+def classification_decisions(spark, sf):
+    from corpusloom.operators.classify import decide
+    from corpusloom.sources.formats import taxonomy as read
+
+    schema = "slug string, domain_index int, new_domain string, picks array<struct<index:int,new_name:string>>"
+    rows = [("p1", 0, None, [(0, None), (1, None), (0, None)]), ("p2", -1, "New Field", [(None, "Fresh")]), ("p3", 1, None, [(None, "Nets"), (7, None)]), ("p4", -1, "RAG", [(None, "agents")])]
+    return decide(spark.createDataFrame(rows, schema), read(spark.createDataFrame([(TAXONOMY,)], "j string"), "j")).drop("place")
+
+
+@query("""SELECT CAST(rank AS INTEGER) AS rank, slug FROM (SELECT slug, row_number() OVER (PARTITION BY kind ORDER BY n) AS rank FROM (SELECT 'doc_' || doc_id AS slug, lang AS kind, doc_id AS n FROM documents)) WHERE rank = 1""")
+def first_of_kind(spark, sf):
+    own = corpus.sources(spark, sf)
+    w = Window.partitionBy("domain").orderBy("id")
+    return own.withColumn("rank", F.row_number().over(w)).filter("rank = 1").select("rank", "slug")
