@@ -29,8 +29,6 @@ def test_ratio_is_the_indel_ratio():
 
 
 def test_resolver_tiers_and_order(spark):
-    import numpy as np
-
     unit = lambda deg: [float(math.cos(math.radians(deg))), float(math.sin(math.radians(deg)))]
     terms = spark.createDataFrame([(1, "d", "t", "ColBERT", unit(0)), (2, "d", "t", "Dense Passage Retrieval", unit(90)), (3, "e", "t", "ColBERT", None)], "term_id long, domain string, term_type string, canonical_name string, vector array<float>")
     aliases = spark.createDataFrame([(2, "DPR")], "term_id long, alias string")
@@ -38,7 +36,6 @@ def test_resolver_tiers_and_order(spark):
     df = spark.createDataFrame([(o, r, "d", "t", v) for o, r, v, _, _ in names], "ord long, raw string, domain string, term_type string, vector array<float>")
     got = {r["ord"]: (r["term_id"], r["tier"]) for r in resolve.resolve(df, terms, aliases).collect()}
     assert got == {o: (t, k) for o, _, _, t, k in names}
-    assert np is not None
 
 
 def test_changes(spark):
