@@ -8,6 +8,7 @@ three-word shingles occur in the family's templates. Training uses the templates
 from __future__ import annotations
 
 import random
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -117,15 +118,12 @@ def train(spark: SparkSession, false_rate: float = 0.01) -> Model:
     """Fit on the fixed rows outside the held-out quarter; the threshold is the probability that false_rate of held-out others exceed, 0.5 at least."""
     rows = spark.createDataFrame([(s, float(FAMILIES.index(f)), h) for s, f, h in _training_rows()], "sentence string, label double, held boolean").coalesce(1)
     data = _vectors(rows, "sentence").select("__vector", "label", "held")
-    weights = F.when(F.col("label") == 0, 1.0).otherwise(1.0)
-    fitted = LogisticRegression(featuresCol="__vector", labelCol="label", weightCol="w", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction", family="multinomial", regParam=1e-3, maxIter=60).fit(data.filter("not held").withColumn("w", weights))
+    fitted = LogisticRegression(featuresCol="__vector", labelCol="label", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction", family="multinomial", regParam=1e-3, maxIter=60).fit(data.filter("not held"))
     limit = _probable(data.filter("held and label = 0"), fitted).agg(F.percentile("__p", F.lit(1 - false_rate))).first()[0]
     return Model(fitted, max(0.5, float(limit or 0.5)))
 
 
 def _shingles(texts: list[str]) -> list[str]:
-    import re
-
     found = set()
     for t in texts:
         words = re.findall(r"[a-z0-9]+(?:[.+-][a-z0-9]+)?", t.lower())

@@ -1,10 +1,5 @@
-import re
-import zlib
-
 import corpus_pipeline
-from corpusloom.llm.bpe import tokenizer
 from corpusloom.llm.langid import has_letter
-from corpusloom.llm.queries import bpe_path
 from test_decontam import needed, plain_best, plain_words
 from test_packing import check_packed
 from test_secrets import ORDER, plain
@@ -12,7 +7,6 @@ from test_simhash import near_pairs, plain_fingerprint, roots
 
 
 def redacted(text):
-    spans = [tuple(map(int, s.split(":")[1:])) for s in plain(text)[2].split(",") if s]
     order = {k: i for i, k in enumerate(ORDER)}
     spans = [(s, e) for s, _, e in sorted((int(s.split(":")[1]), order[s.split(":")[0]], int(s.split(":")[2])) for s in plain(text)[2].split(",") if s)]
     out, at = "", 0
@@ -61,4 +55,3 @@ def test_stages_keep_columns_and_stand_hard_rows(spark, sf):
             assert {r["doc_id"]: r["n_chars"] for r in df.collect()}[6] == len(kept[6])
         else:
             assert not out
-    assert re and zlib and tokenizer(bpe_path())
