@@ -139,3 +139,14 @@ def predict(docs: DataFrame, model: Model | None, id_column: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return spread(docs.select(*columns, F.col(text_column).alias("__text"))).mapInArrow(run, schema)
+
+
+def lettered(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The rows whose text has a letter: those that predict() names a language for, were there a model."""
+    place = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_column):
+            yield batch.filter(pa.array([has_letter(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return spread(docs).mapInArrow(run, docs.schema)
