@@ -20,8 +20,8 @@ def bucket(resolved: DataFrame) -> DataFrame:
 
 
 def outbound(resolved: DataFrame, most: int = 500) -> DataFrame:
-    """Per source the counts of each bucket over its first `most` references, and whether there are more."""
-    w = Window.partitionBy("src").orderBy("ref_number")
+    """Per source the counts of each bucket over its first `most` references (by ref_number, then cited and cited_id; nulls last), and whether there are more."""
+    w = Window.partitionBy("src").orderBy(*map(F.asc_nulls_last, ("ref_number", "cited", "cited_id")))
     own = bucket(resolved).withColumn("place", F.row_number().over(w))
     kept = F.col("place") <= most
     per = [F.count(F.when(kept & (F.col("bucket") == b), 1)).alias(b) for b in ("resolved", "missing", "unresolvable")]

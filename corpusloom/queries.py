@@ -253,6 +253,13 @@ def citations_outbound(spark, sf):
     return graph.outbound(own.join(alone, "src", "left_semi"), most=3)
 
 
+@query(f"""WITH {EDGES}, placed AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ref_number NULLS LAST, cited NULLS LAST, cited_id NULLS LAST) AS place FROM done)
+SELECT src, count(*) FILTER (place <= 3 AND cited_id IS NOT NULL) AS resolved, count(*) FILTER (place <= 3 AND cited_id IS NULL AND cited IS NOT NULL) AS missing,
+count(*) FILTER (place <= 3 AND cited IS NULL) AS unresolvable, count(*) > 3 AS truncated FROM placed GROUP BY src""")
+def citations_outbound_all(spark, sf):
+    return graph.outbound(_resolved(spark, sf), most=3)
+
+
 @query(f"""WITH {EDGES}, citing AS (SELECT DISTINCT cited_id, src, o_orderdate AS date FROM done JOIN orders ON o_orderkey = src WHERE cited_id IS NOT NULL)
 SELECT cited_id, src, date, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY cited_id ORDER BY date DESC NULLS LAST, src) AS place FROM citing) WHERE place BETWEEN 3 AND 7""")
 def citations_inbound(spark, sf):
