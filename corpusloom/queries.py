@@ -312,6 +312,14 @@ def nearest_in_scope(spark, sf):
     return resolve.neighbours(q, own.select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), F.col("embedding").alias("v"))).withColumn("cosine", F.round("cosine", 6))
 
 
+@query("""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 9) AS cosine FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id <> b.vec_id)
+SELECT query_id, id, round(cosine, 6) AS cosine, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS place FROM d) WHERE place <= 10""")
+def nearest_in_scope_all(spark, sf):
+    own = corpus.table(spark, sf, "embeddings")
+    q = own.select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("embedding").alias("q"))
+    return resolve.neighbours(q, own.select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), F.col("embedding").alias("v"))).withColumn("cosine", F.round("cosine", 6))
+
+
 @query("""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE))), 9) AS cosine FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id <> b.vec_id),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS place FROM d) WHERE place <= 10),
 o AS (SELECT *, CASE WHEN place = 1 THEN cosine >= 0.3 ELSE cosine >= 0.88 * lag(cosine) OVER (PARTITION BY query_id ORDER BY place) END AS ok FROM k),
