@@ -93,7 +93,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import licenses
 
     found = licenses.scan(table(spark, sf_dir, "documents"), licenses.train(spark))
-    return found.filter("confirmed").select("doc_id", "start", "end", "family", "probability", "shared")
+    return found.select("doc_id", "start", "end", "family", "probability", "shared", "confirmed")
 
 
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
