@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +44,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, most: int = 50_000, least: int = 1_000) -> DataFrame:
+    """Inner join of rows to `keyed`, which has one row a key and in `n` the number of rows with it (dropped).
+
+    Keys that stand in more than a `most`-th of the rows (and in over `least` of them) are broadcast: no more than `most` can, whatever the tables'
+    size. Their rows stay where they lie; only the others, none of them hot, are shuffled by key.
+    """
+    limit = keyed.agg(F.greatest(F.lit(least).cast("long"), F.expr(f"sum(n) div {most}"))).scalar()
+    hot = F.broadcast(keyed.filter(F.col("n") > limit).drop("n"))
+    rest = rows.join(F.broadcast(keyed.filter(F.col("n") > limit).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(keyed.filter(F.col("n") <= limit).drop("n"), key))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that `column` (string) holds about most_bytes in each; a longer value is a slice of its own."""
     for batch in batches:

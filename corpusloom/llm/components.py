@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import keep
+from corpusloom.llm.common import hot_join, keep
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -16,14 +16,14 @@ def _mark(links: DataFrame) -> tuple:
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Large star: each node's larger neighbours go to its smallest; small star: its smaller neighbours and itself do.
 
-    The smallest neighbour is a partial aggregate and is joined back, so a node with very many links is never gathered.
+    The smallest neighbour is a partial aggregate; it is joined back by hot_join, so a node with very many links is never gathered.
     """
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
     if large:
-        moved = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = hot_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        moved = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        moved = hot_join(both, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return moved.filter("u <> v").distinct()
 
 

@@ -7,32 +7,39 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import gather, keep, slices, spread
+from corpusloom.llm.common import gather, hot_join, keep, slices, spread
 from corpusloom.llm.components import components
 
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits; a bit is 1 if set in over half the XXH64 hashes of the word shingles, repeats included. No word: 0."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (uint64) of each word shingle in order, repeats included; a shorter text is one shingle. No word: none."""
     words = (text or "").encode().lower().split()  # bytes.lower() and split() know A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     data = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    return np.fromiter((digest(data[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits; a bit is 1 if set in over half the hashes. No hash: 0."""
     bits = np.zeros(64, np.int64)
-    lo, hi = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    for k in range(0, n, 1 << 16):
-        hashes = np.array([digest(data[s:e], SEED) for s, e in zip(lo[k : k + (1 << 16)], hi[k : k + (1 << 16)], strict=False)], ">u8")
-        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
+    for k in range(0, len(hashes), 1 << 16):
+        bits += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The majority bits of the XXH64 hashes of the word shingles, repeats included. No word: 0."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
@@ -188,13 +195,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(id, fp long, component_id): documents whose fingerprints are linked through at most `budget` differing bits share a component.
 
     One row for each input row; component_id is the smallest id reachable, the row's own included. Equal fingerprints
-    meet as one (with their smallest id) before the join, so a group of copies costs one row there.
+    meet as one (with their smallest id) before the join, so a group of copies costs one row there. Fingerprints and components that very
+    many rows share are joined by a bounded broadcast, the others by a shuffle (common.hot_join).
     A null, empty or blank text has fingerprint zero and is linked like any other. Repeated rows stay, in one component. A null id
     never becomes a component_id unless all of its component are null. An empty table gives no rows. Other columns are not read.
     """
     prints = keep(fingerprints(docs, id_column, text_column, shingle), "prints")
-    reps = prints.groupBy("fp").agg(F.min(id_column).alias("rep"))
-    tied = components(keep(links(reps.select("fp"), budget, most_in_group), "links"))  # (node, root) of linked fingerprints
-    least = tied.join(reps.withColumnRenamed("fp", "node"), "node").select("node", "root", F.min("rep").over(Window.partitionBy("root")).alias("least"))
-    named = reps.join(least.select(F.col("node").alias("fp"), "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return prints.join(named, "fp", "left").select(id_column, "fp", "component_id")
+    reps = keep(prints.groupBy("fp").agg(F.min(id_column).alias("rep"), F.count("*").alias("n")), "reps")
+    tied = keep(components(keep(links(reps.select("fp"), budget, most_in_group), "links")), "tied")  # (node, root) of linked fingerprints
+    own = tied.join(reps.select(F.col("fp").alias("node"), "rep"), "node")
+    least = own.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
+    moved = hot_join(tied, least, "root").select(F.col("node").alias("fp"), "least")
+    named = keep(reps.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n"), "named")
+    return hot_join(prints, named, "fp").select(id_column, "fp", "component_id")

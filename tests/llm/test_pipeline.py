@@ -1,9 +1,10 @@
 import corpus_pipeline
 from corpusloom.llm.langid import has_letter
 from test_decontam import needed, plain_best, plain_words
+from test_near_dedup import plain_set
 from test_packing import check_packed
 from test_secrets import ORDER, plain
-from test_simhash import near_pairs, plain_fingerprint, roots
+from test_simhash import roots
 
 
 def redacted(text):
@@ -19,7 +20,8 @@ def redacted(text):
 
 def brute_force(docs, items):
     docs = [(i, t) for i, t in docs if has_letter(t)]
-    own = roots(len(docs), near_pairs([plain_fingerprint(t) for _, t in docs], 3))
+    sets = [plain_set(t) for _, t in docs]  # the stage's rule: 5-word shingles, Jaccard similarity 0.8 or more
+    own = roots(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
     least = {}
     for (i, _), r in zip(docs, own, strict=True):
         least[r] = min(least.get(r, i), i)
