@@ -1,8 +1,9 @@
-"""Exact top-k search by pivot-table elimination: distances to pivots bound every score, candidates are taken in bound order until none can enter."""
+"""Exact top-k search by pivot-table elimination: stored distances to pivots bound every score, candidates are taken in bound order until none can enter."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,115 +11,194 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import keep, spread
+
 #: Largest magnitude of a component with which all sums stay exact in doubles for up to 2^13 components.
 EXACT = 1 << 20
 
 
 def quantised(vectors: DataFrame, id_column: str, vector_column: str, scale: int = 256) -> DataFrame:
-    """(id, v array<long>): floor(scale * x) of each component; vectors that are null or empty, or hold null or non-finite components, and null ids are left out."""
+    """(id, v array<long>): floor(scale * x) of each component; vectors that are null or hold null or non-finite components, and null ids, are left out."""
     x = F.col("x")
-    usable = F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    usable = F.col("id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("x"))
     return rows.filter(usable).select("id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
 
 
-def choose_pivots(rows: DataFrame, n_pivots: int, sample: int) -> np.ndarray:
-    """n_pivots mutually far vectors from the `sample` rows of smallest id hash (of their most common length), by farthest-first."""
+@dataclass
+class Pivots:
+    """Mutually far vectors of a bounded sample, and the sample: it gives each query a score that its k best reach at least."""
+
+    pivots: np.ndarray
+    ids: np.ndarray
+    sample: np.ndarray
+
+    def table(self, x: np.ndarray) -> np.ndarray:
+        """Distances of the rows of x to each pivot."""
+        return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (self.pivots**2).sum(1)[None] - 2 * x @ self.pivots.T, 0))
+
+    def fits(self, x: np.ndarray) -> bool:
+        """Whether distances bound the scores of these rows exactly: the pivots' length, components small enough."""
+        return len(self.pivots) > 0 and x.shape[1] == self.pivots.shape[1] <= 1 << 13 and np.abs(x).max(initial=0) <= EXACT
+
+
+def choose_pivots(rows: DataFrame, n_pivots: int, sample: int) -> Pivots:
+    """n_pivots vectors by farthest-first from the `sample` rows of smallest id hash (of their most common length)."""
     got = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(sample).collect()
-    if not got:
-        return np.zeros((0, 0))
-    sizes = pd.Series([len(r["v"]) for r in got]).value_counts()
+    sizes = pd.Series([len(r["v"]) for r in got if r["v"] and max(map(abs, r["v"])) <= EXACT], dtype="int64").value_counts()
+    if not len(sizes):
+        return Pivots(np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros((0, 0)))
     dim = max(sizes.index, key=lambda d: (sizes[d], -d))
-    x = np.array([r["v"] for r in got if len(r["v"]) == dim], np.float64)
+    own = [r for r in got if len(r["v"]) == dim and max(map(abs, r["v"])) <= EXACT]
+    x = np.array([r["v"] for r in own], np.float64)
     chosen, gap = [0], np.linalg.norm(x - x[0], axis=1)
     while len(chosen) < min(n_pivots, len(x)) and gap.max() > 0:
         chosen.append(int(gap.argmax()))
         gap = np.minimum(gap, np.linalg.norm(x - x[chosen[-1]], axis=1))
-    return x[chosen]
+    return Pivots(x[chosen], np.array([r["id"] for r in own], np.int64), x)
+
+
+class Block:
+    """A bounded block of queries of one length, with each query's k best among the candidates seen so far."""
+
+    def __init__(self, row: np.ndarray, ids: np.ndarray, q: np.ndarray, pivots: Pivots, k: int):
+        self.row, self.ids, self.q, self.k = row, ids, q, k
+        self.exact = pivots.fits(q)
+        self.floor = np.full(len(ids), -np.inf)  # a score that the k-th best has at least
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+        self.scored = 0
+        if self.exact:
+            self.q2, self.table = (q.astype(np.float64) ** 2).sum(1), pivots.table(q.astype(np.float64))
+            for i in range(len(ids)):
+                scores = (pivots.sample @ q[i])[pivots.ids != ids[i]]
+                if len(scores) >= k:
+                    self.floor[i] = np.partition(scores, -k)[-k]
+
+    def _enter(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.best[i][0], ids]), np.concatenate([self.best[i][1], scores])
+        first = np.lexsort([ids, -scores])[: self.k]
+        self.best[i] = ids[first], scores[first]
+        if len(first) == self.k:
+            self.floor[i] = max(self.floor[i], scores[first[-1]])
+
+    def see(self, ids: np.ndarray, c: np.ndarray, table: np.ndarray | None, step: int = 64, coarse: int = 8) -> None:
+        """Candidates with their stored distances to the pivots (None: every one is scored).
+
+        For a pivot p, |d(q,p) - d(c,p)| <= d(q,c); the largest of these over the pivots turns into an upper bound of the inner product. All
+        but those that a few pivots rule out are bounded by every pivot, and scored in falling order of the bound, until it is below the k-th best score.
+        """
+        if table is None or not self.exact:
+            for i in range(len(self.ids)):
+                other = ids != self.ids[i]
+                self.scored += int(other.sum())
+                self._enter(i, ids[other], c[other] @ self.q[i])
+            return
+        x, columns = c.astype(np.float64), np.ascontiguousarray(table.T)
+        c2 = (x**2).sum(1)
+        for i in range(len(self.ids)):
+            left, low = np.flatnonzero(ids != self.ids[i]), None
+            for lo, hi in ((0, coarse), (coarse, len(columns))):
+                for p in range(lo, min(hi, len(columns))):
+                    gap = np.abs(columns[p][left] - self.table[i, p])
+                    low = gap if low is None else np.maximum(low, gap, out=low)
+                loose = np.maximum(low - 1e-6 * (1 + low), 0)  # rounding only loosens the bound
+                high = np.floor((self.q2[i] + c2[left] - loose * loose) / 2 + 1e-3)
+                may = high >= self.floor[i]
+                left, low, high = left[may], low[may], high[may]
+            order = np.argsort(-high, kind="stable")
+            for at in range(0, len(order), step):
+                if high[order[at]] < self.floor[i]:
+                    break
+                own = left[order[at : at + step]]
+                self.scored += len(own)
+                self._enter(i, ids[own], np.rint(x[own] @ self.q[i]).astype(np.int64))
 
+    def found(self) -> pa.RecordBatch:
+        """(row, query_id, vec_id, score) of the best that can still be among the k best of all."""
+        sizes = [len(b[0]) for b in self.best]
+        ids, scores = (np.concatenate([np.zeros(0, np.int64), *(b[j] for b in self.best)]) for j in range(2))
+        row, own, floor = (np.repeat(x, sizes) for x in (self.row, self.ids, self.floor))
+        may = scores >= floor
+        return pa.RecordBatch.from_arrays([pa.array(x[may]) for x in (row, own, ids, scores)], names=["row", "query_id", "vec_id", "score"])
 
-def _unique(frame: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids in order and their vectors; of rows that repeat an id the smallest vector stands."""
-    frame = frame.assign(t=[tuple(v) for v in frame["v"]]).sort_values(["id", "t"], kind="stable").drop_duplicates("id")
-    return frame["id"].to_numpy(np.int64), [np.array(t, np.int64) for t in frame["t"]]
 
+def _by_length(v: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each length."""
+    sizes = v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        yield at, v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(at), d)
 
-def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int, step: int = 64) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's k best among the candidates (ids ascending), ties to smaller ids, itself left out.
 
-    For a pivot p, |d(q,p) - d(c,p)| <= d(q,c); the largest of these over the pivots turns into an upper bound of the inner
-    product. Candidates are scored in falling order of the bound; the first bound below the k-th best score ends the search.
-    """
-    out: list[tuple[int, int, int]] = []
-    exact = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0)) <= EXACT and q.shape[1] <= 1 << 13
-    qf, cf = q.astype(np.float64), c.astype(np.float64)
-    q2, c2 = (qf**2).sum(1), (cf**2).sum(1)
-    use = exact and len(pivots) and pivots.shape[1] == q.shape[1]
-    if use:
-        away = lambda x, x2: np.sqrt(np.maximum(x2[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T, 0))
-        qp, cp = away(qf, q2), np.ascontiguousarray(away(cf, c2).T)
-    for i in range(len(qid)):
-        if use:
-            low = np.abs(cp[0] - qp[i, 0])
-            for p in range(1, len(pivots)):
-                np.maximum(low, np.abs(cp[p] - qp[i, p]), out=low)
-            low = np.maximum(low - 1e-6 * (1 + low), 0)  # rounding only loosens the bound
-            high = np.floor((q2[i] + c2 - low * low) / 2 + 1e-3)
-            high[cid == qid[i]] = -np.inf
-            first = min(len(cid), max(step, 4 * k))
-            order = np.argpartition(-high, first - 1)[:first] if first < len(cid) else np.arange(len(cid))
-            score = cf[order] @ qf[i]
-            live = high[order] > -np.inf
-            floor = np.partition(score[live], -k)[-k] if live.sum() >= k else -np.inf
-            order = np.flatnonzero((high >= floor) & (high > -np.inf))  # others can't reach the k-th best of the first ones
-            order = order[np.argsort(-high[order], kind="stable")]
-            ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for at in range(0, len(order), step):
-                if len(scores) == k and high[order[at]] < scores[-1]:
-                    break
-                own = order[at : at + step]
-                ids = np.concatenate([ids, cid[own]])
-                scores = np.concatenate([scores, np.rint(cf[own] @ qf[i]).astype(np.int64)])
-                best = np.lexsort([ids, -scores])[:k]
-                ids, scores = ids[best], scores[best]
-        else:  # other lengths than the pivots', or components too large for exact bounds
-            other = cid != qid[i]
-            ids, scores = cid[other], c[other] @ q[i]
-            best = np.lexsort([ids, -scores])[:k]
-            ids, scores = ids[best], scores[best]
-        out += zip([int(qid[i])] * len(ids), ids.tolist(), scores.tolist(), strict=True)
-    return out
+def pivot_table(rows: DataFrame, pivots: Pivots) -> DataFrame:
+    """The rows (id, v) with d, their distances to the pivots, null where these give no exact bound; written once."""
+    held = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away: list[list[float] | None] = [None] * batch.num_rows
+            for at, x in _by_length(batch.column(1)):
+                small = np.abs(x).max(1, initial=0) <= EXACT
+                if held.value.fits(x[small]):
+                    for i, d in zip(at[small].tolist(), held.value.table(x[small].astype(np.float64)).tolist(), strict=True):
+                        away[i] = d
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(away, pa.list_(pa.float64()))], names=["id", "v", "d"])
 
+    return keep(rows.mapInArrow(run, "id long, v array<long>, d array<double>"), "pivot-table")
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 256, n_pivots: int = 32, pivot_sample: int = 4096, queries_in_block: int = 2048, candidates_in_block: int = 4096) -> DataFrame:
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 256, n_pivots: int = 32, pivot_sample: int = 4096, queries_in_block: int = 8192) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k best candidates by integer inner product of floor(scale * x), ties to the smaller id.
 
-    Queries and candidates are dealt into blocks by a hash of the id; each pair of blocks is one group, of bounded size, searched by
-    pivot elimination; the blocks' bests are merged. Only the pivots (n_pivots vectors of a sample of pivot_sample rows) go to
-    the driver. Results don't depend on the pivots or blocks.
+    The pivot table is computed once and stored beside the candidates. Queries are taken in blocks of bounded size, one broadcast at a
+    time; candidates are never shuffled: each task runs through its part of the table and hands on the best that can still enter, at most k a query.
+    Only the pivots' sample (pivot_sample rows) and a block of queries go to the driver. Results don't depend on pivots, sample or blocks.
 
-    A candidate with the query's own id is left out. Vectors that are null or empty or hold null or non-finite components take no part, nor
-    do null ids; vectors of different lengths don't meet; of rows that repeat an id, the smallest vector stands. With fewer
-    candidates than k all are returned. Empty tables give no rows. Other columns are not read. Inner products beyond 64 bits wrap.
+    A candidate with the query's own id is left out. Vectors that are null or hold null or non-finite components take no part, nor do null ids;
+    an empty vector has score 0 with other empty ones, and vectors of different lengths don't meet. Rows that repeat an id are
+    candidates and queries each. Lengths other than the pivots' and components beyond 2^20 are scored without a bound. With fewer candidates
+    than k all are returned. Empty tables give no rows. Other columns are not read. Inner products beyond 64 bits wrap.
     """
     spark = queries.sparkSession
-    q, c = (quantised(x, id_column, vector_column, scale) for x in (queries, candidates))
-    pivots = spark.sparkContext.broadcast(choose_pivots(c, n_pivots, pivot_sample))
-    nq, nc = max(1, -(-q.count() // queries_in_block)), max(1, -(-c.count() // candidates_in_block))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = q.select("id", "v", block(nq).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("b"))
-    right = c.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"), block(nc).alias("b"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(a) and len(b):
-            (qid, qv), (cid, cv) = _unique(a), _unique(b)
-            for dim in {len(v) for v in qv}:
-                own, other = ([i for i, v in enumerate(x) if len(v) == dim] for x in (qv, cv))
-                if other:
-                    rows += search(qid[own], np.array([qv[i] for i in own]), cid[other], np.array([cv[i] for i in other]), pivots.value, k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = keep(spread(quantised(candidates, id_column, vector_column, scale)), "vectors")
+    pivots = choose_pivots(rows, n_pivots, pivot_sample)
+    table = pivot_table(rows, pivots)
+    asked = keep(quantised(queries, id_column, vector_column, scale).withColumn("row", F.monotonically_increasing_id()), "queries")
+    blocks = -(-asked.count() // queries_in_block)
+    found = spark.createDataFrame([], "row long, query_id long, vec_id long, score long")
+    for b in range(blocks):
+        got = asked.filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).select("row", "id", "v").toArrow().combine_chunks()
+        if not got.num_rows:
+            continue
+        row, ids, v = (got.column(i).combine_chunks() for i in range(3))
+        parts = [Block(row.to_numpy()[at], ids.to_numpy()[at], q, pivots, k) for at, q in _by_length(v)]
+        held = spark.sparkContext.broadcast({p.q.shape[1]: p for p in parts})
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            own = {d: _fresh(p) for d, p in held.value.items()}
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 4096):
+                    batch = whole.slice(lo, 4096)
+                    ids, bounded = batch.column(0).to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+                    for at, c in _by_length(batch.column(1)):
+                        if block := own.get(c.shape[1]):
+                            yes = bounded[at]
+                            if yes.any():
+                                block.see(ids[at[yes]], c[yes], batch.column(2).take(pa.array(at[yes])).flatten().to_numpy().reshape(int(yes.sum()), -1))
+                            if not yes.all():
+                                block.see(ids[at[~yes]], c[~yes], None)
+            for block in own.values():
+                yield block.found()
+
+        found = found.unionByName(keep(spread(table).mapInArrow(run, found.schema), "best"))
+        held.destroy()
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _fresh(block: Block) -> Block:
+    """A block of the same queries that has seen nothing; a worker may run several tasks over one broadcast."""
+    out = Block.__new__(Block)
+    out.__dict__ |= block.__dict__
+    out.floor, out.best, out.scored = block.floor.copy(), list(block.best), 0
+    return out
