@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -56,11 +57,11 @@ def permute(ordinals: np.ndarray, n: int, key: int, back: bool = False) -> np.nd
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, stride: int = 1024, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(part, idx, n_ids, ids: little-endian unsigned 16- or 32-bit, doc_ids): each split's token stream, an end id after every document, cut every `stride` ids.
+    """(part, idx, n_ids, ids: little-endian unsigned 16- or 32-bit, crc: of these bytes, doc_ids): each split's token stream, an end id after every document, cut every `stride` ids.
 
     Only a split's last sequence may be shorter. doc_ids: the documents with ids in it, in order.
     """
-    fields = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("idx", T.LongType()), T.StructField("n_ids", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_ids", T.ArrayType(docs.schema[id_column].dataType))])
+    fields = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("idx", T.LongType()), T.StructField("n_ids", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("crc", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema[id_column].dataType))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, idx = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
@@ -69,8 +70,8 @@ def sequences(docs: DataFrame, tokenizer_path: str, stride: int = 1024, end_id:
         def rows(ids: np.ndarray, docs_in: list[list], first: int) -> pa.RecordBatch:
             n = len(docs_in)
             wide = ids.astype(width(bpe.size))
-            cuts = [wide[k * stride : (k + 1) * stride] for k in range(n)]
-            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), pa.array([len(c) for c in cuts], pa.int32()), pa.array([c.tobytes() for c in cuts], pa.binary()), pa.array(docs_in, pa.list_(kind))], names=fields.names)
+            cuts = [wide[k * stride : (k + 1) * stride].tobytes() for k in range(n)]
+            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), pa.array([len(c) // wide.itemsize for c in cuts], pa.int32()), pa.array(cuts, pa.binary()), pa.array(map(zlib.crc32, cuts), pa.int64()), pa.array(docs_in, pa.list_(kind))], names=fields.names)
 
         for batch in slices(batches, text_column):
             kind = batch.column(0).type
@@ -108,22 +109,25 @@ def _unpack(blob: bytes, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes]
 
 
 def materialise(docs: DataFrame, tokenizer_path: str, out_dir: str, key: int, stride: int = 1024, shard_rows: int = 16_384, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", vocabulary: int = 50_257) -> tuple[DataFrame, DataFrame]:
-    """Write all sequences to out_dir in the key's order; returns (index of sequences, manifest of shards).
+    """Write all sequences in the key's order to a run's own folder in out_dir; returns (index of sequences, manifest of shards).
 
     index: ordinal, slot, shard, byte_offset, n_ids, ids_crc32, doc_ids. manifest: shard, first_slot, n_rows, n_bytes, crc32, path.
     Slot s is record s % shard_rows of shard s // shard_rows. A record is `stride` ids, padded with end ids; the index has its true count. So reading
     can begin at any slot, and goes on sequentially. Texts are tokenised once; the sequences are kept in the shared folder, and one
     count for each input split goes to the driver. A task sends each shard compressed blocks of its records; a shard is filled by
-    record number, in memory of one shard. Files are written under a temporary name and moved: a repeated task or a resumed
-    run finds a whole file and leaves it. out_dir is a path or URI that pyarrow's file systems know and all executors share.
+    record number, in memory of one shard; each range of slots is a partition of its own. The folder's name is a digest of the sequences, the key and
+    the layout, so another key or other documents never meet files of this run. Files are written under a temporary name and moved: a repeated task or a
+    resumed run finds a whole file and leaves it. out_dir is a path or URI that pyarrow's file systems know and all executors share.
 
     The same input splits, key and stride give the same order. A null or empty text is the end id alone. Repeated rows are documents of their own. An
     empty table writes no shard. Columns besides id and text are not read.
     """
     spark = docs.sparkSession
     kept = keep(sequences(docs, tokenizer_path, stride, end_id, id_column, text_column), "sequences", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"})
-    counts = sorted((r["part"], r["n"]) for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect())
+    found = sorted(map(tuple, kept.groupBy("part").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("idx", "n_ids", "crc")).alias("x"), F.sum(F.pmod(F.xxhash64("crc", "idx"), F.lit(1 << 31))).alias("s")).collect()))
+    counts = [f[:2] for f in found]
     n = sum(c for _, c in counts)
+    run = f"run-{hashlib.sha256(repr((found, key, stride, shard_rows, end_id, vocabulary)).encode()).hexdigest()[:16]}"
     bases = spark.sparkContext.broadcast(dict(zip((p for p, _ in counts), np.cumsum([0, *(c for _, c in counts)])[:-1].tolist(), strict=True)))
     dtype = np.dtype(width(vocabulary))
     slot_of = lambda part, idx: permute(np.array([bases.value[p] for p in part.tolist()], np.int64) + idx, n, key)
@@ -151,7 +155,8 @@ def materialise(docs: DataFrame, tokenizer_path: str, out_dir: str, key: int, st
             yield flush()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(out_dir) if "://" in out_dir or out_dir.startswith("file:") else (fs.LocalFileSystem(), out_dir)
+        system, base = _place(out_dir)
+        base = f"{base.rstrip('/')}/{run}"
         system.create_dir(base, recursive=True)
         now, table = None, None
 
@@ -184,19 +189,22 @@ def materialise(docs: DataFrame, tokenizer_path: str, out_dir: str, key: int, st
             part, idx = batch.column(0), batch.column(1).to_numpy()
             ordinal = np.array([bases.value[p] for p in part.to_pylist()], np.int64) + idx
             slot = permute(ordinal, n, key)
-            crc = [zlib.crc32(x.as_buffer()) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(ordinal), pa.array(slot), pa.array(slot // shard_rows), pa.array(slot % shard_rows * stride * dtype.itemsize), batch.column(2), pa.array(crc, pa.int64()), batch.column(4)], names=["ordinal", "slot", "shard", "byte_offset", "n_ids", "ids_crc32", "doc_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ordinal), pa.array(slot), pa.array(slot // shard_rows), pa.array(slot % shard_rows * stride * dtype.itemsize), *batch.columns[2:]], names=["ordinal", "slot", "shard", "byte_offset", "n_ids", "ids_crc32", "doc_ids"])
 
     shards = -(-n // shard_rows)
     sent = kept.select("part", "idx", "n_ids", "ids").mapInArrow(send, "shard long, blob binary")
-    written = sent.repartition(max(1, shards), "shard").sortWithinPartitions("shard").mapInArrow(fill, "shard long, first_slot long, n_rows long, n_bytes long, crc32 long, path string")
-    index = kept.mapInArrow(indexed, T.StructType([*(T.StructField(c, T.LongType()) for c in ("ordinal", "slot", "shard", "byte_offset")), T.StructField("n_ids", T.IntegerType()), T.StructField("ids_crc32", T.LongType()), kept.schema["doc_ids"]]))
+    written = sent.repartitionById(max(1, shards), F.col("shard").cast("int")).sortWithinPartitions("shard").mapInArrow(fill, "shard long, first_slot long, n_rows long, n_bytes long, crc32 long, path string")
+    index = kept.select("part", "idx", "n_ids", "crc", "doc_ids").mapInArrow(indexed, T.StructType([*(T.StructField(c, T.LongType()) for c in ("ordinal", "slot", "shard", "byte_offset")), T.StructField("n_ids", T.IntegerType()), T.StructField("ids_crc32", T.LongType()), kept.schema["doc_ids"]]))
     return index, keep(written, "shards")
 
 
-def read(out_dir: str, first_slot: int = 0, stride: int = 1024, shard_rows: int = 16_384, dtype: str = "<u2") -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, padded ids) from first_slot on, in slot order; to resume, give the slot after the last one used."""
-    system, base = fs.FileSystem.from_uri(out_dir) if "://" in out_dir or out_dir.startswith("file:") else (fs.LocalFileSystem(), out_dir)
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def read(run_dir: str, first_slot: int = 0, stride: int = 1024, shard_rows: int = 16_384, dtype: str = "<u2") -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, padded ids) of a run's folder (that of its manifest's paths) from first_slot on, in slot order; to resume, give the slot after the last one used."""
+    system, base = _place(run_dir)
     size, slot = stride * np.dtype(dtype).itemsize, first_slot
     while system.get_file_info(path := f"{base}/shard-{slot // shard_rows:08d}.bin").type == fs.FileType.File:
         with system.open_input_file(path) as f:

@@ -1,7 +1,9 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import tokenizer
 from corpusloom.llm.queries import bpe_path
@@ -25,7 +27,8 @@ def test_shards_hold_every_stream_in_slot_order(spark, tmp_path):
     out = str(tmp_path / "run")
     index, manifest = materialise(df, bpe_path(), out, key=7, stride=16, shard_rows=10)
     index, manifest = index.collect(), manifest.collect()
-    n = len(index)
+    n, top = len(index), out
+    out = str(Path(manifest[0]["path"]).parent)
     assert sorted(r["slot"] for r in index) == sorted(r["ordinal"] for r in index) == list(range(n))
     held = dict(read(out, stride=16, shard_rows=10))
     assert sorted(held) == list(range(n))
@@ -45,8 +48,16 @@ def test_shards_hold_every_stream_in_slot_order(spark, tmp_path):
     ends = np.flatnonzero(np.array(got) == 2)
     assert sorted(tuple(got[a + 1 : b]) for a, b in zip([-1, *ends[:-1]], ends, strict=True)) == want
     before = {m["path"]: m["crc32"] for m in manifest}
-    again = {m["path"]: m["crc32"] for m in materialise(df, bpe_path(), out, key=7, stride=16, shard_rows=10)[1].collect()}
+    again = {m["path"]: m["crc32"] for m in materialise(df, bpe_path(), top, key=7, stride=16, shard_rows=10)[1].collect()}
     assert again == before
+    # another key or other documents in the same folder never meet the first run's files
+    for other, key in ((df, 8), (df.withColumn("text", F.upper("text")), 7)):
+        index, manifest = (x.collect() for x in materialise(other, bpe_path(), top, key=key, stride=16, shard_rows=10))
+        assert not {m["path"] for m in manifest} & set(before)
+        held = dict(read(str(Path(manifest[0]["path"]).parent), stride=16, shard_rows=10))
+        assert all(zlib.crc32(held[r["slot"]][: r["n_ids"]].tobytes()) == r["ids_crc32"] for r in index)
+        assert all(m["crc32"] == zlib.crc32(Path(m["path"]).read_bytes()) for m in manifest)
+    assert all(zlib.crc32(Path(p).read_bytes()) == c for p, c in before.items())
     empty = materialise(df.limit(0), bpe_path(), str(tmp_path / "none"), key=1)
     assert empty[0].count() == 0 and empty[1].count() == 0
 
