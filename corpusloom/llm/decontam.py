@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import chars
-from corpusloom.llm.common import gather, slices, spread
+from corpusloom.llm.common import gather, keep, slices, spread
 
-#: Seeds of five to six words; a 1 is a word that must agree. Between them they meet all but rare patterns of a fifth of words replaced.
-MASKS = ("11111", "110111", "1011101", "11100111")
+#: Seeds of five words; a 1 is a word that must agree. Each stretch that counts as an overlap (see needed) holds one of them, whichever words are replaced: the tests try all patterns.
+MASKS = ("11111", "111011", "1101011", "11100101")
+#: Seeds of benchmark texts too short for these, whole texts.
+SHORT = ("1", "11", "111", "1111")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BITS = 20
@@ -86,94 +88,134 @@ def _seeds(w: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def needed(n: int) -> int:
-    """Words that must agree for an overlap with a benchmark text of n words to count: all of a short one, else four fifths, 13 at most."""
+    """Words that must agree for an overlap with a benchmark text of n words to count: all of one under ten words, else four fifths, 13 at most."""
     return n if n < 10 else min(13, -(-4 * n // 5))
 
 
 @dataclass
 class Index:
-    """Seeds of a bounded block of benchmark texts."""
+    """Seeds of a bounded block of benchmark texts: the side of the hash join that is broadcast."""
 
     ids: list
     items: Words
     first: np.ndarray  # first word of each text
     size: np.ndarray  # words of each text
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # for each mask: sorted hashes, their first words, bitmap of high bits
+    tables: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]  # mask, sorted hashes, their first words, bitmap of high bits
 
     @staticmethod
     def of(ids: list, texts: list[str | None]) -> Index:
         w = words(texts)
         size = np.bincount(w.text, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
+        first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else size
         tables = []
-        for mask in MASKS:
+        for mask in (*MASKS, *SHORT):
             place, h = _seeds(w, mask)
+            if mask in SHORT:
+                whole = size[w.text[place]] == len(mask)
+                place, h = place[whole], h[whole]
             order = np.argsort(h, kind="stable")
             bitmap = np.zeros(1 << _BITS, bool)
             bitmap[h >> np.uint64(64 - _BITS)] = True
-            tables.append((h[order], place[order], bitmap))
-        return Index(ids, w, np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else size, size, tables)
+            tables.append((mask, h[order], place[order], bitmap))
+        return Index(ids, w, first, size, tables)
+
+    def _diagonals(self, w: Words, most: int = 1 << 20) -> np.ndarray:
+        """Rows (text, item, shift), each once: the places of items over texts that a seed hits. Hits are joined in portions of about `most`."""
+        n, m = len(w.hashes), len(self.items.hashes)
+        items, span = len(self.ids), n + m + 1
+        keys = [np.zeros(0, np.int64)]
+        for mask, known, places, bitmap in self.tables:
+            if not len(known):
+                continue
+            at, h = _seeds(w, mask)
+            may = bitmap[h >> np.uint64(64 - _BITS)]
+            at, h = at[may], h[may]
+            lo, hi = np.searchsorted(known, h, side="left"), np.searchsorted(known, h, side="right")
+            upto = np.cumsum(hi - lo)
+            total = int(upto[-1]) if len(upto) else 0
+            cuts = [*np.searchsorted(upto, np.arange(0, total, most)).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own, here = places[gather(lo[a:b], (hi - lo)[a:b])], np.repeat(at[a:b], (hi - lo)[a:b])
+                keys.append(np.unique((w.text[here] * items + self.items.text[own]) * span + (here - own + m)))
+                if len(keys) > 16:
+                    keys = [np.unique(np.concatenate(keys))]
+        key = np.unique(np.concatenate(keys))
+        return np.stack([key // span // items, key // span % items, key % span - m], 1)
+
+    def _stretch(self, w: Words, bounds: np.ndarray, text: int, item: int, shift: int, best: tuple | None, exact: bool) -> tuple | None:
+        """(-matched, start, end, words, first word of the item, first word of the text) along a diagonal, or None if it is no overlap or surely no better than `best`."""
+        lo = max(int(self.first[item]), int(bounds[text]) - shift)
+        hi = min(int(self.first[item] + self.size[item]), int(bounds[text + 1]) - shift)
+        least = max(needed(int(self.size[item])), -best[0] if best else 0)
+        if hi - lo < least:
+            return None
+        same = self.items.hashes[lo:hi] == w.hashes[lo + shift : hi + shift]
+        if np.count_nonzero(same) < least:
+            return None
+        if exact:
+            same = np.array([bool(s) and self.items.said(lo + i) == w.said(lo + shift + i) for i, s in enumerate(same.tolist())])
+        sums, agreed = (np.concatenate([[0], np.cumsum(x)]) for x in (np.where(same, 1, -4), same))
+        begins = np.searchsorted(-np.minimum.accumulate(sums), -sums, side="left")  # for each end the first begin with no higher sum
+        end = int(np.argmax(agreed - agreed[begins]))
+        begin, matched = int(begins[end]), int(agreed[end] - agreed[begins[end]])
+        if matched < least:
+            return None
+        begin += int(np.argmax(same[begin:]))
+        return -matched, int(w.start[lo + shift + begin]), int(w.end[lo + shift + end - 1]), end - begin, lo + begin, lo + shift + begin
 
     def overlaps(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, start, end, words, matched): for each text and item the overlap of most matched words; code points of the text.
 
         A hit of a seed fixes the item's place over the text. Along it the overlap is the stretch of most agreeing words of which
-        at least four fifths agree (+1 for one that does and -4 for one that doesn't sum to 0 or more); words are compared as written, lower-cased.
+        at least four fifths agree (+1 for one that does and -4 for one that doesn't sum to 0 or more). Words are compared by
+        64-bit hashes, and those of the best overlap as written, lower-cased; if any differs, all places of the pair are compared as written.
         """
         w = words(texts)
-        hits = []
-        for mask, (known, places, bitmap) in zip(MASKS, self.tables, strict=True):
-            at, h = _seeds(w, mask)
-            may = bitmap[h >> np.uint64(64 - _BITS)]
-            at, h = at[may], h[may]
-            lo, hi = np.searchsorted(known, h, side="left"), np.searchsorted(known, h, side="right")
-            own = places[gather(lo, hi - lo)]
-            hits.append(np.stack([np.repeat(at, hi - lo) - own, self.items.text[own], w.text[np.repeat(at, hi - lo)]], 1))
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         bounds = np.searchsorted(w.text, np.arange(len(texts) + 1))
-        for shift, item, text in np.unique(np.concatenate(hits), axis=0).tolist() if hits else []:
-            lo = max(int(self.first[item]), int(bounds[text]) - shift)
-            hi = min(int(self.first[item] + self.size[item]), int(bounds[text + 1]) - shift)
-            least = needed(int(self.size[item]))
-            if hi - lo < least:
-                continue
-            same = self.items.hashes[lo:hi] == w.hashes[lo + shift : hi + shift]
-            if same.sum() < least:
-                continue
-            said = [bool(s) and self.items.said(lo + i) == w.said(lo + shift + i) for i, s in enumerate(same.tolist())]
-            sums, agreed = (np.concatenate([[0], np.cumsum(x)]) for x in (np.where(said, 1, -4), said))
-            begins = np.searchsorted(-np.minimum.accumulate(sums), -sums, side="left")  # for each end the first begin with no higher sum
-            end = int(np.argmax(agreed - agreed[begins]))
-            begin, matched = int(begins[end]), int(agreed[end] - agreed[begins[end]])
-            if matched >= least:
-                begin = said.index(True, begin)
-                found = (-matched, int(w.start[lo + shift + begin]), int(w.end[lo + shift + end - 1]), end - begin)
-                best[text, item] = min(best.get((text, item), found), found)
-        return [(t, i, s, e, n, -m) for (t, i), (m, s, e, n) in sorted(best.items())]
-
-
-def indexes(benchmark: DataFrame, id_column: str, text_column: str, most_chars: int = 4 << 20) -> Iterator[Index]:
-    """The benchmark in blocks of about most_chars characters; one block at a time is collected, indexed and broadcast."""
+        diagonals = self._diagonals(w)
+        pairs = np.flatnonzero(np.any(np.diff(diagonals[:, :2], axis=0, prepend=-1), axis=1)).tolist()
+        out = []
+        for lo, hi in zip(pairs, [*pairs[1:], len(diagonals)], strict=False):
+            text, item = diagonals[lo, :2].tolist()
+            for exact in (False, True):
+                best = None
+                for shift in diagonals[lo:hi, 2].tolist():
+                    found = self._stretch(w, bounds, text, item, shift, best, exact)
+                    best = min(best, found) if best and found else best or found
+                if not best or exact:
+                    break
+                same = [i for i in range(best[3]) if self.items.hashes[best[4] + i] == w.hashes[best[5] + i]]
+                if all(self.items.said(best[4] + i) == w.said(best[5] + i) for i in same):
+                    break
+            if best:
+                out.append((text, item, *best[1:4], -best[0]))
+        return out
+
+
+def indexes(benchmark: DataFrame, id_column: str, text_column: str, most_chars: int = 4 << 20) -> Iterator[tuple[Index, bool]]:
+    """The benchmark in blocks of about most_chars characters, and whether the block is the last; each is collected and indexed when it is asked for."""
     rows = benchmark.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).filter("t is not null")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // most_chars)
     for b in range(blocks):
         own = sorted(rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).distinct().collect(), key=lambda r: (r["i"] is None, r["i"] if r["i"] is not None else 0, r["t"]))
-        yield Index.of([r["i"] for r in own], [r["t"] for r in own])
+        yield Index.of([r["i"] for r in own], [r["t"] for r in own]), b == blocks - 1
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, start, end, words, matched): documents that hold a benchmark text or 13 words of it with at most a fifth replaced.
 
-    One row for each document row and item, the overlap of most matched words; start and end are code points of the document's text. The
-    benchmark is broadcast in blocks of bounded size, as many as it takes; documents are read once for each block and never shuffled.
+    One row for each document row and item, the overlap of most matched words; start and end are code points of the document's text.
+    Documents' seeds are hash-joined with the benchmark's, which is broadcast: one block of bounded size at a time, its rows written before the
+    next is collected. Documents are read once for each block and never shuffled.
 
-    Null texts hold nothing. Items of fewer than five words are found by no seed. Repeated documents each have their rows; repeated items
+    Null texts hold nothing. Items of fewer than ten words must stand there whole and unchanged. Repeated documents each have their rows; repeated items
     count once; ids may be null. Empty tables give no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     fields = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("item_id", benchmark.schema[item_column].dataType), *(T.StructField(c, T.LongType()) for c in ("start", "end", "words", "matched"))])
-    out, item_type = None, to_arrow_type(benchmark.schema[item_column].dataType)
-    for index in indexes(benchmark, item_column, item_text):
+    out, item_type = spark.createDataFrame([], fields), to_arrow_type(benchmark.schema[item_column].dataType)
+    for index, last in indexes(benchmark, item_column, item_text):
         held = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -183,14 +225,17 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array([held.value.ids[i] for i in item], item_type), *(pa.array(c, pa.int64()) for c in rest)], names=fields.names)
 
         own = spread(docs.select(id_column, text_column)).mapInArrow(run, fields)
-        out = own if out is None else out.unionByName(own)
-    return spark.createDataFrame([], fields) if out is None else out
+        if not last:
+            own = keep(own, "overlaps")
+            held.destroy()
+        out = out.unionByName(own)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents without an overlap, all columns as they are, by the rule of find_overlaps()."""
+    """The documents without an overlap, all columns as they are, by the rule of find_overlaps(); written anew for each block of the benchmark but the last."""
     columns = docs.columns
-    for index in indexes(benchmark, item_column, item_text):
+    for index, last in indexes(benchmark, item_column, item_text):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -200,4 +245,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str =
                 yield batch.filter(pa.array(clean))
 
         docs = spread(docs).mapInArrow(run, docs.schema)
+        if not last:
+            docs = keep(docs, "clean")
+            held.destroy()
     return docs

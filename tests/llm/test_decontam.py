@@ -1,9 +1,12 @@
 import random
 import re
+import time
+from itertools import combinations
 
 import pytest
 
-from corpusloom.llm.decontam import drop_contaminated, find_overlaps, needed, words
+from corpusloom.llm import decontam
+from corpusloom.llm.decontam import MASKS, Index, drop_contaminated, find_overlaps, needed, words
 
 
 def plain_words(text):
@@ -86,3 +89,34 @@ def test_query_finds_what_brute_force_finds(spark, sf):
                 want.add((d, i))
     got = {(r["doc_id"], r["item_id"]) for r in op4_decontamination(spark, sf).collect()}
     assert got == want and got
+
+
+def test_masks_meet_every_allowed_pattern_of_replaced_words():
+    hit = lambda p, n, mask: any(all(p[s + i] for i, c in enumerate(mask) if c == "1") for s in range(n - len(mask) + 1))
+    for agreed in range(5, 15):
+        for n in range(agreed, (agreed * 5 // 4 if agreed >= 8 else agreed) + 1):
+            for gone in combinations(range(1, n - 1), n - agreed):
+                p = [i not in gone for i in range(n)]
+                assert any(hit(p, n, m) for m in MASKS), p
+
+
+def test_short_items_stand_whole(spark):
+    items = spark.createDataFrame([(1, "qed"), (2, "to be or not"), (3, "alpha beta"), (4, "one two three four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "thus QED."), (2, "to be, or not; to be"), (3, "to be or knot"), (4, "alpha gamma beta"), (5, "one two three four"), (6, "x one two three four five")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["words"]) for r in find_overlaps(docs, items).collect()} == {(1, 1, 1), (2, 2, 4), (6, 4, 5)}
+
+
+def test_blocks_of_the_benchmark_give_the_same_rows(spark, bench, monkeypatch):
+    items, table = bench
+    docs = spark.createDataFrame([(i, f"f1 f2 {t} f3") for i, t in items], "doc_id long, text string")
+    want = sorted(map(tuple, find_overlaps(docs, table).collect()))
+    whole = decontam.indexes
+    monkeypatch.setattr(decontam, "indexes", lambda b, i, t: whole(b, i, t, 200))
+    assert sorted(map(tuple, find_overlaps(docs, table).collect())) == want and len(want) == len(items)
+    assert drop_contaminated(docs, table).count() == 0
+
+
+def test_one_word_repeated_stays_bounded():
+    began = time.time()
+    got = Index.of([1], ["word " * 800]).overlaps(["word " * 8000, "word " * 12, "w " * 900])
+    assert [(t, i, n, m) for t, i, _, _, n, m in got] == [(0, 0, 800, 800)] and time.time() - began < 20
