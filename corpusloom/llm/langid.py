@@ -94,59 +94,69 @@ def held_out(id_column: str) -> Column:
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = 400, n_landmarks: int = 128) -> Model | None:
-    """Fit on at most per_language labelled documents of each language outside the held-out quarter, those of smallest id hash.
+    """Fit on at most per_language labelled documents of each language outside the held-out quarter, those of smallest id hash; one row for each id.
 
-    Their presence vectors (about 1.6 KB each) go to the driver, never their texts. None if there is no such document.
+    Of a language that stands in many rows only ids of small hash, eight times as many as needed, are read; so no language is gathered, nor are all ids
+    shuffled. Rows that repeat an id count once, by their smallest presence vector. Presence vectors (about 1.6 KB each) go to the driver, never
+    texts: per_language for each language at most. None if there is no such document.
     """
     usable = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = usable.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.xxhash64(id_column).alias("h")).distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("id", F.col("lang").alias("l"))
-    rows = usable.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).join(F.broadcast(chosen), "id").filter("lang = l")
+    usable = usable.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), F.xxhash64(id_column).alias("h"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    many = counts.filter(F.col("n") > counts.agg(F.greatest(F.lit(8 * per_language), F.expr("sum(n) div 10000"))).scalar())  # 10,000 languages at most
+    drawn = usable.join(F.broadcast(many), "lang", "left").filter(F.col("n").isNull() | (F.pmod(F.col("h"), F.lit(1 << 30)) * F.col("n") < 8 * per_language * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(presence([t])[0]).tobytes() if has_letter(t) else None for t in texts], pa.binary()), batch.column(1), batch.column(2)], names=["bits", "lang", "h"])
 
-    got = rows.select("text", "lang", F.xxhash64("id").alias("h")).mapInArrow(run, "bits binary, lang string, h long").filter("bits is not null").collect()
-    got.sort(key=lambda r: (r["lang"], r["h"], bytes(r["bits"])))
+    one = drawn.select("text", "lang", "h").mapInArrow(run, "bits binary, lang string, h long").filter("bits is not null").groupBy("lang", "h").agg(F.min("bits").alias("bits"))
+    for keys in (("lang", "part"), ("lang",)):  # first within 64 parts of a language, then their firsts
+        one = one.withColumn("part", F.pmod("h", F.lit(64))).withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("n") <= per_language).select("lang", "h", "bits")
+    got = one.collect()
+    got.sort(key=lambda r: (r["lang"], r["h"]))
     if not got:
         return None
     vectors = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1), axis=1, count=WIDTH)
     return fit(vectors, [r["lang"] for r in got], n_landmarks)
 
 
-def predict(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None, rows_at_once: int = 256) -> DataFrame:
-    """The columns of `carry` (the id alone if None), then lang_pred and score (0 to 1), for each document's whole text.
+def _named(texts: list[str | None], model: Model | None, rows_at_once: int) -> tuple[list[str], list[float]]:
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    said = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+    for k in range(0, len(said), rows_at_once):
+        own = said[k : k + rows_at_once]
+        got = model.scores([texts[i] for i in own])
+        best = got.argmax(1)
+        for i, b, s in zip(own, best.tolist(), got[np.arange(len(own)), best].tolist(), strict=True):
+            names[i], scores[i] = model.languages[b], min(1.0, max(0.0, (s + 1) / 2))
+    return names, scores
+
+
+def predict(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text", rows_at_once: int = 256) -> DataFrame:
+    """(id, lang_pred, score from 0 to 1) for each document's whole text.
 
     `und` with score 0 where the text is null or has no letter, or where no model could be fitted. Repeated rows stay;
-    an empty table gives no rows. Only the text is an input of the prediction.
+    an empty table gives no rows. Only the text is an input of the prediction; other columns are not read.
     """
-    columns = [id_column] if carry is None else carry
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[id_column], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            said = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
-            for k in range(0, len(said), rows_at_once):
-                own = said[k : k + rows_at_once]
-                got = model.scores([texts[i] for i in own])
-                best = got.argmax(1)
-                for i, b, s in zip(own, best.tolist(), got[np.arange(len(own)), best].tolist(), strict=True):
-                    names[i], scores[i] = model.languages[b], min(1.0, max(0.0, (s + 1) / 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
-
-    return spread(docs.select(*columns, F.col(text_column).alias("__text"))).mapInArrow(run, schema)
-
-
-def lettered(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows whose text has a letter: those that predict() names a language for, were there a model."""
+        for batch in slices(batches, text_column):
+            names, scores = _named(batch.column(1).to_pylist(), model, rows_at_once)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+
+    return spread(docs.select(id_column, text_column)).mapInArrow(run, schema)
+
+
+def known(docs: DataFrame, model: Model | None, text_column: str = "text", rows_at_once: int = 256) -> DataFrame:
+    """The rows, as they are, that predict() names a language for; without a model those whose text has a letter."""
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
-            yield batch.filter(pa.array([has_letter(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+            texts = batch.column(place).to_pylist()
+            yield batch.filter(pa.array([n != UNKNOWN for n in _named(texts, model, rows_at_once)[0]] if model else [has_letter(t) for t in texts], pa.bool_()))
 
     return spread(docs).mapInArrow(run, docs.schema)

@@ -65,3 +65,10 @@ def test_held_out_accuracy(spark):
     assert len(rows) == len(truth)
     held = [r for r in rows if r["held_out"]]
     assert held and sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) / len(held) > 0.98
+
+
+def test_repeats_of_an_id_count_once(spark):
+    texts = [(i, t, lang) for lang, own in TEXTS.items() for i, t in enumerate(own * 3, 0 if lang == "aa" else 100)]
+    hot = [(7, TEXTS["aa"][0], "aa")] * 3000
+    model = train(spark.createDataFrame(texts + hot, "doc_id long, text string, lang string"), per_language=3, n_landmarks=50)
+    assert len(model.landmarks) <= 6 and model.languages == ["aa", "bb"]
