@@ -1,162 +1,215 @@
-"""Licence scans in DataFrame functions only: a trained sentence classifier, a calibrated unknown class, and a template check.
+"""Licence scans: a trained paragraph classifier, a calibrated unknown class, and a template comparison.
 
-Sentences that hold a cue word are classified by sparse word n-grams (1 to 3) and multinomial logistic regression; below a threshold,
-set on held-out sentences that are no licence, the family is `unknown`. A family is confirmed if enough of the sentence's
-three-word shingles occur in the family's templates. Training uses the templates below and made-up sentences, so its size is fixed.
+Every paragraph is classified by sparse word n-grams (1 to 3) and multinomial logistic regression; there is no filter before it. Below a threshold,
+set on held-out texts that are no licence, the family is `unknown`. A family is confirmed if one of its templates is found in the
+paragraph by enough n-grams. Training uses fixed texts, so its size is fixed. A form in DataFrame functions alone was tried and is too slow (README).
 """
 
 from __future__ import annotations
 
+import functools
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-UNKNOWN = "unknown"
-#: Notices that name a licence, by family.
-TEMPLATES = {
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0", "Apache License 2.0",
-        "you may not use this file except in compliance with the License", "You may obtain a copy of the License at apache.org licenses LICENSE-2.0",
-        "This project is licensed under the terms of the Apache 2.0 license",
-    ],
-    "mit": [
-        "Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT", "This project is licensed under the terms of the MIT license",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GPL v3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "You should have received a copy of the GNU General Public License along with this program",
-    ],
-    "bsd": [
-        "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Released under CC BY-NC-SA 4.0"],
-    "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Released under CC BY-SA 4.0", "Available under the Creative Commons Attribution-ShareAlike License"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"],
-    "proprietary": ["All rights reserved", "Copyright 2020 the authors. All rights reserved", "No part of this publication may be reproduced without prior written permission"],
-    "public-domain": ["This work is dedicated to the public domain", "Released into the public domain", "Licensed under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"],
-}
-#: Sentences with cue words that name no licence.
-OTHERS = [
-    "She renewed her driving license last week", "The restaurant lost its liquor license after the inspection", "A fishing license costs ten dollars a year",
-    "He asked for permission to leave the room", "The museum gave permission to photograph the paintings", "Researchers at MIT built a small robot",
-    "The Apache helicopter landed near the river", "The Apache people lived in the southwest", "Copyright law was debated in parliament",
-    "The right of copyright was disputed for years", "Human rights groups met in the city", "The seats were reserved for guests", "All seats are reserved for members",
-    "The gnu grazed on the open plain", "The public domain of the old king was a forest", "The warranty of the washing machine ran out", "Creative work is common in this town",
-    "The court redistributed the land among the heirs", "Version 3 of the report came out in May", "The license plate was stolen", "Under the terms of the treaty the border moved",
-    "Mozilla moved its office", "They license the brand to a maker of shoes", "The software was modified by the students",
-]
-CUE = r"(?i)licen[cs]|copyright|rights\s+reserved|permission|\bgnu\b|\bgpl|\bmit\b|apache|\bbsd\b|\bcc[\s-]?by\b|\bcc0\b|creative\s+commons|public\s+domain|spdx|redistribut|sublicens|mozilla|\bmpl\b|compliance\s+with"
-BREAK = r"[.!?]+\s+|\s*\n\s*"
-FAMILIES = [UNKNOWN, *TEMPLATES]
-
-
-def _words(sentence: Column) -> Column:
-    return F.regexp_extract_all(F.lower(sentence), F.lit(r"[a-z0-9]+(?:[.+-][a-z0-9]+)?"), F.lit(0))
-
-
-def ngrams(words: Column, n: int) -> Column:
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-
-def _features(sentence: Column) -> Column:
-    return F.concat(*(ngrams(_words(sentence), n) for n in (1, 2, 3)))
-
-
-def _training_rows() -> list[tuple[str, str, bool]]:
-    """(sentence, family, held out): each template and stretches of it within filler, and sentences that name no licence."""
-    rng, rows = random.Random(42), []
-    filler = "about the of a house with some people and green light for one day by many trees in river when stone from long time over small city".split()
-    some = lambda a, b: [rng.choice(filler) for _ in range(rng.randint(a, b))]
-    for family, texts in TEMPLATES.items():
-        for text in texts:
-            words = text.split()
-            rows += [(text, family, False)] * 3
-            for k in range(10):
-                cut = words if k % 2 else words[: max(4, len(words) - rng.randint(0, 3))]
-                rows.append((" ".join([*some(0, 4), *cut, *some(0, 4)]), family, k % 4 == 3))
-    cues = sorted({w for texts in TEMPLATES.values() for t in texts for w in t.split() if len(w) > 2})
-    for text in OTHERS:
-        for k in range(12):
-            rows.append((" ".join([*some(0, 3), *text.split(), *some(0, 4)]), UNKNOWN, k % 4 == 3))
-    for k in range(400):  # cue words without their order
-        words = some(4, 14)
-        for _ in range(rng.randint(1, 3)):
-            words.insert(rng.randrange(len(words)), rng.choice(cues))
-        rows.append((" ".join(words), UNKNOWN, k % 4 == 3))
-    return rows
-
-
-@dataclass
-class Model:
-    classifier: LogisticRegressionModel
-    threshold: float
+from corpusloom.llm.common import slices, spread
+from corpusloom.llm.decontam import Words, gram_hashes, words
+from corpusloom.llm.license_texts import FRAMES, NAMES, NOTICES, OTHERS
 
-
-def _vectors(df: DataFrame, column: str) -> DataFrame:
-    return HashingTF(numFeatures=1 << 13, binary=True, inputCol="__grams", outputCol="__vector").transform(df.withColumn("__grams", _features(F.col(column))))
+UNKNOWN = "unknown"
+FAMILIES = [UNKNOWN, *NOTICES]
+#: What a family's template comparison looks for: its notices, names and identifiers.
+TEMPLATES = {family: [*texts, *(x for part in NAMES.get(family, ()) for x in part)] for family, texts in NOTICES.items()}
+#: A paragraph ends at a blank line or at a line's end behind the end of a sentence, so lines broken within a sentence stay together.
+BREAK = re.compile(r"\n(?:(?<=[.!?\"')\]]\n)|(?=[ \t\r]*\n))")
+#: Longer paragraphs are cut at white space before this many characters.
+LONG = 600
+_CUT = re.compile(r"(?s).{1,%d}(?=\s|\Z)|.{1,%d}" % (LONG, LONG))
+SIZES = (1, 2, 3)
 
 
-def _probable(df: DataFrame, classifier: LogisticRegressionModel) -> DataFrame:
-    """Adds __best (index of the likeliest family other than unknown) and __p, its probability."""
-    p = vector_to_array("__probability")
-    out = classifier.transform(df).withColumn("__known", F.slice(p, 2, len(FAMILIES) - 1))
-    return out.withColumn("__p", F.array_max("__known")).withColumn("__best", F.array_position("__known", F.col("__p")).cast("int"))
+def _plain_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower())
 
 
-def train(spark: SparkSession, false_rate: float = 0.01) -> Model:
-    """Fit on the fixed rows outside the held-out quarter; the threshold is the probability that false_rate of held-out others exceed, 0.5 at least."""
-    rows = spark.createDataFrame([(s, float(FAMILIES.index(f)), h) for s, f, h in _training_rows()], "sentence string, label double, held boolean").coalesce(1)
-    data = _vectors(rows, "sentence").select("__vector", "label", "held")
-    fitted = LogisticRegression(featuresCol="__vector", labelCol="label", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction", family="multinomial", regParam=1e-3, maxIter=60).fit(data.filter("not held"))
-    limit = _probable(data.filter("held and label = 0"), fitted).agg(F.percentile("__p", F.lit(1 - false_rate))).first()[0]
-    return Model(fitted, max(0.5, float(limit or 0.5)))
+def training_rows(held: int | None = None, folds: int = 5) -> list[tuple[str, str, bool]]:
+    """(text, family, held out): notices, names in carrier phrases, stretches of both within filler, and sentences that name no licence.
 
+    A whole source (a notice, a carrier phrase, a sentence of the others) is held out in the fold `held`, with all that is made of it.
+    """
+    rng, rows = random.Random(42), []
+    filler = "about the of a house with some people and green light for one day by many trees in river when stone from long time over small city to this is that it as was all you mit der die das und ein zu mit dem den von le la de et un que en sur el los una por con del mit".split()
+    some = lambda a, b: [rng.choice(filler) for _ in range(rng.randint(a, b))]
+    out = lambda i: held is not None and i % folds == held
+    for family, texts in NOTICES.items():
+        for i, text in enumerate(texts):
+            words = text.split()
+            rows += [(text, family, out(i))] * 3
+            rows += [(" ".join([*some(0, 10), *words[at : at + 14], *some(0, 10)]), family, out(i)) for at in range(0, max(1, len(words) - 8), 5)]
+            for k in range(16):
+                n = len(words) if k < 4 or len(words) < 10 else rng.randint(8, len(words))
+                at = rng.randint(0, len(words) - n)
+                rows.append((" ".join([*some(0, 30), *words[at : at + n], *some(0, 30)]), family, out(i)))
+    for family, (names, ids) in NAMES.items():
+        for i, frame in enumerate(FRAMES):
+            for name in names if "{}" in frame else ids:
+                words = frame.replace("{}", name).replace("<>", name).split()
+                rows.append((" ".join(words), family, out(i)))
+                rows.append((" ".join([*some(0, 40), *words, *some(0, 40)]), family, out(i)))
+    parts = sorted({w for texts in TEMPLATES.values() for t in texts for w in _plain_words(t)})
+    for i, text in enumerate(OTHERS):
+        rows += [(" ".join([*some(0, 30 * k), *text.split(), *some(0, 30 * k)]), UNKNOWN, out(i)) for k in range(8)]
+    for i in range(1600):  # words of licences without their order, and filler alone
+        words = some(4, 80)
+        for _ in range(rng.randint(1, 6) if i % 4 else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(parts))
+        rows.append((" ".join(words), UNKNOWN, out(i)))
+    return rows
 
-def _shingles(texts: list[str]) -> list[str]:
-    found = set()
-    for t in texts:
-        words = re.findall(r"[a-z0-9]+(?:[.+-][a-z0-9]+)?", t.lower())
-        found |= {" ".join(words[i : i + min(3, len(words))]) for i in range(max(1, len(words) - 2))}
-    return sorted(found)
 
+def paragraphs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the paragraphs, code points; white space around them is not part of them, blank ones are left out."""
+    out, at = [], 0
+    for stop in [*(m.start() for m in BREAK.finditer(text)), len(text)]:
+        for m in _CUT.finditer(text, at, stop) if stop - at > LONG else (slice(at, stop),):
+            a, b = (m.start, m.stop) if isinstance(m, slice) else m.span()
+            said = text[a:b]
+            if own := said.strip():
+                a += len(said) - len(said.lstrip())
+                out.append((a, a + len(own)))
+        at = stop
+    return out
 
-def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", least_shared: float = 0.5, carry: list[str] | None = None) -> DataFrame:
-    """A row for each sentence with a cue word: the columns of `carry` (the id alone if None), start, end (code points), sentence, family, probability, shared, confirmed.
 
-    family is `unknown` below the model's threshold. shared: the part of the family's best template's size or the sentence's shingles, whichever is
-    smaller, that the two have in common; confirmed: family known and shared at least least_shared. Sentences end at . ! ? before white space, or at a line's end.
-    Null and empty texts have no rows; repeated rows have theirs each; an empty table gives none. Nothing is shuffled.
+@dataclass
+class Model:
+    grams: np.ndarray  # sorted hashes of the n-grams
+    weights: np.ndarray  # a row for each n-gram, a column for each of FAMILIES
+    intercept: np.ndarray
+    threshold: float
+    templates: list[list[np.ndarray]]  # for each family after the first: hashes of each template's n-grams
+
+    def probabilities(self, row: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+        """For n paragraphs with the n-grams (row, place in grams), each pair once and sorted, the probability of every family."""
+        margins = np.tile(self.intercept, (n, 1))
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        if len(starts):
+            margins[row[starts]] += np.add.reduceat(self.weights[gram], starts, axis=0)
+        margins = np.exp(margins - margins.max(1, keepdims=True))
+        return margins / margins.sum(1, keepdims=True)
+
+
+def _place(grams: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into found, place in grams) of the hashes that are there."""
+    at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
+    here = np.flatnonzero(grams[at] == found)
+    return here, at[here]
+
+
+def _features(grams: np.ndarray, w: Words, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(part, place in grams) of the known n-grams of words that lie within one part, each pair once and sorted."""
+    pairs = []
+    for n in SIZES:
+        first, h = gram_hashes(w, n)
+        whole = part[first] == part[first + n - 1]
+        first, h = first[whole], h[whole]
+        here, place = _place(grams, h)
+        pairs.append(part[first[here]] * len(grams) + place)
+    key = np.unique(np.concatenate(pairs))
+    return key // len(grams), key % len(grams)
+
+
+@functools.cache
+def _vocabulary() -> np.ndarray:
+    w = words([t for texts in (*TEMPLATES.values(), FRAMES) for t in texts])
+    return np.unique(np.concatenate([gram_hashes(w, n)[1] for n in SIZES]))
+
+
+def fit(texts: list[str], labels: np.ndarray, penalty: float = 2e-5, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, intercept) of multinomial logistic regression with an L2 penalty, by accelerated gradient steps."""
+    grams, w = _vocabulary(), words(texts)
+    row, gram = _features(grams, w, w.text)
+    x = np.zeros((len(texts), len(grams) + 1), np.float32)
+    x[row, gram], x[:, -1] = 1, 1
+    y = np.eye(len(FAMILIES), dtype=np.float32)[labels]
+    v = np.ones(x.shape[1], np.float32)
+    for _ in range(20):  # the largest curvature, by power iteration
+        v = x.T @ (x @ v)
+        top = np.linalg.norm(v)
+        v /= top
+    rate = 1 / (0.5 * top / len(x) + penalty)
+    beta = ahead = np.zeros((x.shape[1], len(FAMILIES)), np.float32)
+    for step in range(steps):
+        p = x @ ahead
+        p = np.exp(p - p.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        new = ahead - rate * (x.T @ (p - y) / len(x) + penalty * ahead)
+        beta, ahead = new, new + step / (step + 3) * (new - beta)
+    return beta[:-1], beta[-1]
+
+
+def _model(rows: list[tuple[str, str, bool]], threshold: float) -> Model:
+    weights, intercept = fit([t for t, _, _ in rows], np.array([FAMILIES.index(f) for _, f, _ in rows]))
+    templates = [[gram_hashes(words([t]), min(3, len(_plain_words(t))))[1] for t in TEMPLATES[f]] for f in FAMILIES[1:]]
+    return Model(_vocabulary(), weights, intercept, threshold, templates)
+
+
+def scored(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the likeliest family other than unknown, its probability) of each text as one paragraph."""
+    w = words(texts)
+    p = model.probabilities(*_features(model.grams, w, w.text), len(texts))[:, 1:]
+    return p.argmax(1) + 1, p.max(1)
+
+
+def calibrated(false_rate: float, held: int = 0) -> Model:
+    """A model that saw none of the held-out sources; its threshold is the probability that false_rate of the held-out texts without a licence exceed."""
+    rows = training_rows(held)
+    model = _model([r for r in rows if not r[2]], 0.0)
+    _, p = scored(model, [t for t, f, out in rows if out and f == UNKNOWN])
+    model.threshold = float(np.quantile(p, 1 - false_rate))
+    return model
+
+
+@functools.lru_cache(maxsize=2)
+def train(false_rate: float = 0.005) -> Model:
+    """Calibrate the threshold on held-out sources, then fit on all fixed rows; done once."""
+    return _model(training_rows(), calibrated(false_rate).threshold)
+
+
+def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", least_shared: float = 0.6) -> DataFrame:
+    """A row for each paragraph: id, start, end (code points), family, probability, shared, confirmed.
+
+    family is `unknown` below the model's threshold. shared: of the family's templates the largest part of n-grams (of three words, or of all
+    words of a shorter one) that stand in the paragraph, or that the paragraph has in common with a longer one; confirmed: family known and shared
+    at least least_shared. Null and empty texts have no rows; repeated rows have theirs each; an empty table gives none. Other columns are not read. Nothing is shuffled.
     """
-    columns = [id_column] if carry is None else carry
-    text = F.col(text_column)
-    pieces, breaks = F.split(text, BREAK, -1), F.regexp_extract_all(text, F.lit(BREAK), F.lit(0))
-    none = F.array().cast("array<struct<s:bigint,sentence:string>>")
-    walked = F.aggregate(
-        F.arrays_zip(pieces.alias("p"), breaks.alias("b")),
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x["p"]) + F.coalesce(F.length(x["b"]), F.lit(0))).alias("at"), F.when(x["p"].rlike(CUE), F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), x["p"].alias("sentence"))))).otherwise(a["out"]).alias("out")),
-        lambda a: a["out"],
-    )
-    own = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).alias("own")
-    found = docs.filter(text.rlike(CUE)).select(own, F.explode(walked).alias("u")).select("own", F.col("u.s").alias("start"), (F.col("u.s") + F.length("u.sentence")).alias("end"), F.col("u.sentence").alias("sentence"))
-    scored = _probable(_vectors(found, "sentence"), model.classifier)
-    grams = F.array_distinct(F.when(F.size(_words(F.col("sentence"))) >= 3, ngrams(_words(F.col("sentence")), 3)).otherwise(F.array(F.array_join(_words(F.col("sentence")), " "))))
-    shared = F.lit(0.0)
-    for i, family in enumerate(FAMILIES[1:], 1):
-        per = [F.size(F.array_intersect(grams, F.array(*map(F.lit, _shingles([t]))))) / F.least(F.lit(len(_shingles([t]))), F.greatest(F.size(grams), F.lit(1))) for t in TEMPLATES[family]]
-        shared = F.when(F.col("__best") == i, F.greatest(*per)).otherwise(shared)
-    known = F.col("__p") >= model.threshold
-    family = F.when(known, F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("__best") + 1)).otherwise(UNKNOWN)
-    out = scored.select("own", "start", "end", "sentence", family.alias("family"), F.col("__p").alias("probability"), shared.alias("shared"), (known & (shared >= least_shared)).alias("confirmed"))
-    return out.select(*(F.col(f"own.c{i}").alias(c) for i, c in enumerate(columns)), "start", "end", "sentence", "family", "probability", "shared", "confirmed")
+    fields = T.StructType([docs.schema[id_column], *(T.StructField(n, t) for n, t in (("start", T.LongType()), ("end", T.LongType()), ("family", T.StringType()), ("probability", T.DoubleType()), ("shared", T.DoubleType()), ("confirmed", T.BooleanType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_column, 1 << 20):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            own = [paragraphs(t) for t in texts]
+            doc = np.repeat(np.arange(len(texts)), [len(o) for o in own])
+            lo, hi = (np.array([s[k] for o in own for s in o], np.int64) for k in range(2))
+            if not len(doc):
+                continue
+            w = words(texts)
+            part = np.searchsorted(w.base[doc] + lo, w.base[w.text] + w.start, side="right") - 1
+            row, gram = _features(model.grams, w, part)
+            p = model.probabilities(row, gram, len(doc))[:, 1:]
+            best, p = p.argmax(1), p.max(1)
+            known, shared = p >= model.threshold, np.zeros(len(doc))
+            sizes, edges = np.bincount(part, minlength=len(doc)), np.searchsorted(row, np.arange(len(doc) + 1))
+            for i in np.flatnonzero(known).tolist():
+                said = model.grams[gram[edges[i] : edges[i + 1]]]
+                shared[i] = min(1.0, max(np.isin(t, said).sum() / min(len(t), max(1, sizes[i] - 2)) for t in model.templates[best[i]]))
+            names = np.where(known, np.array(FAMILIES, object)[best + 1], UNKNOWN)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(lo), pa.array(hi), pa.array(names, pa.string()), pa.array(p.astype(np.float64)), pa.array(shared), pa.array(known & (shared >= least_shared))], names=fields.names)
+
+    return spread(docs.select(id_column, text_column)).mapInArrow(run, fields)

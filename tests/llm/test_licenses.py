@@ -1,44 +1,91 @@
 import re
 
+import numpy as np
 import pytest
 
-from corpusloom.llm.licenses import OTHERS, TEMPLATES, scan, train
+from corpusloom.llm.license_texts import NAMES, OTHERS
+from corpusloom.llm.licenses import FAMILIES, LONG, TEMPLATES, UNKNOWN, calibrated, paragraphs, scan, scored, train, training_rows
 
 
 @pytest.fixture(scope="module")
-def model(spark):
-    return train(spark)
+def model():
+    return train()
+
+
+def plain_grams(text):
+    words = re.findall(r"[^\W_]+", text.lower())
+    return {tuple(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+
+
+def test_paragraphs_join_lines_broken_within_a_sentence():
+    text = "One line that\ngoes on here.\nNext (one)\n\n\n  third!\n" + "w " * 900 + "\n \nend"
+    got = [text[a:b] for a, b in paragraphs(text)]
+    assert got[:3] == ["One line that\ngoes on here.", "Next (one)", "third!"] and got[-1] == "end"
+    assert all(len(p) <= LONG for p in got) and "".join(got).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
+    assert paragraphs("") == paragraphs(" \n ") == []
 
 
 def test_families_unknowns_and_places(spark, model):
-    said = {"mit": "Released under the MIT License.", "apache-2.0": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "proprietary": "All rights reserved."}
-    rows = [(i, f"Die é😀 Zeile.\n{t}\nMore text here. And more.") for i, t in enumerate(said.values())]
+    said = {"mit": "Released under the MIT License.", "apache-2.0": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0.", "proprietary": "All rights reserved.", "lgpl": "SPDX-License-Identifier: LGPL-2.1-or-later", "isc": "ISC License", "boost": "Boost Software License", "epl": "EPL-2.0"}
+    rows = [(i, f"Die é😀 Zeile.\n{t}\n\nMore text here. And more.") for i, t in enumerate(said.values())]
     rows += [(100 + i, f"Some words. {t}. Other words.") for i, t in enumerate(OTHERS)]
-    rows += [(900, None), (901, ""), (902, "no cue " * 9000), (903, "a. " * 5000 + "ALL RIGHTS RESERVED"), (None, said["mit"]), (904, said["mit"]), (904, said["mit"]), (905, "license"), (906, "....license?!\n\n\n.")]
+    rows += [(900, None), (901, ""), (902, "no cue " * 9000), (903, "a. " * 5000 + "ALL RIGHTS RESERVED"), (None, said["mit"]), (904, said["mit"]), (904, said["mit"]), (905, "license"), (906, "....license?!\n\n\n."), (907, "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software\nand associated documentation files")]
     df = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, family string")
     got = scan(df, model).collect()
     texts = dict(rows)
-    for r in got:
-        if r["doc_id"] is not None:
-            assert texts[r["doc_id"]][r["start"] : r["end"]] == r["sentence"]
-    sure = {(r["doc_id"], r["family"]) for r in got if r["confirmed"]}
-    assert sure == {*enumerate(said), (903, "proprietary"), (None, "mit"), (904, "mit")}
-    assert sum(r["doc_id"] == 904 for r in got) == 2
+    sure = {(r["doc_id"], r["family"], texts[r["doc_id"]][r["start"] : r["end"]].strip("a. ") if r["doc_id"] == 903 else None) for r in got if r["confirmed"]}
+    assert sure == {*((i, f, None) for i, f in enumerate(said)), (903, "proprietary", "ALL RIGHTS RESERVED"), (None, "mit", None), (904, "mit", None), (907, "mit", None)}
+    assert all(texts[i][r["start"] : r["end"]] == t for r in got if r["confirmed"] and r["doc_id"] is not None for i, t in enumerate(said.values()) if i == r["doc_id"])
+    assert all((r["family"] == UNKNOWN) == (r["probability"] < model.threshold) for r in got)
+    assert sum(r["doc_id"] == 904 for r in got) == 2 and not any(r["doc_id"] in (900, 901) for r in got)
     assert scan(df.limit(0), model).count() == 0
-    assert not re.search("Python|Arrow|Pandas", scan(df, model)._jdf.queryExecution().toString())
+
+
+def test_probabilities_equal_brute_force(model):
+    """The sum of the weights of the n-grams that occur, by sets of words, on the texts' own vocabulary."""
+    texts = [t for ts in TEMPLATES.values() for t in ts[:2]] + OTHERS + ["", "x"]
+    known = {}
+    from corpusloom.llm.decontam import gram_hashes, words
+
+    for t in texts:
+        own, w = re.findall(r"[^\W_]+", t.lower()), words([t])
+        for n in (1, 2, 3):
+            first, h = gram_hashes(w, n)
+            known |= {tuple(own[i : i + n]): x for i, x in zip(first.tolist(), h.tolist(), strict=True)}
+    place = {h: i for i, h in enumerate(model.grams.tolist())}
+    best, p = scored(model, texts)
+    for t, b, q in zip(texts, best, p, strict=True):
+        margin = model.intercept + sum((model.weights[place[known[g]]] for g in plain_grams(t) if known[g] in place), np.zeros(len(FAMILIES)))
+        want = np.exp(margin - margin.max())
+        want /= want.sum()
+        assert b == want[1:].argmax() + 1 and abs(q - want[1:].max()) < 1e-4
+
+
+def test_unseen_sources_and_calibration():
+    """The model, without the held-out fold, on names in carrier phrases it never saw and on texts without a licence."""
+    model, rows = calibrated(0.005), [r for r in training_rows(0) if r[2]]
+    names = [x for part in NAMES.values() for own in part for x in own]
+    best, p = scored(model, [t for t, _, _ in rows])
+    label = np.array([FAMILIES.index(f) for _, f, _ in rows])
+    named = np.array([any(n in t for n in names) for t, _, _ in rows])
+    known = p >= model.threshold
+    assert 0 < model.threshold < 1
+    assert (known & (best == label))[named & (label > 0)].mean() > 0.9
+    assert (best == label)[known & (named | (label == 0))].mean() > 0.97 and known[label == 0].mean() < 0.02
+    assert (best == label)[known].mean() > 0.9  # with stretches of unseen notices, which families share
 
 
 def test_templates_are_found(spark, model):
     rows = [(i, t) for i, t in enumerate(t for texts in TEMPLATES.values() for t in texts)]
     want = [f for f, texts in TEMPLATES.items() for _ in texts]
     got = {r["doc_id"]: r["family"] for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), model).filter("confirmed").collect()}
-    assert sum(got.get(i) == f for i, f in enumerate(want)) >= 0.8 * len(want)
+    assert sum(got.get(i) == f for i, f in enumerate(want)) >= 0.95 * len(want)
 
 
-def test_query_finds_the_known_lines(spark, sf):
+def test_query_confirms_the_known_lines_alone(spark, sf):
     from corpusloom.llm.queries import op9_license_scan
 
     lines = re.compile(r"licensed under the GNU General Public License|All rights reserved|Licensed under CC BY-NC|Released under the MIT License|Licensed under the Apache License")
     want = sorted((d["doc_id"], m.start()) for d in spark.read.parquet(f"{sf}/documents.parquet").collect() for m in lines.finditer(d["text"]))
-    got = sorted((r["doc_id"], r["start"]) for r in op9_license_scan(spark, sf).collect())
-    assert [d for d, _ in got] == [d for d, _ in want] and all(a <= b < a + 15 for (_, a), (_, b) in zip(got, want, strict=True))
+    got = sorted((r["doc_id"], r["start"], r["end"]) for r in op9_license_scan(spark, sf).filter("confirmed").collect())
+    assert [g[0] for g in got] == [d for d, _ in want] and all(a <= at < b for (_, a, b), (_, at) in zip(got, want, strict=True))
