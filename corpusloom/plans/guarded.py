@@ -10,10 +10,11 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 MOST_ROWS, MOST_SECONDS = 1000, 5.0
-#: Roots of plans that only read.
+#: Nodes of plans that only read; every node of a statement, common table expressions and subqueries included, is one of them.
 READING = {
     "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Intersect", "Except", "Join", "UnresolvedWith",
     "UnresolvedHaving", "UnresolvedInlineTable", "LocalRelation", "OneRowRelation", "SubqueryAlias", "Pivot", "Unpivot", "Generate", "WithWindowDefinition", "UnresolvedRelation", "WithCTE", "UnresolvedSubqueryColumnAliases", "Window", "LateralJoin", "ResolvedInlineTable",
+    "UnresolvedHint", "Sample", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Subquery", "ScalarSubquery", "SubqueryAlias", "UnresolvedTVFAliases", "Expand", "DeduplicateWithinWatermark", "Deduplicate",
 }
 
 
@@ -24,6 +25,45 @@ def statements(sql: str) -> int:
     return sum(bool(part.strip()) for part in bare.split(";"))
 
 
+#: Functions that call any static method.
+REFLECTIVE = {"java_method", "reflect", "try_reflect"}
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def violation(spark: SparkSession, plan) -> str | None:
+    """What in a parsed plan (a JVM object) is more than reading registered tables; None if nothing is."""
+    names, relations, todo = set(), [], [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName().rstrip("$")
+        is_plan = hasattr_(node, "maxRows")
+        if is_plan and kind not in READING:
+            return f"{kind} is not a query"
+        if kind == "UnresolvedWith":
+            names |= {t._1().lower() for t in _items(node.cteRelations())}
+        if kind == "UnresolvedRelation":
+            relations.append([*_items(node.multipartIdentifier())])
+        if kind == "UnresolvedFunction" and _items(node.nameParts())[-1].lower() in REFLECTIVE:
+            return f"{_items(node.nameParts())[-1]} is not allowed"
+        todo += _items(node.children()) + [x for x in _items(node.innerChildren()) if hasattr_(x, "innerChildren")]
+        if is_plan:
+            todo += _items(node.expressions())
+        elif hasattr_(node, "plan") and hasattr_(node.plan(), "maxRows"):
+            todo.append(node.plan())
+    for parts in relations:
+        if not (len(parts) == 1 and parts[0].lower() in names) and not spark.catalog.tableExists(".".join(f"`{p}`" for p in parts)):
+            return f"{'.'.join(parts)} is not a registered table" if len(parts) > 1 else None
+    return None
+
+
+def hasattr_(node, method: str) -> bool:
+    """Whether a JVM object has a method of that name."""
+    return any(m.getName() == method for m in node.getClass().getMethods())
+
+
 def failed(status: str, sql: str, error: str) -> dict:
     return {"status": status, "sql": sql, "error": error, "rows": [], "columns": []}
 
@@ -34,11 +74,11 @@ def run(spark: SparkSession, sql: str, most_rows: int = MOST_ROWS, most_seconds:
         return failed("multiple_statements" if statements(sql) > 1 else "query_failed", sql, "one statement is wanted")
     text = sql.strip().rstrip(";")
     try:
-        root = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).nodeName()
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:  # the parser's own error, told as such
         return failed("query_failed", sql, str(e).splitlines()[0])
-    if root not in READING:
-        return failed("read_only_violation", sql, f"{root} is not a query")
+    if why := violation(spark, plan):
+        return failed("read_only_violation", sql, why)
     group = f"guarded-{uuid.uuid4().hex}"
     late = threading.Event()
 
