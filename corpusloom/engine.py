@@ -108,17 +108,17 @@ class Engine:
 
     @soft
     def lookup(self, query: str, domain: str | None = None, limit: int = 50, offset: int = 0) -> dict:
-        """Canonical terms whose name, aliases or kind match, with aliases and sources."""
+        """Canonical terms whose name, aliases or kind match by word stems, with aliases and sources."""
         own = self._with(query, domain=domain)
         aliases = self.t["aliases"].groupBy("term_id").agg(F.array_join(F.sort_array(F.collect_set("alias")), " ").alias("aliases"), F.sort_array(F.collect_set("slug")).alias("sources"))
         rows = self.t["terms"].join(aliases, "term_id", "left").withColumn("slug", F.col("canonical_name"))
         if kind := own.qualifiers.get("kind"):
             rows = rows.filter(F.col("term_type") == kind)
-        hits = search.ranked(index.build(rows, "term_id", ["domain", "term_type", "entity_type", "canonical_name", "aliases"]), rows, Parsed(own.node, {k: v for k, v in own.qualifiers.items() if k == "domain"}))
+        hits = search.ranked(index.build(rows, "term_id", ["domain", "term_type", "entity_type", "canonical_name", "aliases"], stemmed=True), rows, Parsed(own.node, {k: v for k, v in own.qualifiers.items() if k == "domain"}))
         return {"status": "ok", "terms": _dicts(search.page(hits, "term_id", min(limit, PAGE_MOST), offset).drop("slug")), "total": hits.count()}
 
-    def browse(self, which: str, domain: str | None = None) -> dict:
-        """collections, topics, entity_type or aliases with their counts."""
+    def browse(self, which: str, domain: str | None = None, limit: int | None = None, offset: int = 0) -> dict:
+        """collections, topics, entity_type or aliases with their counts, or needs_review: sources marked so; total and truncated tell what a limit leaves out."""
         members = self.t["members"] if domain is None else self.t["members"].filter(F.col("domain") == domain)
         terms = self.t["terms"] if domain is None else self.t["terms"].filter(F.col("domain") == domain)
         views = {
@@ -126,8 +126,17 @@ class Engine:
             "topics": lambda: self.t["topics"].groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "topic"),
             "entity_type": lambda: terms.filter("term_type = 'entity'").groupBy("entity_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_type"),
             "aliases": lambda: self.t["aliases"].join(terms, "term_id").select("canonical_name", "alias").distinct().orderBy("canonical_name", "alias"),
+            "needs_review": lambda: self._to_review(domain),
         }
-        return {"status": "ok", which: _dicts(views[which]().limit(1000))} if which in views else {"status": "unknown_view", "which": which}
+        if which not in views:
+            return {"status": "unknown_view", "which": which}
+        rows = views[which]()
+        paged, total = rows.offset(offset), rows.count()
+        return {"status": "ok", which: _dicts(paged if limit is None else paged.limit(limit)), "total": total, "truncated": limit is not None and total > offset + limit}
+
+    def _to_review(self, domain: str | None) -> DataFrame:
+        own = self.t["sources"] if domain is None else self.t["sources"].filter(F.col("domain") == domain)
+        return own.filter("needs_review").select("kind", "slug", "title", "domain").orderBy("kind", "slug") if "needs_review" in own.columns else own.limit(0).select("kind", "slug", "title", "domain")
 
     def overview(self, domain: str | None = None, most: int = 30) -> dict:
         """Domains with their largest collections and how many more there are."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.stem import stem, stems
 from corpusloom.functions.text import tokens
 from corpusloom.plans.parser import And, Node, Not, Or, Phrase, phrases
 
@@ -21,25 +23,34 @@ class Index:
     key: str
     postings: DataFrame
     lengths: DataFrame
+    stemmed: bool = False
+    buckets: int | None = None  # of saved postings
 
     def save(self, path: str, buckets: int = 64) -> None:
-        """Postings partitioned by a hash bucket of the term and sorted by term, so that a query reads few files and skips most row groups."""
+        """Postings partitioned by a hash bucket of the term and sorted by term, so that a query reads the buckets of its words only and skips most row groups there."""
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
         self.postings.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("term", self.key, "col", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @staticmethod
-    def load(spark, path: str, key: str) -> Index:
-        return Index(key, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    def load(spark, path: str, key: str, stemmed: bool = False, buckets: int = 64) -> Index:
+        return Index(key, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), stemmed, buckets)
 
 
-def build(rows: DataFrame, key: str, columns: list[str]) -> Index:
-    """Index the columns of rows, which `key` identifies; all columns count for matches, frequencies and lengths."""
-    cols = rows.select(key, *(tokens(F.col(c).cast("string")).alias(f"t{i}") for i, c in enumerate(columns)))
+def build(rows: DataFrame, key: str, columns: list[str], stemmed: bool = False) -> Index:
+    """Index the columns of rows, which `key` identifies; all columns count for matches, frequencies and lengths. stemmed: words by their stems, in queries too."""
+    said = lambda c: tokens(F.col(c).cast("string"))
+    cols = rows.select(key, *((stems(said(c)) if stemmed else said(c)).alias(f"t{i}") for i, c in enumerate(columns)))
     lengths = cols.select(key, sum((F.size(f"t{i}") for i in range(len(columns))), F.lit(0)).alias("len"))
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("col"), F.col(f"t{i}").alias("t")) for i in range(len(columns)))))
     postings = cols.select(key, each.alias("c")).select(key, "c.col", F.posexplode("c.t").alias("pos", "term"))
-    return Index(key, postings, lengths)
+    return Index(key, postings, lengths, stemmed)
+
+
+def _bucket(token: str, buckets: int) -> int:
+    """The bucket that save() puts a term into: Spark's xxhash64 is XXH64 with seed 42, signed."""
+    h = xxhash.xxh64_intdigest(token.encode(), 42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
 
 
 def _fits(token: str, prefix: bool) -> Column:
@@ -52,10 +63,15 @@ def occurrences(index: Index, wanted: list[Phrase]) -> DataFrame:
     Each posting that fits a phrase's i-th token votes for the start pos - i; a start with all votes is an occurrence. So a phrase
     takes one aggregation and no self-join, and the filter on terms reaches the scan.
     """
+    if index.stemmed:
+        wanted = [replace(p, tokens=tuple(map(stem, p.tokens))) for p in wanted]
     votes = [F.when(_fits(t, p.prefix and i == len(p.tokens) - 1), F.struct(F.lit(k).alias("k"), (F.col("pos") - i).alias("start"))) for k, p in enumerate(wanted) for i, t in enumerate(p.tokens)]
     any_term = reduce(Column.__or__, [_fits(t, p.prefix and i == len(p.tokens) - 1) for p in wanted for i, t in enumerate(p.tokens)])
     need = F.element_at(F.array(*(F.lit(len(p.tokens)) for p in wanted)), F.col("v.k") + 1)
-    cast = index.postings.filter(any_term).select(index.key, "col", F.explode(F.filter(F.array(*votes), lambda v: v.isNotNull())).alias("v"))
+    postings = index.postings
+    if index.buckets and not any(p.prefix for p in wanted):  # a prefix may stand in any bucket
+        postings = postings.filter(F.col("bucket").isin(sorted({_bucket(t, index.buckets) for p in wanted for t in p.tokens})))
+    cast = postings.filter(any_term).select(index.key, "col", F.explode(F.filter(F.array(*votes), lambda v: v.isNotNull())).alias("v"))
     starts = cast.groupBy(index.key, "col", F.col("v.k").alias("k"), F.col("v.start").alias("start"), need.alias("need")).agg(F.count("*").alias("n"))
     return starts.filter("n = need").groupBy(index.key, "k").agg(F.count("*").alias("f"))
 
