@@ -87,11 +87,6 @@ def _seeds(w: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return inside, _mixed(total[inside])
 
 
-def gram_hashes(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of each run of n words within one text."""
-    return _seeds(w, "1" * n)
-
-
 def needed(n: int) -> int:
     """Words that must agree for an overlap with a benchmark text of n words to count: all of one under ten words, else four fifths, 13 at most."""
     return n if n < 10 else min(13, -(-4 * n // 5))

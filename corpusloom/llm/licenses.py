@@ -1,41 +1,57 @@
-"""Licence scans: a trained paragraph classifier, a calibrated unknown class, and a template comparison.
+"""Licence scans in DataFrame functions only: a trained paragraph classifier, a calibrated unknown class, and a template comparison.
 
 Every paragraph is classified by sparse word n-grams (1 to 3) and multinomial logistic regression; there is no filter before it. Below a threshold,
 set on held-out texts that are no licence, the family is `unknown`. A family is confirmed if one of its templates is found in the
-paragraph by enough n-grams. Training uses fixed texts, so its size is fixed. A form in DataFrame functions alone was tried and is too slow (README).
+paragraph by enough n-grams. Training uses fixed texts, so its size is fixed.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, spread
-from corpusloom.llm.decontam import Words, gram_hashes, words
 from corpusloom.llm.license_texts import FRAMES, NAMES, NOTICES, OTHERS
 
 UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *NOTICES]
 #: What a family's template comparison looks for: its notices, names and identifiers.
 TEMPLATES = {family: [*texts, *(x for part in NAMES.get(family, ()) for x in part)] for family, texts in NOTICES.items()}
-#: A paragraph ends at a blank line or at a line's end behind the end of a sentence, so lines broken within a sentence stay together.
-BREAK = re.compile(r"\n(?:(?<=[.!?\"')\]]\n)|(?=[ \t\r]*\n))")
-#: Longer paragraphs are cut at white space before this many characters.
-LONG = 600
-_CUT = re.compile(r"(?s).{1,%d}(?=\s|\Z)|.{1,%d}" % (LONG, LONG))
-SIZES = (1, 2, 3)
+#: A paragraph ends at a blank line or at a line's end behind the end of a sentence, so lines broken within a sentence stay together. Longer ones are
+#: cut at white space before 600 characters.
+BREAK, LONG, CUT = r"\n(?:(?<=[.!?\"')\]]\n)|(?=[ \t\r]*\n))", 600, r"(?s).{1,600}(?:\s|\z)|.{1,600}"
 
 
 def _plain_words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def _plain_grams(text: str, sizes: Iterable[int] = (1, 2, 3)) -> list[str]:
+    words = _plain_words(text)
+    return list(dict.fromkeys(" ".join(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)))
+
+
+@functools.cache
+def _vocabulary() -> list[str]:
+    return list(dict.fromkeys(g for texts in (*TEMPLATES.values(), FRAMES) for t in texts for g in _plain_grams(t)))
+
+
+def _grammed(df: DataFrame) -> DataFrame:
+    """Adds __words (runs of a-z and digits of `paragraph` in lower case, null for one that no feature has) and __grams (of the words, then runs of two and three), each worked out once."""
+    words, two = F.col("__words"), F.col("__two")
+    pairs = lambda a, skip: F.zip_with(a, F.slice(words, skip, F.size(words)), lambda x, y: F.concat(x, F.lit(" "), y))
+    said = sorted({w for g in _vocabulary() for w in g.split()})
+    own = df.withColumn("__words", F.transform(F.split(F.lower("paragraph"), "[^a-z0-9]+"), lambda w: F.when(w.isin(said), w))).withColumn("__two", pairs(words, 2))
+    return own.withColumn("__grams", F.array_compact(F.concat(words, two, pairs(two, 3)))).drop("__two")
 
 
 def training_rows(held: int | None = None, folds: int = 5) -> list[tuple[str, str, bool]]:
@@ -73,113 +89,63 @@ def training_rows(held: int | None = None, folds: int = 5) -> list[tuple[str, st
     return rows
 
 
-def paragraphs(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the paragraphs, code points; white space around them is not part of them, blank ones are left out."""
-    out, at = [], 0
-    for stop in [*(m.start() for m in BREAK.finditer(text)), len(text)]:
-        for m in _CUT.finditer(text, at, stop) if stop - at > LONG else (slice(at, stop),):
-            a, b = (m.start, m.stop) if isinstance(m, slice) else m.span()
-            said = text[a:b]
-            if own := said.strip():
-                a += len(said) - len(said.lstrip())
-                out.append((a, a + len(own)))
-        at = stop
-    return out
-
-
 @dataclass
 class Model:
-    grams: np.ndarray  # sorted hashes of the n-grams
-    weights: np.ndarray  # a row for each n-gram, a column for each of FAMILIES
-    intercept: np.ndarray
+    vectorizer: CountVectorizerModel
+    classifier: LogisticRegressionModel
     threshold: float
-    templates: list[list[np.ndarray]]  # for each family after the first: hashes of each template's n-grams
-
-    def probabilities(self, row: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
-        """For n paragraphs with the n-grams (row, place in grams), each pair once and sorted, the probability of every family."""
-        margins = np.tile(self.intercept, (n, 1))
-        starts = np.flatnonzero(np.diff(row, prepend=-1))
-        if len(starts):
-            margins[row[starts]] += np.add.reduceat(self.weights[gram], starts, axis=0)
-        margins = np.exp(margins - margins.max(1, keepdims=True))
-        return margins / margins.sum(1, keepdims=True)
-
-
-def _place(grams: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index into found, place in grams) of the hashes that are there."""
-    at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
-    here = np.flatnonzero(grams[at] == found)
-    return here, at[here]
-
-
-def _features(grams: np.ndarray, w: Words, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(part, place in grams) of the known n-grams of words that lie within one part, each pair once and sorted."""
-    pairs = []
-    for n in SIZES:
-        first, h = gram_hashes(w, n)
-        whole = part[first] == part[first + n - 1]
-        first, h = first[whole], h[whole]
-        here, place = _place(grams, h)
-        pairs.append(part[first[here]] * len(grams) + place)
-    key = np.unique(np.concatenate(pairs))
-    return key // len(grams), key % len(grams)
 
 
-@functools.cache
-def _vocabulary() -> np.ndarray:
-    w = words([t for texts in (*TEMPLATES.values(), FRAMES) for t in texts])
-    return np.unique(np.concatenate([gram_hashes(w, n)[1] for n in SIZES]))
-
-
-def fit(texts: list[str], labels: np.ndarray, penalty: float = 2e-5, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, intercept) of multinomial logistic regression with an L2 penalty, by accelerated gradient steps."""
-    grams, w = _vocabulary(), words(texts)
-    row, gram = _features(grams, w, w.text)
-    x = np.zeros((len(texts), len(grams) + 1), np.float32)
-    x[row, gram], x[:, -1] = 1, 1
-    y = np.eye(len(FAMILIES), dtype=np.float32)[labels]
-    v = np.ones(x.shape[1], np.float32)
-    for _ in range(20):  # the largest curvature, by power iteration
-        v = x.T @ (x @ v)
-        top = np.linalg.norm(v)
-        v /= top
-    rate = 1 / (0.5 * top / len(x) + penalty)
-    beta = ahead = np.zeros((x.shape[1], len(FAMILIES)), np.float32)
-    for step in range(steps):
-        p = x @ ahead
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        new = ahead - rate * (x.T @ (p - y) / len(x) + penalty * ahead)
-        beta, ahead = new, new + step / (step + 3) * (new - beta)
-    return beta[:-1], beta[-1]
-
-
-def _model(rows: list[tuple[str, str, bool]], threshold: float) -> Model:
-    weights, intercept = fit([t for t, _, _ in rows], np.array([FAMILIES.index(f) for _, f, _ in rows]))
-    templates = [[gram_hashes(words([t]), min(3, len(_plain_words(t))))[1] for t in TEMPLATES[f]] for f in FAMILIES[1:]]
-    return Model(_vocabulary(), weights, intercept, threshold, templates)
-
-
-def scored(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the likeliest family other than unknown, its probability) of each text as one paragraph."""
-    w = words(texts)
-    p = model.probabilities(*_features(model.grams, w, w.text), len(texts))[:, 1:]
-    return p.argmax(1) + 1, p.max(1)
-
-
-def calibrated(false_rate: float, held: int = 0) -> Model:
+def _vectorizer() -> CountVectorizerModel:
+    return CountVectorizerModel.from_vocabulary(_vocabulary(), inputCol="__grams", outputCol="__vector").setBinary(True)
+
+
+def probable(df: DataFrame, vectorizer: CountVectorizerModel, classifier: LogisticRegressionModel) -> DataFrame:
+    """Adds __best (index of the likeliest family other than unknown) and __p, its probability, to rows with `paragraph`."""
+    p = vector_to_array("__probability")
+    out = classifier.transform(vectorizer.transform(_grammed(df))).withColumn("__known", F.slice(p, 2, len(FAMILIES) - 1))
+    return out.withColumn("__p", F.array_max("__known")).withColumn("__best", F.array_position("__known", F.col("__p")).cast("int"))
+
+
+def _fitted(spark: SparkSession, vectorizer: CountVectorizerModel, rows: list[tuple[str, str, bool]]) -> LogisticRegressionModel:
+    own = spark.createDataFrame([(s, float(FAMILIES.index(f))) for s, f, _ in rows], "paragraph string, label double").coalesce(1)
+    data = vectorizer.transform(_grammed(own)).select("__vector", "label")
+    return LogisticRegression(featuresCol="__vector", labelCol="label", probabilityCol="__probability", rawPredictionCol="__raw", predictionCol="__prediction", family="multinomial", regParam=1e-3, maxIter=40).fit(data).setPredictionCol("")
+
+
+def calibrated(spark: SparkSession, false_rate: float, held: int = 0) -> Model:
     """A model that saw none of the held-out sources; its threshold is the probability that false_rate of the held-out texts without a licence exceed."""
-    rows = training_rows(held)
-    model = _model([r for r in rows if not r[2]], 0.0)
-    _, p = scored(model, [t for t, f, out in rows if out and f == UNKNOWN])
-    model.threshold = float(np.quantile(p, 1 - false_rate))
-    return model
+    rows, vectorizer = training_rows(held), _vectorizer()
+    classifier = _fitted(spark, vectorizer, [r for r in rows if not r[2]])
+    others = spark.createDataFrame([(t,) for t, f, out in rows if out and f == UNKNOWN], "paragraph string")
+    return Model(vectorizer, classifier, float(probable(others, vectorizer, classifier).agg(F.percentile("__p", F.lit(1 - false_rate))).first()[0]))
 
 
 @functools.lru_cache(maxsize=2)
-def train(false_rate: float = 0.005) -> Model:
-    """Calibrate the threshold on held-out sources, then fit on all fixed rows; done once."""
-    return _model(training_rows(), calibrated(false_rate).threshold)
+def train(spark: SparkSession, false_rate: float = 0.005) -> Model:
+    """Calibrate the threshold on held-out sources, then fit on all fixed rows; done once for each session."""
+    vectorizer = _vectorizer()
+    return Model(vectorizer, _fitted(spark, vectorizer, training_rows()), calibrated(spark, false_rate).threshold)
+
+
+def _before(values: Column, block: int = 256) -> Column:
+    """For each element of an array<bigint> the sum of those before it. Blocks are summed apart, so that no growing array is copied at every step."""
+    none = F.array().cast("array<bigint>")
+    sums = lambda x: F.aggregate(x, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda i: F.slice(values, i * block + 1, block))
+    bases = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x)))
+    return F.flatten(F.zip_with(blocks, bases, lambda b, base: F.transform(sums(b), lambda v: v + base)))
+
+
+def paragraphs(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """The rows with start (code points) and paragraph instead of the text; white space at a paragraph's end is not part of it, blank ones are left out."""
+    rest = [c for c in docs.columns if c != text_column]
+    pieces = F.transform(F.split(F.col(text_column), BREAK), lambda p: F.concat(p, F.lit("\n")))
+    found = docs.select(*rest, F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= LONG, F.array(p)).otherwise(F.regexp_extract_all(p, F.lit(CUT), F.lit(0))))).alias("__found"))
+    sized = found.withColumn("__sizes", F.transform("__found", lambda p: F.length(p).cast("long"))).withColumn("__starts", _before(F.col("__sizes")))
+    each = sized.select(*rest, F.explode(F.arrays_zip("__starts", "__found")).alias("__u")).select(*rest, F.col("__u.__starts").alias("start"), F.regexp_replace("__u.__found", r"\s+\z", "").alias("paragraph"))
+    return each.filter("paragraph <> ''")
 
 
 def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", least_shared: float = 0.6) -> DataFrame:
@@ -189,27 +155,13 @@ def scan(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     words of a shorter one) that stand in the paragraph, or that the paragraph has in common with a longer one; confirmed: family known and shared
     at least least_shared. Null and empty texts have no rows; repeated rows have theirs each; an empty table gives none. Other columns are not read. Nothing is shuffled.
     """
-    fields = T.StructType([docs.schema[id_column], *(T.StructField(n, t) for n, t in (("start", T.LongType()), ("end", T.LongType()), ("family", T.StringType()), ("probability", T.DoubleType()), ("shared", T.DoubleType()), ("confirmed", T.BooleanType())))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_column, 1 << 20):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            own = [paragraphs(t) for t in texts]
-            doc = np.repeat(np.arange(len(texts)), [len(o) for o in own])
-            lo, hi = (np.array([s[k] for o in own for s in o], np.int64) for k in range(2))
-            if not len(doc):
-                continue
-            w = words(texts)
-            part = np.searchsorted(w.base[doc] + lo, w.base[w.text] + w.start, side="right") - 1
-            row, gram = _features(model.grams, w, part)
-            p = model.probabilities(row, gram, len(doc))[:, 1:]
-            best, p = p.argmax(1), p.max(1)
-            known, shared = p >= model.threshold, np.zeros(len(doc))
-            sizes, edges = np.bincount(part, minlength=len(doc)), np.searchsorted(row, np.arange(len(doc) + 1))
-            for i in np.flatnonzero(known).tolist():
-                said = model.grams[gram[edges[i] : edges[i + 1]]]
-                shared[i] = min(1.0, max(np.isin(t, said).sum() / min(len(t), max(1, sizes[i] - 2)) for t in model.templates[best[i]]))
-            names = np.where(known, np.array(FAMILIES, object)[best + 1], UNKNOWN)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(lo), pa.array(hi), pa.array(names, pa.string()), pa.array(p.astype(np.float64)), pa.array(shared), pa.array(known & (shared >= least_shared))], names=fields.names)
-
-    return spread(docs.select(id_column, text_column)).mapInArrow(run, fields)
+    found = paragraphs(docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("text")))
+    scored = probable(found, model.vectorizer, model.classifier)
+    known = F.col("__p") >= model.threshold
+    templates = [[_plain_grams(t, (min(3, len(_plain_words(t))),)) for t in TEMPLATES[f]] for f in FAMILIES[1:]]
+    held = F.from_json(F.lit(json.dumps(templates)), "array<array<array<string>>>")
+    threes = F.greatest(F.size(F.array_remove(F.split(F.lower("paragraph"), "[^a-z0-9]+"), "")) - 2, F.lit(1))
+    shared = F.array_max(F.transform(F.element_at(held, F.col("__best")), lambda t: F.size(F.array_intersect(t, F.col("__grams"))) / F.least(F.size(t), threes)))
+    out = scored.withColumn("__shared", F.when(known, F.least(shared, F.lit(1.0))).otherwise(0.0))
+    family = F.when(known, F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("__best") + 1)).otherwise(UNKNOWN)
+    return out.select(F.col("__id").alias(id_column), "start", (F.col("start") + F.length("paragraph")).alias("end"), family.alias("family"), F.col("__p").alias("probability"), F.col("__shared").alias("shared"), (known & (F.col("__shared") >= least_shared)).alias("confirmed"))

@@ -92,7 +92,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import licenses
 
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.train())
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.train(spark))
 
 
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,25 +4,34 @@ import numpy as np
 import pytest
 
 from corpusloom.llm.license_texts import NAMES, OTHERS
-from corpusloom.llm.licenses import FAMILIES, LONG, TEMPLATES, UNKNOWN, calibrated, paragraphs, scan, scored, train, training_rows
+from corpusloom.llm.licenses import FAMILIES, LONG, TEMPLATES, UNKNOWN, calibrated, paragraphs, probable, scan, train, training_rows
 
 
 @pytest.fixture(scope="module")
-def model():
-    return train()
+def model(spark):
+    return train(spark)
+
+
+def scored(spark, model, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, paragraph string")
+    got = sorted((r["i"], r["__best"], r["__p"]) for r in probable(rows, model.vectorizer, model.classifier).select("i", "__best", "__p").collect())
+    return np.array([b for _, b, _ in got]), np.array([p for _, _, p in got])
 
 
 def plain_grams(text):
-    words = re.findall(r"[^\W_]+", text.lower())
+    words = re.findall("[a-z0-9]+", text.lower())
     return {tuple(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
-def test_paragraphs_join_lines_broken_within_a_sentence():
+def test_paragraphs_join_lines_broken_within_a_sentence(spark):
     text = "One line that\ngoes on here.\nNext (one)\n\n\n  third!\n" + "w " * 900 + "\n \nend"
-    got = [text[a:b] for a, b in paragraphs(text)]
-    assert got[:3] == ["One line that\ngoes on here.", "Next (one)", "third!"] and got[-1] == "end"
-    assert all(len(p) <= LONG for p in got) and "".join(got).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
-    assert paragraphs("") == paragraphs(" \n ") == []
+    rows = spark.createDataFrame([(1, text), (2, ""), (3, " \n "), (4, None), (5, "é😀.\n" * 1000 + "x")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["paragraph"]) for r in paragraphs(rows).collect())
+    assert all(dict(rows.collect())[i][s : s + len(p)] == p and len(p) <= LONG for i, s, p in got)
+    one = [p for i, _, p in got if i == 1]
+    assert one[:2] == ["One line that\ngoes on here.", "Next (one)"] and one[2].strip() == "third!" and one[-1].strip() == "end"
+    assert "".join(one).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
+    assert {i for i, _, _ in got} == {1, 5} and sum(i == 5 for i, _, _ in got) == 1001
 
 
 def test_families_unknowns_and_places(spark, model):
@@ -39,33 +48,26 @@ def test_families_unknowns_and_places(spark, model):
     assert all((r["family"] == UNKNOWN) == (r["probability"] < model.threshold) for r in got)
     assert sum(r["doc_id"] == 904 for r in got) == 2 and not any(r["doc_id"] in (900, 901) for r in got)
     assert scan(df.limit(0), model).count() == 0
+    assert not re.search("Python|Arrow|Pandas", scan(df, model)._jdf.queryExecution().toString())
 
 
-def test_probabilities_equal_brute_force(model):
-    """The sum of the weights of the n-grams that occur, by sets of words, on the texts' own vocabulary."""
+def test_probabilities_equal_brute_force(spark, model):
+    """The softmax of the summed weights of the n-grams that occur."""
     texts = [t for ts in TEMPLATES.values() for t in ts[:2]] + OTHERS + ["", "x"]
-    known = {}
-    from corpusloom.llm.decontam import gram_hashes, words
-
-    for t in texts:
-        own, w = re.findall(r"[^\W_]+", t.lower()), words([t])
-        for n in (1, 2, 3):
-            first, h = gram_hashes(w, n)
-            known |= {tuple(own[i : i + n]): x for i, x in zip(first.tolist(), h.tolist(), strict=True)}
-    place = {h: i for i, h in enumerate(model.grams.tolist())}
-    best, p = scored(model, texts)
-    for t, b, q in zip(texts, best, p, strict=True):
-        margin = model.intercept + sum((model.weights[place[known[g]]] for g in plain_grams(t) if known[g] in place), np.zeros(len(FAMILIES)))
+    place = {tuple(g.split()): i for i, g in enumerate(model.vectorizer.vocabulary)}
+    weights, intercept = model.classifier.coefficientMatrix.toArray(), model.classifier.interceptVector.toArray()
+    for t, b, q in zip(texts, *scored(spark, model, texts), strict=True):
+        margin = intercept + weights[:, [place[g] for g in plain_grams(t) if g in place]].sum(1)
         want = np.exp(margin - margin.max())
         want /= want.sum()
-        assert b == want[1:].argmax() + 1 and abs(q - want[1:].max()) < 1e-4
+        assert b == want[1:].argmax() + 1 and abs(q - want[1:].max()) < 1e-9
 
 
-def test_unseen_sources_and_calibration():
+def test_unseen_sources_and_calibration(spark):
     """The model, without the held-out fold, on names in carrier phrases it never saw and on texts without a licence."""
-    model, rows = calibrated(0.005), [r for r in training_rows(0) if r[2]]
+    model, rows = calibrated(spark, 0.005), [r for r in training_rows(0) if r[2]]
     names = [x for part in NAMES.values() for own in part for x in own]
-    best, p = scored(model, [t for t, _, _ in rows])
+    best, p = scored(spark, model, [t for t, _, _ in rows])
     label = np.array([FAMILIES.index(f) for _, f, _ in rows])
     named = np.array([any(n in t for n in names) for t, _, _ in rows])
     known = p >= model.threshold
