@@ -244,19 +244,10 @@ def citations_resolved(spark, sf):
     return _resolved(spark, sf).select("src", "ref_number", "cited", "cited_id")
 
 
-@query(f"""WITH {EDGES}, placed AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ref_number) AS place FROM done)
-SELECT src, count(*) FILTER (place <= 3 AND cited_id IS NOT NULL) AS resolved, count(*) FILTER (place <= 3 AND cited_id IS NULL AND cited IS NOT NULL) AS missing,
-count(*) FILTER (place <= 3 AND cited IS NULL) AS unresolvable, count(*) > 3 AS truncated FROM placed GROUP BY src HAVING count(DISTINCT ref_number) = count(*)""")
-def citations_outbound(spark, sf):
-    own = _resolved(spark, sf)
-    alone = own.groupBy("src").agg(F.count("*").alias("n"), F.countDistinct("ref_number").alias("d")).filter("n = d").select("src")
-    return graph.outbound(own.join(alone, "src", "left_semi"), most=3)
-
-
 @query(f"""WITH {EDGES}, placed AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ref_number NULLS LAST, cited NULLS LAST, cited_id NULLS LAST) AS place FROM done)
 SELECT src, count(*) FILTER (place <= 3 AND cited_id IS NOT NULL) AS resolved, count(*) FILTER (place <= 3 AND cited_id IS NULL AND cited IS NOT NULL) AS missing,
 count(*) FILTER (place <= 3 AND cited IS NULL) AS unresolvable, count(*) > 3 AS truncated FROM placed GROUP BY src""")
-def citations_outbound_all(spark, sf):
+def citations_outbound(spark, sf):
     return graph.outbound(_resolved(spark, sf), most=3)
 
 
@@ -303,12 +294,12 @@ def fuzzy_matches(spark, sf):
     return resolve.fuzzy(frame(spark, "lit_names"), frame(spark, "lit_terms"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, label, embedding AS a FROM embeddings WHERE vec_id < 20),
+@query("""WITH q AS (SELECT vec_id AS query_id, label, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
 d AS (SELECT query_id, vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))), 9) AS cosine FROM q JOIN embeddings USING (label) WHERE query_id <> vec_id)
 SELECT query_id, id, round(cosine, 6) AS cosine, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS place FROM d) WHERE place <= 10""")
 def nearest_in_scope(spark, sf):
     own = corpus.table(spark, sf, "embeddings")
-    q = own.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("embedding").alias("q"))
+    q = own.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("embedding").alias("q"))
     return resolve.neighbours(q, own.select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), F.col("embedding").alias("v"))).withColumn("cosine", F.round("cosine", 6))
 
 
