@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import gather, hot_join, keep, slices, spread
-from corpusloom.llm.components import components
+from corpusloom.llm.components import components, settle
 
 SEED = 42
 
@@ -57,19 +57,6 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 # ---- the trie join within one task
 
 
-def _settle(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Union the pairs (u, v) into label, which points to the smallest member."""
-    while len(u):
-        a, b = label[u], label[v]
-        apart = a != b
-        if not apart.any():
-            return
-        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (up := label[label]).tobytes() != label.tobytes():
-            label[:] = up
-
-
 def trie_links(keys: np.ndarray, groups: np.ndarray, prints: np.ndarray, budget: int, leaf: int = 256, most: int = 1 << 21) -> np.ndarray:
     """label[i]: the smallest position linked to i by prints (uint64) of the same group with at most `budget` differing bits.
 
@@ -98,7 +85,7 @@ def trie_links(keys: np.ndarray, groups: np.ndarray, prints: np.ndarray, budget:
             inner = gather(np.zeros(int(p.sum()), np.int64), sizes[p])
             i, j = la[which] + inner // lw[which], lb[which] + inner % lw[which]
             near = (i < j) & (np.bitwise_count(prints[i] ^ prints[j]) <= budget)
-            _settle(label, i[near], j[near])
+            settle(label, i[near], j[near])
         alo, ahi, blo, bhi, spent = (x[~small] for x in (alo, ahi, blo, bhi, spent))
         if not len(alo):
             break
