@@ -110,11 +110,30 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards written, then read back for sizes and checksums."""
+    from corpusloom.llm import sharding
+
+    return sharding.digests(sharding.shuffle(table(spark, sf_dir, "documents"), common.fresh_path(spark, "shards"), shards=16, seed=20_240_611))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import spelling
+
+    return spelling.variants(spelling.dictionary(table(spark, sf_dir, "documents")), ratio=5)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_training_order, op3_secret_scan, op4_decontamination, op5_chat_format, op6_best_fit_packing, op7_language_id, op8_simhash_near_dedup, op9_license_scan, op10_token_rollups)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_training_order, op3_secret_scan, op4_decontamination, op5_chat_format, op6_best_fit_packing, op7_language_id, op8_simhash_near_dedup, op9_license_scan, op10_token_rollups, op11_external_shuffle, op12_spelling_variants, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpusloom.llm import secrets
+    from corpusloom.llm import filter_audit, secrets
 
-    return {"op1_exact_top_k": OP1_SQL, "op3_secret_scan": secrets.oracle()}
+    return {"op1_exact_top_k": OP1_SQL, "op3_secret_scan": secrets.oracle(), "op13_filter_audit": filter_audit.SQL}
