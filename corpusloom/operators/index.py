@@ -18,18 +18,21 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 @dataclass
 class Index:
-    """postings: key, col, pos, term. lengths: key, len, over all indexed columns, a row for each indexed row."""
+    """postings: key, len, col, pos, term, where len is the row's over all indexed columns. lengths: key, len, a row for each indexed row.
+
+    sums: rows and their total length where they are known already, as for a maintained index; else they are aggregated from lengths.
+    """
 
     key: str
     postings: DataFrame
-    lengths: DataFrame
+    lengths: DataFrame | None
     stemmed: bool = False
     buckets: int | None = None  # of saved postings
+    sums: tuple[int, int] | None = None
 
     def save(self, path: str, buckets: int = 64) -> None:
         """Postings partitioned by a hash bucket of the term and sorted by term, so that a query reads the buckets of its words only and skips most row groups there."""
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        self.postings.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("term", self.key, "col", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.postings.withColumn("bucket", bucket_of(buckets)).repartition(buckets, "bucket").sortWithinPartitions("term", self.key, "col", "pos").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @staticmethod
@@ -39,12 +42,20 @@ class Index:
 
 def build(rows: DataFrame, key: str, columns: list[str], stemmed: bool = False) -> Index:
     """Index the columns of rows, which `key` identifies; all columns count for matches, frequencies and lengths. stemmed: words by their stems, in queries too."""
+    own = tokenised(rows, [key], columns, stemmed)
+    return Index(key, exploded(own, [key]), own.select(key, "len"), stemmed)
+
+
+def tokenised(rows: DataFrame, keys: list[str], columns: list[str], stemmed: bool = False) -> DataFrame:
+    """keys, cols (an array of the columns' tokens) and len, how many there are."""
     said = lambda c: tokens(F.col(c).cast("string"))
-    cols = rows.select(key, *((stems(said(c)) if stemmed else said(c)).alias(f"t{i}") for i, c in enumerate(columns)))
-    lengths = cols.select(key, sum((F.size(f"t{i}") for i in range(len(columns))), F.lit(0)).alias("len"))
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("col"), F.col(f"t{i}").alias("t")) for i in range(len(columns)))))
-    postings = cols.select(key, each.alias("c")).select(key, "c.col", F.posexplode("c.t").alias("pos", "term"))
-    return Index(key, postings, lengths, stemmed)
+    own = rows.select(*keys, F.array(*(stems(said(c)) if stemmed else said(c) for c in columns)).alias("cols"))
+    return own.withColumn("len", F.aggregate("cols", F.lit(0), lambda n, t: n + F.size(t)))
+
+
+def exploded(tokenised: DataFrame, keys: list[str]) -> DataFrame:
+    """Postings: keys, len, col, pos, term."""
+    return tokenised.select(*keys, "len", F.posexplode("cols").alias("col", "t")).select(*keys, "len", "col", F.posexplode("t").alias("pos", "term"))
 
 
 def _bucket(token: str, buckets: int) -> int:
@@ -57,8 +68,12 @@ def _fits(token: str, prefix: bool) -> Column:
     return F.col("term").startswith(token) if prefix else F.col("term") == token
 
 
-def occurrences(index: Index, wanted: list[Phrase]) -> DataFrame:
-    """(key, phrase number, f): how often each phrase stands in each row, within one column.
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def places(index: Index, wanted: list[Phrase]) -> DataFrame:
+    """(key, len, col, k, start, n): where each phrase k begins, and its number of tokens.
 
     Each posting that fits a phrase's i-th token votes for the start pos - i; a start with all votes is an occurrence. So a phrase
     takes one aggregation and no self-join, and the filter on terms reaches the scan.
@@ -71,9 +86,14 @@ def occurrences(index: Index, wanted: list[Phrase]) -> DataFrame:
     postings = index.postings
     if index.buckets and not any(p.prefix for p in wanted):  # a prefix may stand in any bucket
         postings = postings.filter(F.col("bucket").isin(sorted({_bucket(t, index.buckets) for p in wanted for t in p.tokens})))
-    cast = postings.filter(any_term).select(index.key, "col", F.explode(F.filter(F.array(*votes), lambda v: v.isNotNull())).alias("v"))
-    starts = cast.groupBy(index.key, "col", F.col("v.k").alias("k"), F.col("v.start").alias("start"), need.alias("need")).agg(F.count("*").alias("n"))
-    return starts.filter("n = need").groupBy(index.key, "k").agg(F.count("*").alias("f"))
+    cast = postings.filter(any_term).select(index.key, "len", "col", F.explode(F.filter(F.array(*votes), lambda v: v.isNotNull())).alias("v"))
+    starts = cast.groupBy(index.key, "len", "col", F.col("v.k").alias("k"), F.col("v.start").alias("start"), need.alias("need")).agg(F.count("*").alias("n"))
+    return starts.filter("n = need").drop("need")
+
+
+def occurrences(index: Index, wanted: list[Phrase]) -> DataFrame:
+    """(key, k, len, f): how often each phrase stands in each row, within one column."""
+    return places(index, wanted).groupBy(index.key, "k").agg(F.first("len").alias("len"), F.count("*").alias("f"))
 
 
 def _truth(node: Node, number: dict[Phrase, int]) -> Column:
@@ -99,14 +119,18 @@ def bm25(index: Index, query: Node) -> DataFrame:
     wanted = list(dict.fromkeys(phrases(query)))
     number = {p: i for i, p in enumerate(wanted)}
     found = occurrences(index, wanted)
-    corpus = index.lengths.agg(F.count("*").alias("rows"), (F.sum("len") / F.count("*")).alias("mean"), F.lit(0).alias("one"))
     held = found.groupBy("k").agg(F.count("*").alias("n"))
+    if index.sums:
+        held = held.withColumns({"rows": F.lit(index.sums[0]), "mean": F.lit(index.sums[1] / max(1, index.sums[0]))})
+    else:
+        corpus = index.lengths.agg(F.count("*").alias("rows"), (F.sum("len") / F.count("*")).alias("mean"), F.lit(0).alias("one"))
+        held = held.withColumn("one", F.lit(0)).join(F.broadcast(corpus), "one")
     # one row for each phrase: a broadcast of at most the query's own size
-    idf = held.withColumn("one", F.lit(0)).join(F.broadcast(corpus), "one").select("k", "mean", F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
+    idf = held.select("k", "mean", F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = found.join(F.broadcast(idf), "k").join(index.lengths, index.key).withColumn("part", part)
+    scored = found.join(F.broadcast(idf), "k").withColumn("part", part)
     each = [F.max(F.when(F.col("k") == i, F.col(c))).alias(f"{n}{i}") for i in range(len(wanted)) for n, c in (("f", "f"), ("p", "part"))]
     return scored.groupBy(index.key).agg(*each).filter(_truth(query, number)).select(index.key, (-_gain(query, number)).alias("score"))
 
 
-__all__ = ["And", "Index", "Not", "Or", "Phrase", "bm25", "build", "occurrences"]
+__all__ = ["And", "Index", "Not", "Or", "Phrase", "bm25", "build", "occurrences", "places"]

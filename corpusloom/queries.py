@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files, ids, text
-from corpusloom.operators import documents, graph, html, index, mutate, resolve, search, taxonomy
+from corpusloom.operators import documents, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
 from corpusloom.plans import guarded
 from corpusloom.plans.parser import parse, phrases
-from corpusloom.sources import corpus
+from corpusloom.sources import corpus, shared
 from corpusloom.sources.samples import frame, values
 from corpusloom.streaming import ingest
 
@@ -71,12 +71,12 @@ flagged AS (SELECT found.key, {', '.join(ctes)} FROM found JOIN idf USING (k) JO
 scored AS (SELECT key, round(-({gain(parse(said).node)}), 9) AS score FROM flagged WHERE {truth})"""
 
 
-TOP = "SELECT slug, key, CAST(row_number() OVER (ORDER BY score, key) AS INTEGER) AS rank, round(score, 6) AS score FROM {source} ORDER BY score, key LIMIT {n}"
+TOP = "SELECT slug, key, CAST(row_number() OVER (ORDER BY score, key) AS INTEGER) AS rank, round(score, 6) AS score FROM {source} ORDER BY rank LIMIT {n}"
 
 
 def _sections(spark, sf):
-    rows = corpus.sections(spark, sf)
-    return rows, index.build(rows, "key", corpus.SECTION_COLUMNS)
+    own = corpus.saved_index(spark, sf, "sections")
+    return own.rows(), own.index()
 
 
 def _hits(paged: DataFrame) -> DataFrame:
@@ -125,9 +125,8 @@ def bm25_recency_since_collection(spark, sf):
 
 @query(f"WITH {bm25_sql(READMES, ['domain', 'slug', 'body'], 'was OR with', 'coalesce(f0, 0) > 0 OR coalesce(f1, 0) > 0')}, hits AS (SELECT * FROM scored JOIN rows_ USING (key)) {TOP.format(source='hits', n=20)}")
 def bm25_readmes(spark, sf):
-    rows = corpus.readmes(spark, sf)
-    own = index.build(rows, "key", ["domain", "slug", "body"])
-    return _hits(search.page(search.ranked(own, rows, "was OR with"), "key", 20))
+    own = corpus.saved_index(spark, sf, "readmes")
+    return _hits(search.page(search.ranked(own.index(), own.rows(), "was OR with"), "key", 20))
 
 
 @query(f"""WITH {bm25_sql(SECTIONS, COLS, 'zzzzqq OR thatt OR ering', 'coalesce(f0, 0) > 0 OR coalesce(f1, 0) > 0 OR coalesce(f2, 0) > 0')}, hits AS (SELECT * FROM scored JOIN rows_ USING (key)) {TOP.format(source='hits', n=10)}""")
@@ -137,6 +136,111 @@ def bm25_or_fallback(spark, sf):
     return _hits(search.page(found, "key", 10))
 
 
+def snippet_sql(scored: str, said: str, hits: str, column: int, width: int) -> str:
+    """From bm25_sql's CTEs: the hits with the best window of a column and its text."""
+    wanted = list(dict.fromkeys(phrases(parse(said).node)))
+    places = []
+    for k, p in enumerate(wanted):
+        fits = lambda a, i, p=p: f"starts_with({a}.term, '{p.tokens[i]}')" if p.prefix and i == len(p.tokens) - 1 else f"{a}.term = '{p.tokens[i]}'"
+        joins = " ".join(f"JOIN post a{i} ON a{i}.key = a0.key AND a{i}.col = a0.col AND a{i}.pos = a0.pos + {i} AND {fits(f'a{i}', i)}" for i in range(1, len(p.tokens)))
+        places.append(f"SELECT a0.key, {k} AS k, a0.pos AS start, a0.pos + {len(p.tokens)} AS stop FROM post a0 {joins} WHERE a0.col = {column} AND {fits('a0', 0)}")
+    token = "[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{Mn}]*"
+    inside = lambda edge, at: f"len(list_filter(spans, lambda b: b.start < {at} AND {at} < b.stop)) = 0 AND len(list_filter(spans, lambda b: b.{edge} = {at})) > 0"
+    return f"""WITH {scored}, top AS ({hits}),
+place AS ({' UNION ALL '.join(places)}),
+held AS (SELECT a.key, a.start, b.k, b.start AS s, b.stop AS e FROM (SELECT DISTINCT key, start FROM place WHERE key IN (SELECT key FROM top)) a
+  JOIN place b ON b.key = a.key AND b.start BETWEEN a.start AND a.start + {width - 1} AND (b.stop <= a.start + {width} OR b.start = a.start)),
+win AS (SELECT key, start, count(DISTINCT k) AS n_phrases, list_sort(list(DISTINCT {{'start': s, 'stop': e}})) AS spans FROM held GROUP BY key, start),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_phrases DESC, len(spans) DESC, start) AS place FROM win) WHERE place = 1),
+texts AS (SELECT top.slug, top.rank, best.*, regexp_extract_all(body, '{token}') AS w, string_split_regex(body, '{token}') AS sep FROM top JOIN rows_ USING (key) JOIN best USING (key)),
+ends AS (SELECT *, least(len(w), start + {width}) AS stop FROM texts)
+SELECT slug, key, rank, CAST(start AS INTEGER) AS snip_start, CAST(n_phrases AS INTEGER) AS n_phrases, CAST(len(spans) AS INTEGER) AS n_spans,
+  CASE WHEN start > 0 THEN '…' ELSE '' END || array_to_string(list_transform(range(start, stop), lambda i:
+    CASE WHEN {inside('start', 'i')} THEN '[' ELSE '' END || w[i + 1] || CASE WHEN {inside('stop', '(i + 1)')} THEN ']' ELSE '' END || CASE WHEN i + 1 < stop THEN sep[i + 2] ELSE '' END), '')
+  || CASE WHEN stop < len(w) THEN '…' ELSE '' END AS snippet FROM ends"""
+
+
+TOP_KEYS = "SELECT slug, key, CAST(row_number() OVER (ORDER BY score, key) AS INTEGER) AS rank FROM scored JOIN rows_ USING (key) ORDER BY score, key LIMIT {n}"
+
+
+def _snippets(name: str, said: str, truth: str, limit: int, width: int) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows, own = _sections(spark, sf)
+        node = parse(said).node
+        hits = search.page(search.ranked(own, rows.drop("body"), said), "key", limit).select("slug", "key", "rank")
+        return snippets.snippets(own, rows, node, hits, "body", 4, width)
+
+    run.__name__ = name
+    query(snippet_sql(bm25_sql(SECTIONS, COLS, said, truth), said, TOP_KEYS.format(n=limit), 4, width))(run)
+
+
+_snippets("search_snippets", "the ering and", "f0 > 0 AND f1 > 0 AND f2 > 0", 20, 64)
+_snippets("search_snippets_phrases", '"of the" OR die OR ering*', "coalesce(f0, 0) > 0 OR coalesce(f1, 0) > 0 OR coalesce(f2, 0) > 0", 50, 16)
+
+
+REVISED = """documents AS (SELECT d.doc_id, d.lang, d.source, CASE WHEN l.low THEN d.text || chr(10) || 'revised ering of the ' || d.lang ELSE d.text END AS text FROM raw_ d
+  LEFT JOIN (SELECT doc_id, bool_or(toxic = 1) AS toxic, bool_or(quality = 0) AS low FROM labels GROUP BY doc_id) l USING (doc_id) WHERE NOT coalesce(l.toxic, false)
+  UNION ALL SELECT doc_id + 1000000, lang, source, text FROM raw_ JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id))"""
+
+
+def _edited(spark: SparkSession, sf: str):
+    """An index of all documents after three batches: toxic ones deleted, low-quality ones revised, good ones added once more under new ids; each batch is sent twice."""
+    docs, labels = corpus.table(spark, sf, "documents"), corpus.table(spark, sf, "labels")
+    own = segments.Segments(spark, shared.fresh_path(spark, "index-edited"), "key", "slug", corpus.SECTION_COLUMNS)
+    own.rebuild(corpus.sections_of(docs))
+    marked = lambda condition: docs.join(labels.filter(condition).select("doc_id").distinct(), "doc_id", "left_semi")
+    low = marked("quality = 0").withColumn("text", F.concat("text", F.lit("\nrevised ering of the "), "lang"))
+    toxic = marked("toxic = 1").select(F.concat(F.lit("doc_"), "doc_id").alias("slug"))
+    more = marked("quality = 1").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    for _ in range(2):
+        own.apply("revised", corpus.sections_of(low))
+        own.apply("toxic", corpus.sections_of(docs.limit(0)), toxic)
+        own.apply("added", corpus.sections_of(more))
+    return own
+
+
+def _edited_sql(said: str, truth: str, n: int) -> str:
+    """The documents' CTE comes first; a view of the same name is what it reads, so the raw table goes by another."""
+    own = bm25_sql(SECTIONS, COLS, said, truth).replace("FROM documents)", "FROM edited)")
+    return f"WITH raw_ AS (SELECT * FROM documents), {REVISED.replace('documents AS', 'edited AS', 1)}, {own}, hits AS (SELECT * FROM scored JOIN rows_ USING (key)) {TOP.format(source='hits', n=n)}"
+
+
+@query(_edited_sql("ering OR revised", "coalesce(f0, 0) > 0 OR coalesce(f1, 0) > 0", 200))
+def bm25_after_edits(spark, sf):
+    own = _edited(spark, sf)
+    return _hits(search.page(search.ranked(own.index(), own.rows(), "ering OR revised"), "key", 200))
+
+
+@query(_edited_sql('"of the" AND ering', "f0 > 0 AND f1 > 0", 100))
+def bm25_after_merge(spark, sf):
+    own = _edited(spark, sf)
+    own.merge(1)
+    own.vacuum()
+    return _hits(search.page(search.ranked(own.index(), own.rows(), '"of the" AND ering'), "key", 100))
+
+
+TERM_ROWS = """alias AS (SELECT p_partkey AS term_id, string_agg(DISTINCT a, ' ' ORDER BY a) AS aliases FROM (SELECT p_partkey, p_type || CASE WHEN p_size > 25 THEN ' large' ELSE ' small' END AS a FROM part WHERE p_size > 10) GROUP BY p_partkey),
+rows_ AS (SELECT p_partkey AS key, p_brand AS slug, p_brand AS domain, split_part(p_type, ' ', 1) AS term_type, NULL AS entity_type, CASE WHEN p_size > 40 THEN p_name || ' renamed' ELSE p_name END AS canonical_name, coalesce(aliases, '') AS aliases
+  FROM part LEFT JOIN alias ON term_id = p_partkey)"""
+
+
+@query(f"""WITH {bm25_sql(TERM_ROWS, segments.TERM_COLUMNS, 'renamed OR large', 'coalesce(f0, 0) > 0 OR coalesce(f1, 0) > 0')}
+SELECT key AS term_id, CAST(row_number() OVER (ORDER BY score, key) AS INTEGER) AS rank, round(score, 6) AS score FROM scored ORDER BY rank LIMIT 50""")
+def term_index_scoped_rebuild(spark, sf):
+    """Terms are indexed without aliases; one source then gives aliases to those of size over 10, and a run flags those over 40, which it has renamed."""
+    part = corpus.table(spark, sf, "part")
+    kind = F.substring_index("p_type", " ", 1)
+    named = part.select(F.col("p_partkey").alias("term_id"), F.col("p_brand").alias("domain"), kind.alias("term_type"), F.lit(None).cast("string").alias("entity_type"), "p_name", "p_size", "p_type")
+    old = named.withColumnRenamed("p_name", "canonical_name")
+    new = named.withColumn("canonical_name", F.when(F.col("p_size") > 40, F.concat("p_name", F.lit(" renamed"))).otherwise(F.col("p_name")))
+    aliases = named.filter("p_size > 10").select("term_id", F.concat("p_type", F.when(F.col("p_size") > 25, " large").otherwise(" small")).alias("alias"), F.lit("paper").alias("slug"))
+    own = segments.Segments(spark, shared.fresh_path(spark, "index-terms"), "term_id", "term_id", segments.TERM_COLUMNS)
+    own.rebuild(segments.term_rows(old, aliases.limit(0)))
+    segments.rebuild_terms(own, "paper", new, aliases, segments.touched_terms(aliases, named.filter("p_size > 40"), "paper"))
+    hits = search.ranked(own.index(), own.rows().withColumn("slug", F.col("domain")), "renamed OR large")
+    return search.page(hits, "term_id", 50).select("term_id", "rank", F.round("score", 6).alias("score"))
+
+
 def _rrf_sql() -> str:
     part = lambda said, truth, q: f"(WITH {bm25_sql(SECTIONS, COLS, said, truth)} SELECT slug AS item, row_number() OVER (ORDER BY score, key) AS rank, {q} AS q FROM scored JOIN rows_ USING (key) ORDER BY score, key LIMIT 20)"
     return f"""WITH lists AS ({part('the ering', 'f0 > 0 AND f1 > 0', 0)} UNION ALL {part('and of', 'f0 > 0 AND f1 > 0', 1)}),
@@ -400,14 +504,14 @@ def heading_tokens(spark, sf):
 
 
 _NAME = "list_extract(string_split(path, '/'), -1)"
-_EXT = f"lower(regexp_extract({_NAME}, '^.+\\.([^.]*)$', 1))"
+_EXT = f"lower(regexp_extract({_NAME}, '^.+(\\.[^.]*)$', 1))"
 _LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 
 
 @query(f"""SELECT repo, path FROM {values('lit_files')} WHERE len(list_filter(list_slice(string_split(path, '/'), 1, -2), lambda d: d IN {_LIST(files.SKIP_DIRS)} OR d LIKE '%.egg-info')) = 0
-AND {_NAME} NOT IN {_LIST(files.SKIP_NAMES)} AND {_NAME} NOT LIKE 'events.out.tfevents.%' AND {_EXT} NOT IN {_LIST(files.SKIP_EXTS)} AND size <= CASE WHEN {_EXT} IN ('json', 'jsonl', 'csv', 'tsv') THEN 50000 ELSE 1000000 END
+AND {_NAME} NOT IN {_LIST(files.SKIP_NAMES)} AND {_NAME} NOT LIKE 'events.out.tfevents.%' AND {_EXT} NOT IN {_LIST(files.SKIP_EXTS)} AND size <= CASE WHEN {_EXT} IN {_LIST(files.SMALL_EXTS)} THEN 50000 ELSE 1000000 END
 AND length(content) - length(replace(content, '�', '')) <= 0.01 * length(content)
-AND NOT ({_EXT} IN ('js', 'css') AND list_avg(list_transform(string_split(regexp_replace(content, '\\n$', ''), chr(10))[1:100], lambda x: length(x))) > 110)""")
+AND NOT ({_EXT} IN ('.js', '.css') AND list_avg(list_transform(string_split(regexp_replace(content, '\\n$', ''), chr(10))[1:100], lambda x: length(x))) > 110)""")
 def file_filter(spark, sf):
     return files.kept_files(frame(spark, "lit_files")).select("repo", "path")
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.segments import Segments
+from corpusloom.sources.shared import fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -17,8 +20,12 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections_of(table(spark, sf_dir, "documents"))
+
+
+def sections_of(docs: DataFrame) -> DataFrame:
     """key, slug, domain, section_title, section_level, body: a section for each line that isn't blank."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "body")).filter(F.trim("body") != "")
+    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "body")).filter(F.trim("body") != "")
     return lines.select((F.col("doc_id") * 1_000_000 + F.col("ord")).alias("key"), F.concat(F.lit("doc_"), "doc_id").alias("slug"), F.col("lang").alias("domain"), F.concat(F.lit("line "), "ord").alias("section_title"), (1 + F.col("ord") % 3).alias("section_level"), "body")
 
 
@@ -42,3 +49,17 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SECTION_COLUMNS = ["domain", "slug", "section_title", "section_level", "body"]
+README_COLUMNS = ["domain", "slug", "body"]
+_saved: dict[tuple[str, str, str], Segments] = {}
+
+
+def saved_index(spark: SparkSession, sf_dir: str, surface: str) -> Segments:
+    """The index of a folder's sections, readmes or terms: built in the shared folder at its first use in an application, read from there afterwards."""
+    kinds = {"sections": ("key", "slug", SECTION_COLUMNS, sections), "readmes": ("key", "slug", README_COLUMNS, readmes), "terms": ("term_id", "term_id", ["domain", "term_type", "canonical_name"], terms)}
+    key, owner, columns, rows = kinds[surface]
+    name = (spark.sparkContext.applicationId, sf_dir, surface)
+    if name not in _saved:
+        own = Segments(spark, fresh_path(spark, f"index-{surface}"), key, owner, columns)
+        own.rebuild(rows(spark, sf_dir))
+        _saved[name] = own
+    return _saved[name]
