@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files, ids, text
-from corpusloom.operators import documents, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
+from corpusloom.operators import documents, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
 from corpusloom.plans import guarded
 from corpusloom.plans.parser import parse, phrases
 from corpusloom.sources import corpus, shared
@@ -387,15 +387,52 @@ def resolve_exact_and_normal(spark, sf):
     return resolve.exact_and_normal(frame(spark, "lit_names"), frame(spark, "lit_terms"), frame(spark, "lit_aliases"))
 
 
-@query(f"""SELECT DISTINCT raw, lit_names.domain, lit_names.term_type, term_id FROM {values('lit_names')} JOIN {values('lit_terms')} ON lit_names.domain = lit_terms.domain AND lit_names.term_type = lit_terms.term_type
-AND (lower(raw[1:1]) = lower(canonical_name[1:1]) OR abs(length(raw) - length(canonical_name)) <= 3)""")
+def _common_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two strings of at most 60 letters, by bit-parallel rows."""
+    letter = f"list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN (1::BIGINT << (i - 1)::BIGINT) ELSE 0 END))::BIGINT"
+    full = f"((1::BIGINT << length({a})) - 1)"
+    return f"(length({a}) - bit_count(list_reduce(list_prepend({full}, list_transform(string_split({b}, ''), lambda c: {letter})), lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})))"
+
+
+RAW = "SELECT left(c_name, length(c_name) - 1) AS raw, c_mktsegment AS domain, 'entity' AS term_type FROM customer WHERE c_custkey % 50 = 0"
+
+
+def _raw_names(spark, sf):
+    """Names of every fiftieth customer without their last letter, and all customers as terms."""
+    held = corpus.table(spark, sf, "customer").select(F.col("c_custkey").alias("term_id"), F.col("c_name").alias("canonical_name"), F.col("c_mktsegment").alias("domain"), F.lit("entity").alias("term_type"))
+    return held.filter("term_id % 50 = 0").select(F.expr("left(canonical_name, length(canonical_name) - 1)").alias("raw"), "domain", "term_type"), held
+
+
+@query(f"""SELECT DISTINCT raw, n.domain, n.term_type, c_custkey AS term_id FROM ({RAW}) n JOIN customer ON n.domain = c_mktsegment
+WHERE lower(left(raw, 1)) = lower(left(c_name, 1)) OR abs(length(raw) - length(c_name)) <= 3""")
 def fuzzy_candidates(spark, sf):
-    return resolve.candidates(frame(spark, "lit_names"), frame(spark, "lit_terms"))
+    return resolve.candidates(*_raw_names(spark, sf))
 
 
-@query()
+@query(f"""WITH n AS (SELECT *, {NORM.format(x='raw')} AS x FROM ({RAW})), t AS (SELECT *, {NORM.format(x='c_name')} AS y FROM customer),
+scored AS (SELECT raw, n.domain, n.term_type, c_custkey AS term_id, c_name, 200.0 * {_common_sql('x', 'y')} / (length(x) + length(y)) AS ratio FROM n JOIN t ON n.domain = t.c_mktsegment
+  WHERE lower(left(raw, 1)) = lower(left(c_name, 1)) OR abs(length(raw) - length(c_name)) <= 3)
+SELECT raw, domain, term_type, term_id, ratio FROM (SELECT *, row_number() OVER (PARTITION BY raw, domain ORDER BY ratio DESC, length(c_name), term_id) AS place FROM scored WHERE ratio >= 85) WHERE place = 1""")
 def fuzzy_matches(spark, sf):
-    return resolve.fuzzy(frame(spark, "lit_names"), frame(spark, "lit_terms"))
+    return resolve.fuzzy(*_raw_names(spark, sf))
+
+
+NAMES = """SELECT 'entity' AS bucket, p_name AS name, p_partkey AS id FROM part UNION ALL SELECT 'topic', p_brand || ' ' || p_type, p_partkey FROM part
+UNION ALL SELECT 'collection', c_mktsegment, c_custkey FROM customer UNION ALL SELECT 'alias', c_name, c_custkey FROM customer UNION ALL SELECT 'alias', s_name, s_suppkey FROM supplier"""
+
+
+@query(f"""WITH topics AS (SELECT DISTINCT name AS topic FROM ({NAMES}) WHERE id % 50 = 0), names AS (SELECT DISTINCT name FROM ({NAMES})),
+pairs AS (SELECT topic, name, lower(topic) AS a, lower(name) AS b FROM topics JOIN names ON 200 * least(length(topic), length(name)) >= 70 * (length(topic) + length(name))),
+scored AS (SELECT topic, name, CAST(floor(200.0 * {_common_sql('a', 'b')} / (length(a) + length(b)) + 1e-9) AS INTEGER) AS similarity FROM pairs),
+ranked AS (SELECT topic, bucket, CAST(row_number() OVER (PARTITION BY topic, bucket ORDER BY similarity DESC, name, id) AS INTEGER) AS place, name, id, similarity FROM scored JOIN ({NAMES}) USING (name) WHERE similarity >= 70)
+SELECT * FROM ranked WHERE place <= 5""")
+def fuzzy_names(spark, sf):
+    """The names of every fiftieth part, customer and supplier as topics, against all names, five of each bucket."""
+    part, customer, supplier = (corpus.table(spark, sf, n) for n in ("part", "customer", "supplier"))
+    one = lambda df, bucket, name, key: df.select(F.lit(bucket).alias("bucket"), name.alias("name"), F.col(key).alias("id"))
+    held = one(part, "entity", F.col("p_name"), "p_partkey").union(one(part, "topic", F.concat_ws(" ", "p_brand", "p_type"), "p_partkey"))
+    held = held.union(one(customer, "collection", F.col("c_mktsegment"), "c_custkey")).union(one(customer, "alias", F.col("c_name"), "c_custkey")).union(one(supplier, "alias", F.col("s_name"), "s_suppkey"))
+    return fuzzy.similar_to(held.filter("id % 50 = 0").select(F.col("name").alias("topic")), held)
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, label, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
