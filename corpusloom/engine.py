@@ -7,11 +7,13 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import documents, index, resolve, search, taxonomy
+from corpusloom.operators import documents, fuzzy, index, search, snippets, taxonomy
+from corpusloom.operators.segments import TERM_COLUMNS, Segments, term_rows
 from corpusloom.plans import guarded
 from corpusloom.plans.parser import Parsed, QueryError, parse
 
 SEARCH_MOST, NAMES_MOST, PAGE_MOST = 20, 16, 50
+INDEXED = {"sections": ["domain", "slug", "section_title", "section_level", "body"], "readmes": ["domain", "slug", "body"], "terms": TERM_COLUMNS}
 
 
 def _dicts(df: DataFrame) -> list[dict]:
@@ -38,22 +40,35 @@ class Engine:
     references (src, ref_number, raw_text, cited, cited_slug), figures (slug, number, label, caption, image, mime).
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], as_of: datetime.date | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], as_of: datetime.date | None = None, indexes: dict[str, Segments] | None = None):
+        """indexes: maintained indexes of sections, readmes or terms, read as they stand at each call; surfaces without one are indexed from their tables at their first call."""
         self.spark, self.t, self.as_of = spark, tables, as_of
+        self._maintained = indexes or {}
         self._indexes: dict[str, index.Index] = {}
 
     def _index(self, surface: str) -> index.Index:
-        columns = {"sections": ["domain", "slug", "section_title", "section_level", "body"], "readmes": ["domain", "slug", "body"]}
+        if surface in self._maintained:
+            return self._maintained[surface].index()
         if surface not in self._indexes:
-            self._indexes[surface] = index.build(self.t[surface], "key", columns[surface])
+            rows, key = (self._term_rows(), "term_id") if surface == "terms" else (self.t[surface], "key")
+            self._indexes[surface] = index.build(rows, key, INDEXED[surface], stemmed=surface == "terms")
         return self._indexes[surface]
 
+    def _rows(self, surface: str) -> DataFrame:
+        return self._maintained[surface].rows() if surface in self._maintained else self._term_rows() if surface == "terms" else self.t[surface]
+
+    def _term_rows(self) -> DataFrame:
+        return term_rows(self.t["terms"], self.t["aliases"])
+
+    def _snippets(self, surface: str, own: Parsed, hits: DataFrame, width: int) -> DataFrame:
+        return snippets.snippets(self._index(surface), self._rows(surface), own.node, hits, "body", INDEXED[surface].index("body"), width).drop("snip_start", "n_phrases", "n_spans")
+
     def _today(self) -> datetime.date:
         return self.as_of or datetime.datetime.now(datetime.UTC).date()
 
     def _ranked(self, surface: str, own: Parsed, boost: float, since: str | None) -> DataFrame:
         dates = self.t["sources"] if surface == "sections" else self.t["repos"].join(self.t["sources"].select(F.col("slug").alias("paper"), "date"), "paper", "left").select("slug", "date")
-        return search.ranked(self._index(surface), self.t[surface], own, sources=dates, members=self.t["members"], boost=boost if surface == "sections" else 0.0, since=since, as_of=self._today(), keep_undated=surface == "readmes")
+        return search.ranked(self._index(surface), self._rows(surface).drop("body"), own, sources=dates, members=self.t["members"], boost=boost if surface == "sections" else 0.0, since=since, as_of=self._today(), keep_undated=surface == "readmes")
 
     def _with(self, query: str, **given: str | None) -> Parsed:
         own = parse(query)
@@ -67,8 +82,8 @@ class Engine:
         return own
 
     @soft
-    def bm25(self, query: str, scope: str = "sections", domain: str | None = None, collection: str | None = None, limit: int = 15, offset: int = 0, recency_boost: float = 0.2, since: str | None = None) -> dict:
-        """Hits by source of one surface or both, with totals; bare words that match nothing are joined by OR."""
+    def bm25(self, query: str, scope: str = "sections", domain: str | None = None, collection: str | None = None, limit: int = 15, offset: int = 0, recency_boost: float = 0.2, since: str | None = None, snippet_tokens: int = snippets.WIDE) -> dict:
+        """Hits by source of one surface or both, with snippets and totals; bare words that match nothing are joined by OR."""
         own = self._with(query, domain=domain, collection=collection)
         if "kind" in own.qualifiers or own.qualifiers.get("surface") == "taxonomy":
             raise QueryError("bm25 searches sections and readmes")
@@ -80,7 +95,8 @@ class Engine:
             for s in surfaces:
                 hits = self._ranked(s, tried, recency_boost, since)
                 columns = ["section_title", "section_level"] if s == "sections" else ["domain"]
-                out[s] = _dicts(search.grouped(search.page(hits, "key", limit, offset), [*columns, "score"]).orderBy("best_rank"))
+                paged = self._snippets(s, tried, search.page(hits, "key", limit, offset), snippet_tokens)
+                out[s] = _dicts(search.grouped(paged, [*columns, "score", "snippet"]).orderBy("best_rank"))
                 out[f"{s}_total"] = hits.count()
             if any(out[f"{s}_total"] for s in surfaces):
                 out["fallback"] = "OR" if tried is not own else None
@@ -94,28 +110,30 @@ class Engine:
         if not 1 <= limit <= SEARCH_MOST:
             raise QueryError(f"limit is 1 to {SEARCH_MOST}")
         if isinstance(query, str):
-            return self.bm25(query, "both", domain, None, limit, 0, recency_boost, since) | {"taxonomy": self.lookup(query, domain, limit).get("terms", [])}
+            return self.bm25(query, "both", domain, None, limit, 0, recency_boost, since, snippets.WIDTH) | {"taxonomy": self.lookup(query, domain, limit).get("terms", [])}
         if len(query) > search.QUERIES_MOST:
             raise QueryError(f"at most {search.QUERIES_MOST} queries")
         if not union:
             return {"status": "ok", "queries": [self.search(q, domain, limit, False, recency_boost, since) for q in query]}
         lists = []
-        for q in query:
-            own = self._with(q, domain=domain)
-            paged = search.page(self._ranked("sections", own, recency_boost, since), "key", limit)
-            lists.append(paged.select(F.concat_ws(" / ", F.lit("section"), "slug", "section_title").alias("item"), "rank"))
+        for q, said in enumerate(query):
+            own = self._with(said, domain=domain)
+            for surface in ("sections", "readmes"):
+                paged = search.flattened(search.page(self._ranked(surface, own, recency_boost, since), "key", limit))
+                item = [F.lit("section"), "slug", "section_title"] if surface == "sections" else [F.lit("readme"), "slug"]
+                lists.append((q, paged.select(F.concat_ws(" / ", *item).alias("item"), "rank")))
         return {"status": "ok", "results": _dicts(search.fuse(lists, min(limit * len(query), search.FUSED_MOST)).orderBy("rank"))}
 
     @soft
     def lookup(self, query: str, domain: str | None = None, limit: int = 50, offset: int = 0) -> dict:
         """Canonical terms whose name, aliases or kind match by word stems, with aliases and sources."""
         own = self._with(query, domain=domain)
-        aliases = self.t["aliases"].groupBy("term_id").agg(F.array_join(F.sort_array(F.collect_set("alias")), " ").alias("aliases"), F.sort_array(F.collect_set("slug")).alias("sources"))
-        rows = self.t["terms"].join(aliases, "term_id", "left").withColumn("slug", F.col("canonical_name"))
+        rows = self._rows("terms")
         if kind := own.qualifiers.get("kind"):
             rows = rows.filter(F.col("term_type") == kind)
-        hits = search.ranked(index.build(rows, "term_id", ["domain", "term_type", "entity_type", "canonical_name", "aliases"], stemmed=True), rows, Parsed(own.node, {k: v for k, v in own.qualifiers.items() if k == "domain"}))
-        return {"status": "ok", "terms": _dicts(search.page(hits, "term_id", min(limit, PAGE_MOST), offset).drop("slug")), "total": hits.count()}
+        hits = search.ranked(self._index("terms"), rows.withColumn("slug", F.col("canonical_name")), Parsed(own.node, {k: v for k, v in own.qualifiers.items() if k == "domain"}))
+        sources = self.t["aliases"].groupBy("term_id").agg(F.sort_array(F.collect_set("slug")).alias("sources"))
+        return {"status": "ok", "terms": _dicts(search.page(hits, "term_id", min(limit, PAGE_MOST), offset).drop("slug").join(sources, "term_id", "left").orderBy("rank")), "total": hits.count()}
 
     def browse(self, which: str, domain: str | None = None, limit: int | None = None, offset: int = 0) -> dict:
         """collections, topics, entity_type or aliases with their counts, or needs_review: sources marked so; total and truncated tell what a limit leaves out."""
@@ -155,16 +173,33 @@ class Engine:
         rows = _dicts(taxonomy.collection_detail(own, names, limit).orderBy("domain", "collection", "place"))
         return {"status": "ok", "members": rows, "missing": [n for n in names if n not in {r["collection"] for r in rows}]}
 
-    @soft
     def coverage(self, topic: str, domain: str | None = None, most: int = 5, least: int = 70) -> dict:
-        """How much there is on a topic: sections and sources that match, and terms whose names are like it."""
-        own = self._with(topic, domain=domain)
-        hits = search.ranked(self._index("sections"), self.t["sections"], Parsed(own.node, {k: v for k, v in own.qualifiers.items() if k == "domain"}))
-        n = hits.agg(F.count("*").alias("sections"), F.countDistinct("slug").alias("sources")).first()
-        terms = self.t["terms"] if domain is None else self.t["terms"].filter(F.col("domain") == domain)
-        low = topic.lower()
-        near = terms.filter(resolve.may_reach(F.col("canonical_name"), F.lit(low), least)).withColumn("ratio", resolve.ratio_column(F.lower("canonical_name"), F.lit(low))).filter(F.col("ratio").cast("int") >= least)
-        return {"status": "ok", "sections": n["sections"], "sources": n["sources"], "similar": _dicts(near.orderBy(F.desc("ratio"), "canonical_name").limit(most).select("canonical_name", "term_type", "ratio"))}
+        """How much there is on a topic: sources that match on each surface and the best of them, collections of that name, and the likest names of each kind."""
+        if not topic.strip():
+            raise ValueError("coverage needs a topic")
+        topic, out = topic.strip(), {"status": "ok", "topic": topic}
+        try:
+            node = parse(topic).node
+        except QueryError:
+            node = None
+        for surface in ("sections", "readmes"):
+            counted = "sources" if surface == "sections" else "repos"
+            if node is None:
+                out |= {surface: 0, counted: 0, f"{surface}_top": []}
+                continue
+            hits = search.ranked(self._index(surface), self._rows(surface).drop("body"), Parsed(node, {"domain": domain} if domain else {}))
+            n = hits.agg(F.count("*").alias("hits"), F.countDistinct("slug").alias("sources")).first()
+            title = ["section_title"] if surface == "sections" else []
+            out |= {surface: n["hits"], counted: n["sources"], f"{surface}_top": _dicts(search.page(hits, "key", most).orderBy("rank").select("slug", *title))}
+        here = lambda df: df if domain is None else df.filter(F.col("domain") == domain)
+        collections, terms = here(self.t["members"]).select("collection", "domain").distinct(), here(self.t["terms"])
+        out["collections_exact"] = _dicts(collections.filter(F.lower("collection") == topic.lower()).orderBy("domain", "collection"))
+        names = collections.select(F.lit("collections").alias("bucket"), F.col("collection").alias("name"), F.struct("domain", F.lit("").alias("kind"), F.lit("").alias("of")).alias("id"))
+        names = names.union(terms.filter(F.col("term_type").isin("entity", "topic", "collection")).select("term_type", "canonical_name", F.struct("domain", F.coalesce("term_type", F.lit("")), F.lit(""))))
+        names = names.union(self.t["aliases"].join(terms, "term_id").select(F.lit("aliases"), "alias", F.struct("domain", F.coalesce("term_type", F.lit("")), "canonical_name")))
+        likest = fuzzy.similar_to(self.spark.createDataFrame([(topic,)], "topic string"), names, least, most).orderBy("bucket", "place")
+        out["similar"] = [{"bucket": r["bucket"], "name": r["name"], **{k: v for k, v in r["id"].asDict().items() if v}, "ratio": r["similarity"]} for r in likest.collect()]
+        return out
 
     def toc(self, slugs: str | list[str]) -> dict:
         """Level and title of each section."""

@@ -76,15 +76,24 @@ def with_fallback(search, query: str) -> tuple[DataFrame, str | None]:
     return search(Parsed(own.fallback, own.qualifiers)), "OR"
 
 
-def fuse(lists: list[DataFrame], cap: int = FUSED_MOST) -> DataFrame:
-    """Reciprocal rank fusion of lists (item, rank) of one surface each: item, fused score, and the numbers of the queries that found it."""
-    if len(lists) > QUERIES_MOST:
+def flattened(paged: DataFrame) -> DataFrame:
+    """A page's hits ranked anew after grouping: sources by their best hit, each source's hits in a row. A page is a few rows."""
+    best = F.min("rank").over(Window.partitionBy("slug"))
+    own = paged.withColumn("best", best)
+    return own.withColumn("rank", F.row_number().over(Window.orderBy("best", "rank"))).drop("best")
+
+
+def fuse(lists: list[tuple[int, DataFrame]], cap: int = FUSED_MOST) -> DataFrame:
+    """Reciprocal rank fusion of (query number, list of (item, rank)): item, fused score, and the numbers of the queries that found it.
+
+    A query may have several lists, one for each surface, ranked on their own. An item that a list holds more than once counts each time.
+    """
+    if len({q for q, _ in lists}) > QUERIES_MOST:
         raise QueryError(f"at most {QUERIES_MOST} queries")
     union = None
-    for i, own in enumerate(lists):
-        part = own.select("item", "rank", F.lit(i).alias("q"))
+    for q, own in lists:
+        part = own.select("item", "rank", F.lit(q).alias("q"))
         union = part if union is None else union.unionByName(part)
-    best = union.groupBy("item", "q").agg(F.min("rank").alias("rank"))
-    fused = best.groupBy("item").agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 12).alias("fused"), F.array_join(F.transform(F.sort_array(F.collect_set("q")), lambda x: x.cast("string")), ",").alias("matched_queries"))
+    fused = union.groupBy("item").agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 12).alias("fused"), F.array_join(F.transform(F.sort_array(F.collect_set("q")), lambda x: x.cast("string")), ",").alias("matched_queries"))
     top = fused.orderBy(F.desc("fused"), "item").limit(cap)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fused"), "item")))

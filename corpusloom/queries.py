@@ -242,17 +242,30 @@ def term_index_scoped_rebuild(spark, sf):
 
 
 def _rrf_sql() -> str:
-    part = lambda said, truth, q: f"(WITH {bm25_sql(SECTIONS, COLS, said, truth)} SELECT slug AS item, row_number() OVER (ORDER BY score, key) AS rank, {q} AS q FROM scored JOIN rows_ USING (key) ORDER BY score, key LIMIT 20)"
-    return f"""WITH lists AS ({part('the ering', 'f0 > 0 AND f1 > 0', 0)} UNION ALL {part('and of', 'f0 > 0 AND f1 > 0', 1)}),
-best AS (SELECT item, q, min(rank) AS rank FROM lists GROUP BY item, q),
-fused AS (SELECT item, round(sum(1.0 / (60 + rank)), 12) AS fused, string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) AS matched_queries FROM best GROUP BY item)
-SELECT item, round(fused, 9) AS fused, matched_queries, CAST(row_number() OVER (ORDER BY fused DESC, item) AS INTEGER) AS rank FROM fused ORDER BY rank LIMIT 50"""
+    """Lists of 20 hits for each query and surface; sections are ranked by their document's best hit, then by their own; every place of a list counts."""
+
+    def part(q: int, surface: str, said: str, truth: str) -> str:
+        rows, cols = (SECTIONS, COLS) if surface == "section" else (READMES, ["domain", "slug", "body"])
+        item = "'section / ' || slug || ' / ' || section_title" if surface == "section" else "'readme / ' || slug"
+        return f"""SELECT {item} AS item, {q} AS q, row_number() OVER (ORDER BY first, place) AS rank FROM (SELECT *, min(place) OVER (PARTITION BY slug) AS first FROM (
+  WITH {bm25_sql(rows, cols, said, truth)} SELECT scored.key, rows_.*, row_number() OVER (ORDER BY score, scored.key) AS place FROM scored JOIN rows_ USING (key) ORDER BY place LIMIT 20))"""
+
+    asked = [("the ering", "f0 > 0 AND f1 > 0"), ("and of", "f0 > 0 AND f1 > 0"), ("was", "f0 > 0")]
+    lists = " UNION ALL ".join(part(q, surface, *a) for q, a in enumerate(asked) for surface in ("section", "readme"))
+    return f"""WITH lists AS ({lists}),
+fused AS (SELECT item, sum(1.0 / (60 + rank)) AS fused, string_agg(DISTINCT CAST(q AS VARCHAR), ',' ORDER BY CAST(q AS VARCHAR)) AS matched_queries FROM lists GROUP BY item)
+SELECT item, round(fused, 9) AS fused, matched_queries, CAST(row_number() OVER (ORDER BY round(fused, 12) DESC, item) AS INTEGER) AS rank FROM fused ORDER BY rank LIMIT 50"""
 
 
 @query(_rrf_sql())
 def search_multi_rrf(spark, sf):
-    rows, own = _sections(spark, sf)
-    lists = [search.page(search.ranked(own, rows, q), "key", 20).select(F.col("slug").alias("item"), "rank") for q in ("the ering", "and of")]
+    lists = []
+    for q, said in enumerate(("the ering", "and of", "was")):
+        for surface in ("sections", "readmes"):
+            own = corpus.saved_index(spark, sf, surface)
+            paged = search.flattened(search.page(search.ranked(own.index(), own.rows(), said), "key", 20))
+            item = F.concat_ws(" / ", F.lit("section"), "slug", "section_title") if surface == "sections" else F.concat_ws(" / ", F.lit("readme"), "slug")
+            lists.append((q, paged.select(item.alias("item"), "rank")))
     return search.fuse(lists).withColumn("fused", F.round("fused", 9))
 
 
