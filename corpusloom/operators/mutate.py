@@ -1,6 +1,7 @@
 """Changes as new tables: insert-or-ignore, upsert, replace-all, cascades, orphan collection, propagation, invariants.
 
-Plain Parquet has no transactions, so each operation returns the new table; publish() swaps it in.
+Plain Parquet has no transactions, so each operation returns the new table; publish() swaps it in, and a
+store.Store commits several at once.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def soft_duplicates(rows: DataFrame, key: str, hash_column: str) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Write beside the table, then swap the folders, so that a reader finds the old or the new one."""
+    """Write beside the table, then swap the folders by two renames; a reader between them finds no table. Where that matters, or tables change together, use store.Store."""
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.new")
     at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import datetime
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files, ids, text
-from corpusloom.operators import documents, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
+from corpusloom.operators import cascade, documents, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
 from corpusloom.plans import guarded
 from corpusloom.plans.parser import parse, phrases
-from corpusloom.sources import corpus, shared
+from corpusloom.sources import corpus, shared, store
 from corpusloom.sources.samples import frame, values
 from corpusloom.streaming import ingest
 
@@ -657,6 +658,79 @@ def cascade_delete(spark, sf):
     return mutate.delete_sources({"references": refs}, ids_.withColumn("kind", F.lit("paper")), "paper")["references"].select("src", "ref_number", "cited_id")
 
 
+#: The corpus of a cascade, made of the given tables; the same text runs in both engines.
+CORPUS = {
+    "papers": ("SELECT c_custkey AS id, concat('c_', c_custkey) AS slug FROM {customer}", "id"),
+    "posts": ("SELECT s_suppkey AS id, concat('s_', s_suppkey) AS slug FROM {supplier}", "id"),
+    "repos": ("SELECT p_partkey AS id, CASE WHEN p_size < 40 THEN p_partkey END AS paper_id, p_brand AS name FROM {part}", "id"),
+    "references": ("SELECT o_custkey AS paper_id, o_orderkey AS ref_number, CAST(floor(o_orderkey / 10) AS BIGINT) AS cited_paper_id FROM {orders}", "paper_id"),
+    "post_references": ("SELECT l_suppkey AS post_id, l_orderkey * 10 + l_linenumber AS ref_number, l_partkey AS cited_paper_id FROM {lineitem}", "post_id"),
+    "figures": ("SELECT user_id AS paper_id, event_id AS number, event_type AS caption FROM {events}", "paper_id"),
+    "sections": ("SELECT concat('c_', doc_id) AS slug, text AS body FROM {documents}", "slug"),
+    "members": ("SELECT DISTINCT 'paper' AS target_kind, o_custkey AS target_id, o_orderpriority AS collection FROM {orders} UNION ALL SELECT 'post', s_suppkey, 'p' FROM {supplier} UNION ALL SELECT 'repo', p_partkey, p_brand FROM {part}", "target_id"),
+    "topics": ("SELECT 'paper' AS target_kind, c_custkey AS target_id, concat(c_mktsegment, ' ', c_custkey % 400) AS topic, 'd' AS domain FROM {customer} UNION ALL SELECT 'repo', p_partkey, concat(p_name, ' ', p_partkey % 300), 'd' FROM {part}", "target_id"),
+    "terms": ("SELECT DISTINCT concat('t ', topic) AS id, 'topic' AS term_type, topic AS canonical_name, 'd' AS domain FROM {topics} UNION ALL SELECT DISTINCT concat('e ', p_type), 'entity', p_type, 'd' FROM {part} UNION ALL SELECT 't unbound', 'topic', 'unbound', 'd' FROM {region} WHERE r_regionkey = 0", "id"),
+    "aliases": ("SELECT concat('t ', c_mktsegment, ' ', c_custkey % 400) AS term_id, upper(c_name) AS alias, concat('c_', (c_custkey * 7) % 1000) AS source FROM {customer}", "term_id"),
+    "vectors": ("SELECT id AS term_id, length(canonical_name) AS v FROM {terms}", "term_id"),
+    "code_files": ("SELECT l_partkey AS repo_id, concat(l_orderkey, '/', l_linenumber) AS path FROM {lineitem}", "repo_id"),
+}
+
+
+def _stored_corpus(spark: SparkSession, sf: str) -> store.Store:
+    given = {n: corpus.table(spark, sf, n) for n in ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "region")}
+    made: dict[str, DataFrame] = {}
+    for name, (text_, _) in CORPUS.items():
+        used = {n: df for n, df in (given | made).items() if "{" + n + "}" in text_}
+        made[name] = spark.sql(text_, **used)
+    own = store.Store(spark, shared.fresh_path(spark, "store"), buckets=8)
+    own.create({name: (df, [CORPUS[name][1]]) for name, df in made.items()})
+    return own
+
+
+def _corpus_sql() -> str:
+    """CTEs of the corpus under the names t_<table>."""
+    filled = lambda x: re.sub(r"\{(\w+)\}", lambda m: f"t_{m[1]}" if m[1] in CORPUS else m[1], x)
+    return ", ".join(f"t_{name} AS ({filled(x)})" for name, (x, _) in CORPUS.items())
+
+
+GONE = "gone AS (SELECT id, slug FROM t_papers WHERE id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))"
+DEAD = {
+    "papers": "id IN (SELECT id FROM gone)", "repos": "paper_id IN (SELECT id FROM gone)", "references": "paper_id IN (SELECT id FROM gone)", "post_references": "false",
+    "figures": "paper_id IN (SELECT id FROM gone)", "sections": "slug IN (SELECT slug FROM gone)",
+    "members": "(target_kind = 'paper' AND target_id IN (SELECT id FROM gone)) OR (target_kind = 'repo' AND target_id IN (SELECT id FROM d_repos))",
+    "topics": "(target_kind = 'paper' AND target_id IN (SELECT id FROM gone)) OR (target_kind = 'repo' AND target_id IN (SELECT id FROM d_repos))",
+    "code_files": "repo_id IN (SELECT id FROM d_repos)", "terms": "term_type = 'topic' AND canonical_name NOT IN (SELECT topic FROM l_topics)",
+    "aliases": "source IN (SELECT slug FROM gone) OR term_id IN (SELECT id FROM d_terms)", "vectors": "term_id IN (SELECT id FROM d_terms)",
+}
+CASCADE = f"""WITH {_corpus_sql()}, {GONE}, {', '.join(f'd_{n} AS (SELECT * FROM t_{n} WHERE {w}), l_{n} AS (SELECT * FROM t_{n} WHERE NOT coalesce({w}, false))' for n, w in DEAD.items())}"""
+
+
+@query(f"""{CASCADE} {' UNION ALL '.join(f"SELECT '{n}' AS name, (SELECT count(*) FROM d_{n}) AS deleted, " + ("(SELECT count(*) FROM l_" + n + " WHERE cited_paper_id IN (SELECT id FROM gone))" if 'references' in n else 'CAST(0 AS BIGINT)') + f" AS emptied, (SELECT count(*) FROM l_{n}) AS remaining" for n in DEAD)}""")
+def cascade_commit(spark, sf):
+    """Customers in debt as papers that go, with all that hangs on them, in one commit over thirteen tables: counts before, rows left after."""
+    own = _stored_corpus(spark, sf)
+    gone = corpus.table(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
+    counts = cascade.delete(own, "papers", gone)
+    rows = None
+    for name, n in counts.items():
+        one = own.read(name).agg(F.count("*").alias("remaining")).select(F.lit(name).alias("name"), F.lit(n["deleted"]).cast("long").alias("deleted"), F.lit(n["emptied"]).cast("long").alias("emptied"), "remaining")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query(f"""{CASCADE} SELECT 'references' AS name, CAST(paper_id AS VARCHAR) AS owner, ref_number, CASE WHEN cited_paper_id NOT IN (SELECT id FROM gone) THEN cited_paper_id END AS cited FROM l_references
+UNION ALL SELECT 'post_references', CAST(post_id AS VARCHAR), ref_number, CASE WHEN cited_paper_id NOT IN (SELECT id FROM gone) THEN cited_paper_id END FROM l_post_references
+UNION ALL SELECT 'aliases', alias, NULL, NULL FROM l_aliases UNION ALL SELECT 'terms', id, NULL, NULL FROM l_terms""")
+def cascade_rows(spark, sf):
+    """What the same delete leaves of references, aliases and terms."""
+    own = _stored_corpus(spark, sf)
+    cascade.delete(own, "papers", corpus.table(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("id")))
+    none = F.lit(None).cast("long")
+    refs = [own.read(n).select(F.lit(n).alias("name"), F.col(k).cast("string").alias("owner"), "ref_number", F.col("cited_paper_id").alias("cited")) for n, k in (("references", "paper_id"), ("post_references", "post_id"))]
+    names = [own.read(n).select(F.lit(n).alias("name"), F.col(c).alias("owner"), none.alias("ref_number"), none.alias("cited")) for n, c in (("aliases", "alias"), ("terms", "id"))]
+    return refs[0].union(refs[1]).union(names[0]).union(names[1])
+
+
 @query("SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def orphan_collection(spark, sf):
     bound = corpus.table(spark, sf, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
