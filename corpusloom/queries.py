@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files, ids, text
-from corpusloom.operators import cascade, documents, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
+from corpusloom.operators import cascade, classify, documents, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
 from corpusloom.plans import guarded
 from corpusloom.plans.parser import parse, phrases
-from corpusloom.sources import corpus, shared, store
-from corpusloom.sources.samples import frame, values
+from corpusloom.sources import corpus, formats, shared, store
+from corpusloom.sources.derived import derived, derived_sql
 from corpusloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,9 +376,9 @@ def citations_inbound(spark, sf):
     return graph.inbound(_resolved(spark, sf), citing, limit=5, offset=2)
 
 
-@query(f"""SELECT src, ref_number, coalesce(nullif(lower(regexp_extract(raw_text, '{ids.MENTION}', 1)), ''), nullif(regexp_extract(raw_text, '{ids.MENTION}', 2), ''), nullif(regexp_extract(raw_text, '{ids.MENTION}', 3), '')) AS cited FROM {values('lit_refs')}""")
+@query(f"""SELECT src, ref_number, coalesce(nullif(lower(regexp_extract(raw_text, '{ids.MENTION}', 1)), ''), nullif(regexp_extract(raw_text, '{ids.MENTION}', 2), ''), nullif(regexp_extract(raw_text, '{ids.MENTION}', 3), '')) AS cited FROM {derived_sql('lit_refs')}""")
 def reference_ids(spark, sf):
-    return frame(spark, "lit_refs").select("src", "ref_number", ids.mentioned_id(F.col("raw_text")).alias("cited"))
+    return derived(spark, sf, "lit_refs").select("src", "ref_number", ids.mentioned_id(F.col("raw_text")).alias("cited"))
 
 
 # ---- terms
@@ -386,19 +386,19 @@ def reference_ids(spark, sf):
 NORM = r"regexp_replace(trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' (?:model|method|framework|dataset|benchmark|system|approach)$', '')"
 
 
-@query(f"SELECT canonical_name, {NORM.format(x='canonical_name')} AS norm FROM {values('lit_terms')} UNION ALL SELECT p_name, {NORM.format(x='p_name')} FROM part")
+@query(f"SELECT canonical_name, {NORM.format(x='canonical_name')} AS norm FROM {derived_sql('lit_terms')} UNION ALL SELECT p_name, {NORM.format(x='p_name')} FROM part")
 def normalize_terms(spark, sf):
-    own = frame(spark, "lit_terms").select("canonical_name").union(corpus.table(spark, sf, "part").select("p_name"))
+    own = derived(spark, sf, "lit_terms").select("canonical_name").union(corpus.table(spark, sf, "part").select("p_name"))
     return own.select("canonical_name", text.normalize_term(F.col("canonical_name")).alias("norm"))
 
 
-@query(f"""WITH t AS (SELECT *, {NORM.format(x='canonical_name')} AS norm FROM {values('lit_terms')}), a AS (SELECT t.term_id, domain, term_type, {NORM.format(x='alias')} AS norm FROM {values('lit_aliases')} JOIN t USING (term_id)),
-n AS (SELECT *, {NORM.format(x='raw')} AS norm FROM {values('lit_names')}),
+@query(f"""WITH t AS (SELECT *, {NORM.format(x='canonical_name')} AS norm FROM {derived_sql('lit_terms')}), a AS (SELECT t.term_id, domain, term_type, {NORM.format(x='alias')} AS norm FROM {derived_sql('lit_aliases')} JOIN t USING (term_id)),
+n AS (SELECT *, {NORM.format(x='raw')} AS norm FROM {derived_sql('lit_names')}),
 r AS (SELECT raw, n.domain, n.term_type, (SELECT min(term_id) FROM t WHERE t.domain = n.domain AND t.term_type = n.term_type AND canonical_name = raw) AS t1,
 coalesce((SELECT min(term_id) FROM t WHERE t.domain = n.domain AND t.term_type = n.term_type AND t.norm = n.norm), (SELECT min(term_id) FROM a WHERE a.domain = n.domain AND a.term_type = n.term_type AND a.norm = n.norm)) AS t2 FROM n)
 SELECT raw, domain, term_type, coalesce(t1, t2) AS term_id, CASE WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 END AS tier FROM r""")
 def resolve_exact_and_normal(spark, sf):
-    return resolve.exact_and_normal(frame(spark, "lit_names"), frame(spark, "lit_terms"), frame(spark, "lit_aliases"))
+    return resolve.exact_and_normal(derived(spark, sf, "lit_names").drop("ord"), derived(spark, sf, "lit_terms"), derived(spark, sf, "lit_aliases"))
 
 
 def _common_sql(a: str, b: str) -> str:
@@ -477,9 +477,9 @@ def gradient_survivors(spark, sf):
     return resolve.survivors(resolve.neighbours(q, own.select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), F.col("embedding").alias("v"))), near=0.3)
 
 
-@query(f"SELECT doc, start, arg_max(norm, (score, -ord)) AS norm, arg_max(label, (score, -ord)) AS label, max(score) AS score FROM {values('lit_spans')} GROUP BY doc, start HAVING max(score) >= CASE arg_max(label, (score, -ord)) WHEN 'model' THEN 0.8 ELSE 0.45 END")
+@query(f"SELECT doc, start, arg_max(norm, (score, -ord)) AS norm, arg_max(label, (score, -ord)) AS label, max(score) AS score FROM {derived_sql('lit_spans')} GROUP BY doc, start HAVING max(score) >= CASE arg_max(label, (score, -ord)) WHEN 'model' THEN 0.8 ELSE 0.45 END")
 def span_labels(spark, sf):
-    best = resolve.best_label(frame(spark, "lit_spans"), ["doc", "start"])
+    best = resolve.best_label(derived(spark, sf, "lit_spans"), ["doc", "start"])
     return resolve.over_threshold(best, {"model": 0.8}).select("doc", "start", "norm", "label", "score")
 
 
@@ -490,25 +490,25 @@ def label_vote(spark, sf):
     return resolve.vote(own)
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord) AS n FROM {values('lit_evidence')}),
+@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord) AS n FROM {derived_sql('lit_evidence')}),
 f AS (SELECT term, CAST(0 AS BIGINT) AS n, '' AS label, CAST('-inf' AS DOUBLE) AS score FROM (SELECT DISTINCT term FROM e) UNION ALL
 SELECT f.term, e.n, CASE WHEN e.label <> '' AND e.label <> f.label AND e.score > f.score THEN e.label ELSE f.label END, CASE WHEN e.label <> '' AND e.label <> f.label AND e.score > f.score THEN e.score ELSE f.score END FROM f JOIN e ON e.term = f.term AND e.n = f.n + 1)
 SELECT term, arg_max(label, n) AS label, arg_max(score, n) AS score FROM f GROUP BY term""")
 def entity_type_fold(spark, sf):
-    return resolve.settle_type(frame(spark, "lit_evidence"))
+    return resolve.settle_type(derived(spark, sf, "lit_evidence"))
 
 
 @query(f"""SELECT name, trim(name) = '' OR regexp_matches(trim(name), '[\\n\\r\\t]') OR regexp_full_match(trim(name), '\\d+') OR regexp_matches(trim(name), '[-/:,@#]$') OR regexp_matches(trim(name), '^[+-]') OR length(trim(name)) > 100
 OR regexp_matches(trim(name), '^(?:Table|Figure|Fig\\.?|Appendix|Section|Chapter|Eq\\.?|Equation)\\s+\\S+$') OR regexp_matches(trim(name), '^[+\\-]?\\d[\\d.,]*(?:\\s*[a-zA-Z%]+)*$')
-OR lower(trim(name)) IN ({', '.join(repr(x) for x in documents.NO_ENTITY)}) OR {NORM.format(x='trim(name)')} IN ('dataset', 'method', 'model', 'metric') OR (length(trim(name)) < 3 AND upper(trim(name)) NOT IN {documents.SHORT_ENTITY}) AS garbage FROM {values('lit_entities')}""")
+OR lower(trim(name)) IN ({', '.join(repr(x) for x in documents.NO_ENTITY)}) OR {NORM.format(x='trim(name)')} IN ('dataset', 'method', 'model', 'metric') OR (length(trim(name)) < 3 AND upper(trim(name)) NOT IN {documents.SHORT_ENTITY}) AS garbage FROM {derived_sql('lit_entities')}""")
 def entity_garbage(spark, sf):
-    return frame(spark, "lit_entities").select("name", documents.is_garbage(F.col("name"), ["dataset", "method", "model", "metric"]).alias("garbage"))
+    return derived(spark, sf, "lit_entities").select("name", documents.is_garbage(F.col("name"), ["dataset", "method", "model", "metric"]).alias("garbage"))
 
 
 @query()
 def resolver_tiers(spark, sf):
-    names = frame(spark, "lit_names").select(F.row_number().over(Window.orderBy("domain", "raw", "term_type")).cast("long").alias("ord"), "raw", "domain", "term_type", F.lit(None).cast("array<float>").alias("vector"))
-    return resolve.resolve(names, frame(spark, "lit_terms").withColumn("vector", F.lit(None).cast("array<float>")), frame(spark, "lit_aliases"))
+    names = derived(spark, sf, "lit_names").withColumn("vector", F.lit(None).cast("array<float>"))
+    return resolve.resolve(names, derived(spark, sf, "lit_terms").withColumn("vector", F.lit(None).cast("array<float>")), derived(spark, sf, "lit_aliases"))
 
 
 @query("SELECT p_brand AS domain, string_agg(DISTINCT split_part(p_type, ' ', 1), ' ' ORDER BY split_part(p_type, ' ', 1)) AS aliases FROM part GROUP BY p_brand")
@@ -522,36 +522,42 @@ REPO_PARTS = r"^(?i:https?)://(?i:www\.)?([^/?#]+)/+([^/?#]+)/+([^/?#]+?)(?:\.gi
 
 
 @query(f"""WITH b AS (SELECT raw, regexp_replace(regexp_replace(trim(raw), '^https?://arxiv\\.org/(?:abs|pdf)/', ''), '\\.pdf$', '') AS p, regexp_replace(regexp_replace(regexp_replace(trim(raw), '^(?:https?://)?(?:www\\.)?aclanthology\\.org/', ''), '/+$', ''), '\\.(?:pdf|xml|bib)$', '') AS a,
-regexp_replace(trim(raw), '[.,);:!?\\]}}>]+$', '') AS u FROM {values('lit_ids')})
+regexp_replace(trim(raw), '[.,);:!?\\]}}>]+$', '') AS u FROM {derived_sql('lit_ids')})
 SELECT raw, CASE WHEN regexp_full_match(p, '(?:\\d{{4}}\\.\\d{{4,5}}|[a-z\\-]+/\\d{{7}})(?:v\\d+)?') THEN p END AS preprint, CASE WHEN regexp_full_match(a, '(?:\\d{{4}}\\.[a-z][a-z0-9]*(?:-[a-z0-9]+)*\\.\\d+|[A-Z]\\d{{2}}-\\d{{4}})') THEN a END AS anthology,
 CASE WHEN lower(regexp_extract(u, '{REPO_PARTS}', 1)) IN ('github.com', 'gitlab.com', 'bitbucket.org') THEN 'https://' || lower(regexp_extract(u, '{REPO_PARTS}', 1)) || '/' || regexp_extract(u, '{REPO_PARTS}', 2) || '/' || regexp_extract(u, '{REPO_PARTS}', 3) END AS repo FROM b""")
 def identifiers(spark, sf):
     raw = F.col("raw")
-    return frame(spark, "lit_ids").select("raw", ids.preprint_id(raw).alias("preprint"), ids.anthology_id(raw).alias("anthology"), ids.repo_url(raw).alias("repo"))
+    return derived(spark, sf, "lit_ids").select("raw", ids.preprint_id(raw).alias("preprint"), ids.anthology_id(raw).alias("anthology"), ids.repo_url(raw).alias("repo"))
 
 
 @query()
 def identifier_urls(spark, sf):
     raw = F.col("raw")
-    return frame(spark, "lit_ids").select("raw", ids.repo_slug(ids.repo_url(raw)).alias("slug"), ids.figure_url(raw).alias("figure"), ids.figure_mirror(raw).alias("mirror"))
+    return derived(spark, sf, "lit_ids").select("raw", ids.repo_slug(ids.repo_url(raw)).alias("slug"), ids.figure_url(raw).alias("figure"), ids.figure_mirror(raw).alias("mirror"))
 
 
-@query(f"""WITH w AS (SELECT *, lower(strip_accents(title)) AS f FROM {values('lit_titles')}),
+@query(f"""WITH w AS (SELECT *, lower(strip_accents(title)) AS f FROM {derived_sql('lit_titles')}),
 v AS (SELECT *, CASE WHEN contains(title, ':') THEN regexp_replace(lower(strip_accents(split_part(title, ':', 1))), '[^a-z0-9]+', '', 'g')
 ELSE array_to_string(list_filter(string_split_regex(regexp_replace(f, '[^a-z0-9\\s]+', ' ', 'g'), '\\s+'), lambda x: x <> '' AND x NOT IN {ids.STOP_WORDS})[1:3], '_') END AS base, regexp_replace(lower(regexp_replace(id, 'v\\d+$', '')), '[^a-z0-9]+', '', 'g') AS own FROM w)
 SELECT title, coalesce(nullif(base, ''), own) || '_' || date[1:4] AS slug FROM v""")
 def paper_slugs(spark, sf):
-    return frame(spark, "lit_titles").select("title", ids.paper_slug(F.col("title"), F.col("date"), ids.plain_id(F.col("id"))).alias("slug"))
+    return derived(spark, sf, "lit_titles").select("title", ids.paper_slug(F.col("title"), F.col("date"), ids.plain_id(F.col("id"))).alias("slug"))
 
 
-@query(f"SELECT name, regexp_replace(left(regexp_replace(regexp_replace(lower(name), '[\\s/]+', '_', 'g'), '[^a-z0-9_-]', '', 'g'), 64), '^[_-]+|[_-]+$', '', 'g') AS domain FROM {values('lit_domains')}")
+@query(f"SELECT name, regexp_replace(left(regexp_replace(regexp_replace(lower(name), '[\\s/]+', '_', 'g'), '[^a-z0-9_-]', '', 'g'), 64), '^[_-]+|[_-]+$', '', 'g') AS domain FROM {derived_sql('lit_domains')}")
 def domain_names(spark, sf):
-    return frame(spark, "lit_domains").select("name", text.sanitize_domain(F.col("name")).alias("domain"))
+    return derived(spark, sf, "lit_domains").select("name", text.sanitize_domain(F.col("name")).alias("domain"))
 
 
-@query()
+def _unmarked(t: str) -> str:
+    """A title without the bold or italic marks that stand at both of its ends."""
+    cut = lambda mark: f"WHEN starts_with({t}, '{mark}') AND ends_with({t}, '{mark}') AND length({t}) >= {2 * len(mark)} THEN substr({t}, {len(mark) + 1}, length({t}) - {2 * len(mark)})"
+    return f"CASE {' '.join(map(cut, ('**', '__', '*', '_')))} ELSE {t} END"
+
+
+@query(f"""SELECT title, lower(trim(regexp_replace(regexp_replace(trim(regexp_replace({_unmarked('trim(title)')}, '^\\d+(?:\\.\\d+)*\\.?\\s+', '')), ':+$', ''), '\\s+', ' ', 'g'))) AS token FROM {derived_sql('lit_headings')}""")
 def heading_tokens(spark, sf):
-    return frame(spark, "lit_headings").select("title", text.breadcrumb_token(F.col("title")).alias("token"))
+    return derived(spark, sf, "lit_headings").select("title", text.breadcrumb_token(F.col("title")).alias("token"))
 
 
 _NAME = "list_extract(string_split(path, '/'), -1)"
@@ -559,22 +565,25 @@ _EXT = f"lower(regexp_extract({_NAME}, '^.+(\\.[^.]*)$', 1))"
 _LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 
 
-@query(f"""SELECT repo, path FROM {values('lit_files')} WHERE len(list_filter(list_slice(string_split(path, '/'), 1, -2), lambda d: d IN {_LIST(files.SKIP_DIRS)} OR d LIKE '%.egg-info')) = 0
+@query(f"""SELECT repo, path FROM {derived_sql('lit_files')} WHERE len(list_filter(list_slice(string_split(path, '/'), 1, -2), lambda d: d IN {_LIST(files.SKIP_DIRS)} OR d LIKE '%.egg-info')) = 0
 AND {_NAME} NOT IN {_LIST(files.SKIP_NAMES)} AND {_NAME} NOT LIKE 'events.out.tfevents.%' AND {_EXT} NOT IN {_LIST(files.SKIP_EXTS)} AND size <= CASE WHEN {_EXT} IN {_LIST(files.SMALL_EXTS)} THEN 50000 ELSE 1000000 END
-AND length(content) - length(replace(content, '�', '')) <= 0.01 * length(content)
+AND length(content) - length(replace(content, '�', '')) <= 0.01 * length(content) AND NOT (contains(content, chr(0)) AND strlen(split_part(content, chr(0), 1)) < 8192)
 AND NOT ({_EXT} IN ('.js', '.css') AND list_avg(list_transform(string_split(regexp_replace(content, '\\n$', ''), chr(10))[1:100], lambda x: length(x))) > 110)""")
 def file_filter(spark, sf):
-    return files.kept_files(frame(spark, "lit_files")).select("repo", "path")
+    return files.kept_files(derived(spark, sf, "lit_files").withColumn("content", F.encode("content", "UTF-8"))).select("repo", "path")
 
 
-@query(f"SELECT repo, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY list_position(['readme.md', 'readme.rst', 'readme.txt', 'readme'], lower(path)), path) AS n FROM {values('lit_files')} WHERE lower(path) IN ('readme.md', 'readme.rst', 'readme.txt', 'readme')) WHERE n = 1")
+@query(f"SELECT repo, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY list_position(['readme.md', 'readme.rst', 'readme.txt', 'readme'], lower(path)), path) AS n FROM {derived_sql('lit_files')} WHERE lower(path) IN ('readme.md', 'readme.rst', 'readme.txt', 'readme')) WHERE n = 1")
 def readme_pick(spark, sf):
-    return files.readme(frame(spark, "lit_files"), "repo").select("repo", "path")
+    return files.readme(derived(spark, sf, "lit_files"), "repo").select("repo", "path")
 
 
-@query()
+_LANGUAGE = " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in files.LANGUAGES.items())
+
+
+@query(f"SELECT repo, path, CASE WHEN lower({_NAME}) = 'dockerfile' THEN 'dockerfile' ELSE CASE {_EXT} {_LANGUAGE} END END AS language FROM {derived_sql('lit_files')}")
 def file_languages(spark, sf):
-    return frame(spark, "lit_files").select("repo", "path", files.language(F.col("path")).alias("language"))
+    return derived(spark, sf, "lit_files").select("repo", "path", files.language(F.col("path")).alias("language"))
 
 
 # ---- documents
@@ -585,28 +594,42 @@ def overlapping_chunks(spark, sf):
     return documents.chunks(corpus.table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "chunk", "n_tokens", F.md5("content").alias("digest"))
 
 
-@query()
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LAST = lambda level, x: f"last_value(CASE WHEN level = {level} THEN {x} END IGNORE NULLS) OVER w"
+SECTION_CTES = f"""md AS (SELECT slug, md, string_split(md, chr(10)) AS pieces FROM {derived_sql('lit_markdown')} WHERE md IS NOT NULL),
+l AS (SELECT slug, unnest(pieces) AS line, generate_subscripts(pieces, 1) AS i, len(pieces) AS n FROM md),
+f AS (SELECT slug, i, line, line || CASE WHEN i < n THEN chr(10) ELSE '' END AS whole, CAST(regexp_matches(line, '^\\s*(```|~~~)') AS INTEGER) AS fence FROM l),
+g AS (SELECT *, coalesce(sum(length(whole)) OVER (PARTITION BY slug ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(fence) OVER (PARTITION BY slug ORDER BY i) AS fences, length(line) - length(ltrim(line, '#')) AS marks, trim(ltrim(line, '#'), {_SPACE}) AS said FROM f),
+h AS (SELECT *, CASE WHEN fences % 2 = 0 AND fence = 0 AND marks BETWEEN 1 AND 3 AND said <> '' AND contains({_SPACE}, ltrim(line, '#')[1]) THEN marks END AS level FROM g),
+o AS (SELECT *, count(level) OVER w AS ord, {_LAST(1, 'i')} AS i1, {_LAST(2, 'i')} AS i2, {_LAST(3, 'i')} AS i3, {_LAST(1, 'said')} AS t1, {_LAST(2, 'said')} AS t2, {_LAST(3, 'said')} AS t3 FROM h WINDOW w AS (PARTITION BY slug ORDER BY i)),
+p AS (SELECT *, CASE WHEN level IS NOT NULL THEN list_filter([CASE WHEN i1 IS NOT NULL THEN '# ' || t1 END, CASE WHEN level >= 2 AND i2 > coalesce(i1, 0) THEN '## ' || t2 END, CASE WHEN level = 3 AND i3 > greatest(coalesce(i1, 0), coalesce(i2, 0)) THEN '### ' || t3 END], lambda x: x IS NOT NULL) END AS path FROM o),
+s AS (SELECT slug, ord, max(level) AS level, max(CASE WHEN level IS NOT NULL THEN said END) AS title, max(path) AS path, min(start) AS start, coalesce(string_agg(whole, '' ORDER BY i) FILTER (WHERE level IS NULL), '') AS raw FROM p GROUP BY slug, ord),
+sections AS (SELECT slug, CAST(ord AS BIGINT) AS ord, CAST(coalesce(level, 1) AS INTEGER) AS level, coalesce(title, 'Abstract') AS title, CASE WHEN ord = 0 THEN '# Abstract' ELSE array_to_string(path, ' > ') END AS breadcrumb, raw, CAST(start AS BIGINT) AS start FROM s WHERE ord > 0 OR trim(raw, {_SPACE}) <> '')"""
+
+
+@query(f"WITH {SECTION_CTES} SELECT slug, ord, level, title, breadcrumb, breadcrumb || chr(10) || chr(10) || raw AS body, start FROM sections")
 def section_split(spark, sf):
-    return documents.sections(frame(spark, "lit_markdown"), "slug", "md").drop("norm_path")
+    return documents.sections(derived(spark, sf, "lit_markdown"), "slug", "md").drop("norm_path")
 
 
-@query()
+@query(f"""WITH {SECTION_CTES}, hits AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY ord) AS place FROM sections WHERE lower(trim(regexp_replace({_unmarked('trim(title)')}, ':+$', ''))) = 'setup'),
+ends AS (SELECT hits.slug, hits.title, hits.start, (SELECT min(b.start) FROM sections b WHERE b.slug = hits.slug AND b.ord > hits.ord AND b.level <= hits.level) AS stop FROM hits WHERE place = 1)
+SELECT ends.slug, title, substr(md, start + 1, coalesce(stop, length(md)) - start) AS content FROM ends JOIN md USING (slug)""")
 def section_read(spark, sf):
-    return documents.read_section(frame(spark, "lit_markdown"), "slug", "md", ["setup"])
+    return documents.read_section(derived(spark, sf, "lit_markdown"), "slug", "md", ["setup"])
 
 
-@query(f"""WITH o AS (SELECT *, lag(page) OVER (PARTITION BY book, level ORDER BY ord) AS last FROM {values('lit_outline')} WHERE page >= 1 AND level <= 2), d AS (SELECT * FROM o WHERE last IS NULL OR last <> page),
+@query(f"""WITH o AS (SELECT *, lag(page) OVER (PARTITION BY book, level ORDER BY ord) AS last FROM {derived_sql('lit_outline')} WHERE page >= 1 AND level <= 2), d AS (SELECT * FROM o WHERE last IS NULL OR last <> page),
 c AS (SELECT *, count(*) FILTER (level = 1) OVER (PARTITION BY book) AS n1, count(*) FILTER (level = 2) OVER (PARTITION BY book) AS n2 FROM d),
 p AS (SELECT *, CASE WHEN n1 >= 3 THEN 1 WHEN n2 >= 3 THEN 2 WHEN n1 >= 2 THEN 1 END AS pick FROM c), k AS (SELECT *, max(CASE WHEN level = pick AND last > page THEN 1 ELSE 0 END) OVER (PARTITION BY book) AS falls FROM p WHERE pick IS NOT NULL AND level <= pick)
 SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY ord) AS INTEGER) AS chapter, trim(title) AS title, page - 1 AS page_start, coalesce((SELECT min(b.page) FROM k b WHERE b.book = k.book AND b.page > k.page) - 1, pages) AS page_end FROM k WHERE falls = 0 AND level = pick""")
 def outline_chapters(spark, sf):
-    return documents.chapters(frame(spark, "lit_outline"), F.col("pages"))
+    return documents.chapters(derived(spark, sf, "lit_outline"), F.col("pages"))
 
 
 @query()
 def acronym_pairs(spark, sf):
-    said = [("Reciprocal Rank Fusion (RRF) and dense passage retrieval (DPR). RRF (RRF) again, Maximal Marginal relevance (Mmr)",), ("no pairs (at all)",), ("Best Matching 25 (BM25)",)]
-    return spark.createDataFrame(said, "text string").select("text", F.explode(documents.acronyms(F.col("text"))).alias("p")).select("text", "p.short", "p.long")
+    return derived(spark, sf, "lit_acronyms").select("id", F.explode(documents.acronyms(F.col("text"))).alias("p")).select("id", "p.short", "p.long")
 
 
 @query()
@@ -737,20 +760,20 @@ def orphan_collection(spark, sf):
     return mutate.collect_orphans(corpus.table(spark, sf, "part").select("p_partkey", "p_brand"), bound, ["p_partkey"])
 
 
-@query(f"SELECT kind, id, collection, is_primary FROM {values('lit_members')} WHERE NOT (kind = 'repo' AND id IN (SELECT repo_id FROM {values('lit_links')})) UNION ALL SELECT 'repo', repo_id, collection, is_primary FROM {values('lit_members')} JOIN {values('lit_links')} ON kind = 'paper' AND id = paper_id")
+@query(f"SELECT kind, id, collection, is_primary FROM {derived_sql('lit_members')} WHERE NOT (kind = 'repo' AND id IN (SELECT repo_id FROM {derived_sql('lit_links')})) UNION ALL SELECT 'repo', repo_id, collection, is_primary FROM {derived_sql('lit_members')} JOIN {derived_sql('lit_links')} ON kind = 'paper' AND id = paper_id")
 def propagate_memberships(spark, sf):
-    return mutate.propagate(frame(spark, "lit_members"), frame(spark, "lit_links"))
+    return mutate.propagate(derived(spark, sf, "lit_members"), derived(spark, sf, "lit_links"))
 
 
-@query(f"SELECT kind, id, CAST(sum(CAST(is_primary AS INTEGER)) AS BIGINT) AS n FROM {values('lit_members')} GROUP BY kind, id HAVING sum(CAST(is_primary AS INTEGER)) > 1")
+@query(f"SELECT kind, id, CAST(sum(CAST(is_primary AS INTEGER)) AS BIGINT) AS n FROM {derived_sql('lit_members')} GROUP BY kind, id HAVING sum(CAST(is_primary AS INTEGER)) > 1")
 def invariant_one_primary(spark, sf):
-    return mutate.two_primaries(frame(spark, "lit_members"))
+    return mutate.two_primaries(derived(spark, sf, "lit_members"))
 
 
-@query(f"""WITH o AS (SELECT *, CASE WHEN status LIKE 'failed%' THEN -1 ELSE list_position(['fetched', 'converted', 'classified', 'extracted', 'indexed'], status) - 1 END AS c, list_position(['fetched', 'converted', 'classified', 'extracted', 'indexed'], target) - 1 AS t FROM {values('lit_events')})
+@query(f"""WITH o AS (SELECT *, CASE WHEN status LIKE 'failed%' THEN -1 ELSE list_position(['fetched', 'converted', 'classified', 'extracted', 'indexed'], status) - 1 END AS c, list_position(['fetched', 'converted', 'classified', 'extracted', 'indexed'], target) - 1 AS t FROM {derived_sql('lit_events')})
 SELECT id, CASE WHEN status IS NULL THEN true WHEN c < 0 THEN false ELSE t - c BETWEEN 0 AND 1 END AS can_run, CASE WHEN c = -1 THEN '' ELSE array_to_string((['fetched', 'converted', 'classified', 'extracted', 'indexed'])[coalesce(c, -1) + 2 :], ',') END AS remaining FROM o""")
 def stage_gate(spark, sf):
-    own = frame(spark, "lit_events")
+    own = derived(spark, sf, "lit_events")
     return own.select("id", ingest.can_run(F.col("status"), F.col("target"), ingest.PAPER).alias("can_run"), F.array_join(ingest.remaining(F.col("status"), ingest.PAPER), ",").alias("remaining"))
 
 
@@ -801,48 +824,48 @@ def reject_rates(spark, sf):
 # ---- other formats, classification
 
 
-TAXONOMY = '{"domains":[{"name":"rag","description":"d","collections":[{"name":"Dense retrieval","description":"x"},{"name":"Agents","description":"y"}]},{"name":"vision","description":"","collections":[]}],"merge_notes":1}'
-MODS = """<modsCollection xmlns="http://www.loc.gov/mods/v3"><mods><titleInfo><title>Big Title</title><subTitle>with a tail</subTitle></titleInfo><name type="personal"><namePart type="given">Ann</namePart><namePart type="family">Lee</namePart><role><roleTerm>author</roleTerm></role></name><name type="personal"><namePart type="given">Ed</namePart><namePart type="family">Itor</namePart><role><roleTerm>editor</roleTerm></role></name><originInfo><dateIssued>2021-08</dateIssued></originInfo></mods></modsCollection>"""
-NOTEBOOK = '{"cells":[{"cell_type":"markdown","source":["# Hi\\n","there"]},{"cell_type":"code","source":"x = 1","outputs":[{"text":"no"}]},{"cell_type":"raw","source":["z"]}]}'
-POST = "See arXiv:2310.08560v2 and https://arxiv.org/abs/2401.00001, again arXiv: 2310.08560. Old: arXiv:CS/0701006"
-
-
-@query("SELECT * FROM (VALUES ('rag', 'Dense retrieval', 'x'), ('rag', 'Agents', 'y'), ('vision', NULL, NULL)) AS t(domain, collection, description)")
+@query("""SELECT n_name AS domain, r_name || ' a' AS collection, 'x' AS description FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, n_name || ' b', CAST(n_nationkey AS VARCHAR) FROM nation
+UNION ALL SELECT 'empty ' || n_nationkey, NULL, NULL FROM nation""")
 def taxonomy_json(spark, sf):
-    from corpusloom.sources.formats import taxonomy as read
-
-    return read(spark.createDataFrame([(TAXONOMY,)], "j string"), "j")
+    return formats.taxonomy(derived(spark, sf, "lit_taxonomy"), "j")
 
 
-@query("SELECT 'Big Title: with a tail' AS title, 'Ann Lee' AS authors, '2021-01-01' AS date")
+@query("""SELECT s_suppkey AS id, 'Title ' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ': with ' || s_nationkey ELSE '' END AS title, s_name || ' Lee' AS authors, (1990 + s_nationkey) || '-01-01' AS date FROM supplier WHERE s_suppkey % 5 > 0
+UNION ALL SELECT s_suppkey, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 5 = 0""")
 def anthology_record(spark, sf):
-    from corpusloom.sources.formats import mods
+    return derived(spark, sf, "lit_mods").select("id", formats.mods(F.col("x")).alias("m")).select("id", "m.title", F.array_join("m.authors", ";").alias("authors"), "m.date")
 
-    return spark.createDataFrame([(MODS,)], "x string").select(mods(F.col("x")).alias("m")).select("m.title", F.array_join("m.authors", ";").alias("authors"), "m.date")
 
-
-@query("SELECT '# %% [markdown]' || chr(10) || '# Hi' || chr(10) || 'there' || chr(10) || chr(10) || '# %%' || chr(10) || 'x = 1' AS flat")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 9 > 0 THEN '# %% [markdown]' || chr(10) || '# ' || c_name || chr(10) || 'there' || chr(10) || chr(10) || '# %%' || chr(10) || 'x = ' || c_nationkey END AS flat FROM customer")
 def notebook_flat(spark, sf):
-    from corpusloom.sources.formats import notebook
+    return derived(spark, sf, "lit_notebooks").select("id", formats.notebook(F.col("c")).alias("flat"))
 
-    return spark.createDataFrame([(NOTEBOOK,)], "c string").select(notebook(F.col("c")).alias("flat"))
 
+_PAD = "lpad(CAST(({0}) % {1} AS VARCHAR), {2}, '0')"
 
-@query("SELECT * FROM (VALUES (1, '2310.08560'), (1, '2401.00001'), (1, 'cs/0701006')) AS t(id, cited)")
-def post_citations(spark, sf):
-    from corpusloom.sources.formats import post_references
 
-    return post_references(spark.createDataFrame([(1, POST), (2, "none")], "id int, t string"), "id", "t").select("id", "cited")
+@query(f"""SELECT DISTINCT id, cited FROM (SELECT o_orderkey AS id, {_PAD.format('o_custkey', 10000, 4)} || '.' || {_PAD.format('o_orderkey', 100000, 5)} AS cited FROM orders
+UNION ALL SELECT o_orderkey, {_PAD.format('o_custkey', 10000, 4)} || '.' || {_PAD.format('o_custkey', 100000, 5)} FROM orders UNION ALL SELECT o_orderkey, 'cs/' || {_PAD.format('o_orderkey', 10000000, 7)} FROM orders WHERE o_orderkey % 3 = 0)""")
+def post_citations(spark, sf):
+    return formats.post_references(derived(spark, sf, "lit_posts"), "id", "t").select("id", "cited")
 
 
-@query("SELECT * FROM (VALUES ('p1', 'rag', 'Agents', true, false), ('p1', 'rag', 'Dense retrieval', false, false), ('p2', 'new_field', 'Fresh', true, true), ('p3', 'vision', 'Nets', true, true), ('p4', 'rag', 'Agents', true, false)) AS t(slug, domain, collection, is_primary, needs_review)")
+@query("""WITH d AS (SELECT DISTINCT p_brand AS domain, p_type AS collection FROM part WHERE p_size > 20), k AS (SELECT domain, row_number() OVER (ORDER BY domain) - 1 AS domain_index FROM (SELECT DISTINCT domain FROM d)),
+n AS (SELECT domain, collection, row_number() OVER (PARTITION BY domain ORDER BY collection) - 1 AS i FROM d),
+picks AS (SELECT c_custkey, c_nationkey, k.domain AS known, coalesce(k.domain, 'new_' || c_nationkey) AS domain, unnest([0, 1, 2]) AS place FROM customer LEFT JOIN k ON c_custkey % 30 = domain_index),
+said AS (SELECT p.*, CASE place WHEN 0 THEN a.collection WHEN 1 THEN coalesce(b.collection, c_name) ELSE a.collection END AS collection, CASE place WHEN 1 THEN b.collection IS NULL ELSE a.collection IS NULL END OR known IS NULL AS fresh
+  FROM (SELECT picks.*, c_name FROM picks JOIN customer USING (c_custkey)) p LEFT JOIN n a ON a.domain = p.domain AND a.i = c_custkey % 7 LEFT JOIN n b ON b.domain = p.domain AND lower(b.collection) = lower(c_name) ),
+once AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, lower(collection) ORDER BY place) AS r FROM said WHERE collection IS NOT NULL)
+SELECT 'p' || c_custkey AS slug, domain, collection, place = min(place) OVER (PARTITION BY c_custkey) AS is_primary, bool_or(fresh) OVER (PARTITION BY c_custkey) AS needs_review FROM once WHERE r = 1""")
 def classification_decisions(spark, sf):
-    from corpusloom.operators.classify import decide
-    from corpusloom.sources.formats import taxonomy as read
-
-    schema = "slug string, domain_index int, new_domain string, picks array<struct<index:int,new_name:string>>"
-    rows = [("p1", 0, None, [(0, None), (1, None), (0, None)]), ("p2", -1, "New Field", [(None, "Fresh")]), ("p3", 1, None, [(None, "Nets"), (7, None)]), ("p4", -1, "RAG", [(None, "agents")])]
-    return decide(spark.createDataFrame(rows, schema), read(spark.createDataFrame([(TAXONOMY,)], "j string"), "j")).drop("place")
+    """Each customer as a result: a domain by number or a new one, a collection by number, one by name, the first again."""
+    known = corpus.table(spark, sf, "part").filter("p_size > 20").select(F.col("p_brand").alias("domain"), F.col("p_type").alias("collection")).distinct()
+    n_domains = known.select("domain").distinct().count()
+    number = (F.col("c_custkey") % 30).cast("int")
+    pick = lambda i, name: F.struct(i.cast("int").alias("index"), name.cast("string").alias("new_name"))
+    none, by_number = F.lit(None), F.col("c_custkey") % 7
+    own = corpus.table(spark, sf, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("slug"), F.when(number < n_domains, number).otherwise(-1).alias("domain_index"), F.when(number >= n_domains, F.concat(F.lit("New "), "c_nationkey")).alias("new_domain"), F.array(pick(by_number, none), pick(none, F.col("c_name")), pick(by_number, none)).alias("picks"))
+    return classify.decide(own, known).drop("place")
 
 
 @query("""SELECT CAST(rank AS INTEGER) AS rank, slug FROM (SELECT slug, row_number() OVER (PARTITION BY kind ORDER BY n) AS rank FROM (SELECT 'doc_' || doc_id AS slug, lang AS kind, doc_id AS n FROM documents)) WHERE rank = 1""")
