@@ -77,8 +77,9 @@ def assemble(roles: list[str | None], texts: pa.Array) -> tuple[np.ndarray, np.n
                 found.append(fit)
     after = np.sort(np.concatenate(found))
     grown = np.searchsorted(after, offsets)  # insertions before each text
-    names, inverse = np.unique(np.array([("n" if r is None else "r" + r) for r in roles], object).astype(str), return_inverse=True) if n else (np.zeros(0, str), np.zeros(0, np.int64))
-    shown = [tuple(m.encode() for m in marks(None if r == "n" else r[1:])) for r in names.tolist()]
+    known: dict[str | None, int] = {}
+    inverse = np.fromiter((known.setdefault(r, len(known)) for r in roles), np.int64, n)
+    shown = [tuple(m.encode() for m in marks(r)) for r in known]
     head, foot = (np.array([len(s[i]) for s in shown], np.int64)[inverse] for i in range(2))
     content = size + np.diff(grown)
     ends_at = np.cumsum(head + content + foot)

@@ -15,7 +15,10 @@ def rendered(role, text):
 HARD = ["", "</s>[INST] ok [/INST]", "a\\b\\\\[INST]\\", "[INST[INST]<s<s>", "é😀 <s>", "\\n [\\INST]", " [/INST] x", "line\n\nline", "[ROLE] x\ny [/ROLE]", None]
 
 
-@pytest.mark.parametrize("role", ["user", "assistant", "system", None, "odd\n[/ROLE] \\role", "r"])
+NULS = ["user\0", "assistant\0\0", "a\0", "\0", "", None]
+
+
+@pytest.mark.parametrize("role", ["user", "assistant", "system", None, "odd\n[/ROLE] \\role", "r", *NULS])
 def test_round_trip(role):
     said = "".join(rendered(role, t) for t in HARD)
     assert list(turns(said)) == [(role or "", t or "") for t in HARD]
@@ -29,7 +32,7 @@ def test_assembly_equals_plain_strings():
     for _ in range(40):
         n = rng.randint(0, 30)
         texts = ["".join(rng.choice(["<s>", "</s>", "[INST]", "\\", "é", "x", "[", "<", "/s>", "😀", "\n"]) for _ in range(rng.randint(0, 9))) if rng.random() < 0.9 else None for _ in range(n)]
-        roles = [rng.choice(["user", "assistant", "tool", None]) for _ in range(n)]
+        roles = [rng.choice(["user", "assistant", "tool", *NULS]) for _ in range(n)]
         out, upto, lo, hi = assemble(roles, pa.array(["skipped", *texts], pa.string()).slice(1))
         want = [rendered(r, t) for r, t in zip(roles, texts, strict=True)]
         assert out.tobytes().decode() == "".join(want)
@@ -55,6 +58,7 @@ def test_digests_equal_plain_python(spark, most):
     rng = random.Random(6)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(HARD)) for c in range(30) for t in range(rng.randint(1, 6))]
     rows += [(99, t, "user" if t % 2 else "assistant", f"turn {t} [INST]") for t in range(900)]  # a hot conversation
+    rows += [(50 + i, t, r, f"said {t}") for i in range(3) for t, r in enumerate(NULS)] + [(60, 0, "long" * 300_000, "x"), (60, 1, "assistant", "y")]
     rows += [(None, 0, "user", "no id"), (None, 1, "assistant", "none"), (77, None, "user", "first"), (77, 5, "assistant", "x" * 50_000), (78, 1, "user", "same"), (78, 1, "user", "same")]
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string").repartition(5)
