@@ -20,7 +20,7 @@ DROPPED = {"head", "script", "style", "noscript", "template"}
 #: Parts of a web page that are not its text.
 CHROME = {"nav", "header", "footer", "aside", "form", "button", "iframe"}
 HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-SCHEMA = "struct<markdown:string,figures:array<struct<number:int,caption:string,src:string,mime:string>>,refs:array<struct<number:int,raw_text:string,cited:string>>>"
+SCHEMA = "struct<markdown:string,figures:array<struct<number:int,caption:string,src:string,mime:string>>,refs:array<struct<number:int,raw_text:string,cited:string>>,error:string>"
 FOUND = re.compile(MENTION)
 
 
@@ -209,13 +209,23 @@ def convert(page: str | None, base_url: str = "") -> dict | None:
     return {"markdown": re.sub(r"\n{3,}", "\n\n", text).strip() + "\n", "figures": made.figures, "refs": references(body)}
 
 
+def _each(rows, columns: list[str], call) -> pd.DataFrame:
+    """call(*row) of each row as columns; a row that fails has nulls and what went wrong in `error`, and doesn't stop the others."""
+    out = []
+    for row in rows:
+        try:
+            out.append({"error": None, **(call(*row) or {})})
+        except Exception as e:  # whatever a page makes the parser raise is that page's own
+            out.append({"error": f"{type(e).__name__}: {e}"[:500]})
+    return pd.DataFrame(out, columns=[*columns, "error"]).astype(object).where(lambda df: df.notna(), None)
+
+
 def converted(page: Column, base_url: Column) -> Column:
-    """struct<markdown, figures, refs> of a page."""
+    """struct<markdown, figures, refs, error> of a page."""
 
     @F.pandas_udf(SCHEMA)
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = [convert(p, b or "") or {"markdown": None, "figures": None, "refs": None} for p, b in zip(x, y, strict=True)]
-        return pd.DataFrame(rows, columns=["markdown", "figures", "refs"])
+        return _each(zip(x, y, strict=True), ["markdown", "figures", "refs"], lambda p, b: convert(p, b or ""))
 
     return run(page, base_url)
 
@@ -235,11 +245,10 @@ def page_meta(page: str | None, url: str) -> dict | None:
 
 
 def metadata(page: Column, url: Column) -> Column:
-    """struct<title, description, canonical> of a page."""
+    """struct<title, description, canonical, error> of a page."""
 
-    @F.pandas_udf("struct<title:string,description:string,canonical:string>")
+    @F.pandas_udf("struct<title:string,description:string,canonical:string,error:string>")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = [page_meta(p, u or "") or {"title": None, "description": None, "canonical": None} for p, u in zip(x, y, strict=True)]
-        return pd.DataFrame(rows, columns=["title", "description", "canonical"])
+        return _each(zip(x, y, strict=True), ["title", "description", "canonical"], lambda p, u: page_meta(p, u or ""))
 
     return run(page, url)

@@ -15,7 +15,7 @@ from corpusloom.plans import guarded
 from corpusloom.plans.parser import parse, phrases
 from corpusloom.sources import corpus, formats, shared, store
 from corpusloom.sources.derived import derived, derived_sql
-from corpusloom.streaming import ingest
+from corpusloom.streaming import ingest, stages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -777,6 +777,47 @@ def stage_gate(spark, sf):
     return own.select("id", ingest.can_run(F.col("status"), F.col("target"), ingest.PAPER).alias("can_run"), F.array_join(ingest.remaining(F.col("status"), ingest.PAPER), ",").alias("remaining"))
 
 
+def _fetched(docs: DataFrame) -> DataFrame:
+    """Answers of three tiers for each document: some web pages are missing, of another type, moved or error pages, some files empty."""
+    k = F.col("doc_id")
+    here = lambda tier, code, kind, url, body: docs.select(k.alias("id"), F.lit(tier).alias("tier"), code.cast("int").alias("code"), kind.alias("content_type"), url.alias("url"), body.alias("body"))
+    page = F.concat(F.lit("https://x.org/html/"), k)
+    html_ = here("html", F.when(k % 5 == 0, 404).otherwise(200), F.when(k % 7 == 0, "application/pdf").otherwise("Text/HTML; charset=utf-8"), F.when(k % 11 == 0, F.concat(F.lit("https://x.org/abs/"), k)).otherwise(page), F.col("md"))
+    mirror = here("mirror", F.lit(200), F.lit("text/html"), page, F.when(k % 3 == 0, "<p>conversion to HTML had a fatal error</p>").otherwise(F.col("md")))
+    return html_.union(mirror).union(here("pdf", F.lit(200), F.lit("application/pdf"), page, F.when(k % 2 == 0, F.col("text")).otherwise("  ")))
+
+
+INGEST = f"""{SECTION_CTES}, {{docs}}
+fetched AS (SELECT *, CASE WHEN k % 5 > 0 AND k % 7 > 0 AND k % 11 > 0 AND trim(md) <> '' THEN 'html' WHEN k % 3 > 0 AND trim(md) <> '' THEN 'mirror' WHEN k % 2 = 0 AND trim(text) <> '' THEN 'pdf' END AS tier FROM docs),
+named AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY k) = 1 THEN base ELSE base || '_' || right(plain, 5) END AS slug FROM fetched),
+placed AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY k) > 1 AS taken FROM named),
+staged AS (SELECT *, CASE WHEN tier IS NULL OR taken THEN 'failed_html' WHEN length(body) > 6000 THEN 'fetched' WHEN length(trim(body)) < 200 THEN 'failed_parse' WHEN quality IS NULL THEN 'converted' ELSE 'indexed' END AS status
+  FROM (SELECT *, CASE WHEN tier = 'pdf' THEN text ELSE md END AS body FROM placed)),
+counted AS (SELECT slug AS m, count(*) FILTER (WHERE trim(raw, {_SPACE}) <> '') AS n FROM sections GROUP BY slug)"""
+INGEST_DOCS = f"""docs AS (SELECT d.doc_id AS k, d.text, d.lang, d.source, lit_markdown.md, l.quality, coalesce(d.doc_id, 0) AS kk, 'Paper ' || d.source || ': ' || d.lang AS title, regexp_replace(lower('Paper ' || d.source), '[^a-z0-9]+', '', 'g') || '_' || (2000 + d.doc_id % 25) AS base,
+  lpad(CAST(d.doc_id % 10000 AS VARCHAR), 4, '0') || lpad(CAST(d.doc_id * 97 % 100000 AS VARCHAR), 5, '0') AS plain FROM documents d JOIN {derived_sql('lit_markdown')} ON lit_markdown.slug = 'm' || d.doc_id LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),"""
+
+
+@query(f"""WITH {INGEST.format(docs=INGEST_DOCS)} SELECT k AS id, CASE WHEN NOT taken OR tier IS NULL THEN slug END AS slug, status, tier, CASE WHEN tier IS NULL THEN 'no tier has a usable body' WHEN taken THEN 'slug in use: ' || slug WHEN status = 'fetched' THEN 'too long' END AS error,
+  CASE WHEN status = 'indexed' THEN lang END AS domain, CAST(CASE WHEN status <> 'indexed' THEN 0 WHEN tier = 'pdf' THEN 1 ELSE coalesce(n, 0) END AS BIGINT) AS n_sections FROM staged LEFT JOIN counted ON m = 'm' || k""")
+def ingest_stages(spark, sf):
+    """All documents as sources: stopped after conversion and run again from the start, then the toxic ones forced and run once more."""
+    docs, labels = corpus.table(spark, sf, "documents"), corpus.table(spark, sf, "labels")
+    docs = docs.join(derived(spark, sf, "lit_markdown").select(F.expr("CAST(substr(slug, 2) AS BIGINT)").alias("doc_id"), "md"), "doc_id")
+    k = F.col("doc_id")
+    raw = F.concat(F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("."), F.lpad((k * 97 % 100000).cast("string"), 5, "0"))
+    requests = docs.select(k.alias("id"), F.concat(F.lit("Paper "), "source", F.lit(": "), "lang").alias("title"), F.concat((2000 + k % 25).cast("string"), F.lit("-01-02")).alias("published"), raw.alias("raw_id"))
+    good = labels.filter("quality is not null").select("doc_id").distinct()
+    decisions = docs.join(good, "doc_id").select(k.alias("id"), F.col("lang").alias("domain"), F.col("source").alias("collection"), F.lit(True).alias("is_primary"), F.lit(False).alias("needs_review"))
+    convert = lambda body: F.struct(body.alias("markdown"), F.when(F.length(body) > 6000, "too long").alias("error"))
+    at = shared.fresh_path(spark, "ingest")
+    own = stages.Ingest(stages.create(spark, f"{at}/store", buckets=8), stages.section_index(spark, f"{at}/index", buckets=8), convert, "2026-01-01")
+    own.run(requests, _fetched(docs), decisions, stop_after="converted")
+    own.run(requests, _fetched(docs), decisions)
+    own.force(labels.filter("toxic = 1").select(F.col("doc_id").alias("id")))
+    return own.run(requests, _fetched(docs), decisions).select("id", "slug", "status", "tier", "error", "domain", "n_sections")
+
+
 # ---- guarded SQL and the catalog
 
 

@@ -72,6 +72,19 @@ class Store:
             self._commit(held, new)
         return sum(len(b) for b, _ in changes.values())
 
+    def merged(self, name: str, rows: DataFrame, keys: list[str]) -> tuple[list[int], DataFrame]:
+        """For replace(): rows put in place of those with the same keys. The table's own keys must be among them. rows is read more than once."""
+        own = rows.withColumn("in_bucket", self._bucket(self.snapshot()["tables"][name]["keys"]))
+        buckets = sorted(r["in_bucket"] for r in own.select("in_bucket").distinct().collect())
+        held = self.read(name, bucketed=True, only=buckets).join(own.select(*keys).distinct(), keys, "left_anti")
+        return buckets, held.unionByName(own.select(*held.columns))
+
+    def without(self, name: str, keys: DataFrame) -> tuple[list[int], DataFrame]:
+        """For replace(): the table without the rows whose columns of the same names are in keys."""
+        held = self.read(name, bucketed=True)
+        buckets = sorted(r["in_bucket"] for r in held.join(keys.distinct(), keys.columns, "left_semi").select("in_bucket").distinct().collect())
+        return buckets, held.filter(F.col("in_bucket").isin(buckets)).join(keys.distinct(), keys.columns, "left_anti")
+
     def vacuum(self) -> int:
         """Delete what the newest snapshot doesn't name; how many folders. Readers of older snapshots must be done."""
         held, n = self.snapshot(), 0
