@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import documents, fuzzy, index, search, snippets, taxonomy
+from corpusloom.operators import documents, enrich, fuzzy, index, search, snippets, taxonomy
 from corpusloom.operators.segments import TERM_COLUMNS, Segments, term_rows
 from corpusloom.plans import guarded
 from corpusloom.plans.parser import Parsed, QueryError, parse
@@ -81,6 +81,18 @@ class Engine:
             raise QueryError("no words to search for")
         return own
 
+    def _enriched(self, grouped: DataFrame, surface: str) -> DataFrame:
+        """A page's sources with topics, entities, figures and repository; a README's repository stands for its paper."""
+        repos = self.t["repos"]
+        if surface == "readmes":
+            linked = repos.select(F.col("slug").alias("repo_slug"), F.col("paper").alias("key"))
+            return enrich.enrich(grouped.join(linked, F.col("slug") == F.col("repo_slug"), "left").drop("repo_slug"), "key", *self._children()).withColumnRenamed("key", "paper")
+        return enrich.enrich(grouped.withColumn("key", F.col("slug")), "key", *self._children()).drop("key")
+
+    def _children(self) -> list[DataFrame]:
+        by = lambda name, key: self.t[name].withColumn("key", F.col(key))
+        return [by("topics", "slug"), by("aliases", "slug"), self.t["terms"], by("figures", "slug"), by("repos", "paper")]
+
     @soft
     def bm25(self, query: str, scope: str = "sections", domain: str | None = None, collection: str | None = None, limit: int = 15, offset: int = 0, recency_boost: float = 0.2, since: str | None = None, snippet_tokens: int = snippets.WIDE) -> dict:
         """Hits by source of one surface or both, with snippets and totals; bare words that match nothing are joined by OR."""
@@ -96,7 +108,7 @@ class Engine:
                 hits = self._ranked(s, tried, recency_boost, since)
                 columns = ["section_title", "section_level"] if s == "sections" else ["domain"]
                 paged = self._snippets(s, tried, search.page(hits, "key", limit, offset), snippet_tokens)
-                out[s] = _dicts(search.grouped(paged, [*columns, "score", "snippet"]).orderBy("best_rank"))
+                out[s] = _dicts(self._enriched(search.grouped(paged, [*columns, "score", "snippet"]), s).orderBy("best_rank"))
                 out[f"{s}_total"] = hits.count()
             if any(out[f"{s}_total"] for s in surfaces):
                 out["fallback"] = "OR" if tried is not own else None

@@ -33,9 +33,18 @@ def windows(index: Index, query: Node, keys: DataFrame, column: int, width: int
     return counted.groupBy(key).agg(best.alias("b")).select(key, (-F.col("b.at")).alias("start"), "b.n_phrases", "b.n_spans", F.array_sort("b.spans").alias("spans"))
 
 
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def begin(text: Column, start: Column, width: int) -> Column:
+    """Where a window is shown from: earlier than its first phrase where the text ends before the window does. No other phrase comes in, or the best window had begun there."""
+    return F.greatest(F.lit(0), F.least(start, F.size(words_of(text)) - width))
+
+
 def cut(text: Column, start: Column, spans: Column, width: int = WIDTH) -> Column:
     """The window's text as it stands, `[` and `]` around its places (overlapping ones share a pair), an ellipsis where the text goes on."""
-    words, between = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), F.split(text, TOKEN)
+    words, between = words_of(text), F.split(text, TOKEN)
     stop = F.least(F.size(words), start + width)
     opens = F.filter(spans, lambda a: ~F.exists(spans, lambda b: (b["start"] < a["start"]) & (a["start"] < b["stop"])))
     closes = F.filter(spans, lambda a: ~F.exists(spans, lambda b: (b["start"] < a["stop"]) & (a["stop"] < b["stop"])))
@@ -59,4 +68,5 @@ def snippets(index: Index, rows: DataFrame, query: Node, hits: DataFrame, column
     found = windows(index, query, hits, number, width)
     own = hits.join(found.withColumnRenamed("start", "snip_start"), key, "left").join(rows.select(key, F.col(column).alias("__text")), key, "left")
     none = F.lit([]).cast("array<struct<start:int,stop:int>>")
+    own = own.withColumn("snip_start", F.when(F.col("snip_start").isNotNull(), begin(F.col("__text"), F.col("snip_start"), width)))
     return own.withColumn("snippet", cut(F.col("__text"), F.coalesce("snip_start", F.lit(0)), F.coalesce("spans", none), width)).drop("__text", "spans")

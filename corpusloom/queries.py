@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files, ids, text
-from corpusloom.operators import cascade, classify, documents, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
+from corpusloom.operators import cascade, classify, documents, enrich, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
 from corpusloom.plans import guarded
 from corpusloom.plans.parser import parse, phrases
 from corpusloom.sources import corpus, formats, shared, store
@@ -153,7 +153,7 @@ held AS (SELECT a.key, a.start, b.k, b.start AS s, b.stop AS e FROM (SELECT DIST
   JOIN place b ON b.key = a.key AND b.start BETWEEN a.start AND a.start + {width - 1} AND (b.stop <= a.start + {width} OR b.start = a.start)),
 win AS (SELECT key, start, count(DISTINCT k) AS n_phrases, list_sort(list(DISTINCT {{'start': s, 'stop': e}})) AS spans FROM held GROUP BY key, start),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_phrases DESC, len(spans) DESC, start) AS place FROM win) WHERE place = 1),
-texts AS (SELECT top.slug, top.rank, best.*, regexp_extract_all(body, '{token}') AS w, string_split_regex(body, '{token}') AS sep FROM top JOIN rows_ USING (key) JOIN best USING (key)),
+texts AS (SELECT top.slug, top.rank, best.* EXCLUDE (start), greatest(0, least(start, len(regexp_extract_all(body, '{token}')) - {width})) AS start, regexp_extract_all(body, '{token}') AS w, string_split_regex(body, '{token}') AS sep FROM top JOIN rows_ USING (key) JOIN best USING (key)),
 ends AS (SELECT *, least(len(w), start + {width}) AS stop FROM texts)
 SELECT slug, key, rank, CAST(start AS INTEGER) AS snip_start, CAST(n_phrases AS INTEGER) AS n_phrases, CAST(len(spans) AS INTEGER) AS n_spans,
   CASE WHEN start > 0 THEN '…' ELSE '' END || array_to_string(list_transform(range(start, stop), lambda i:
@@ -242,6 +242,38 @@ def term_index_scoped_rebuild(spark, sf):
     return search.page(hits, "term_id", 50).select("term_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {bm25_sql(SECTIONS, COLS, 'the ering', 'f0 > 0 AND f1 > 0')}, top AS (SELECT slug, key, CAST(floor(key / 1000000) AS BIGINT) AS id, CAST(row_number() OVER (ORDER BY score, key) AS INTEGER) AS rank FROM scored JOIN rows_ USING (key) ORDER BY rank LIMIT 20),
+named AS (SELECT DISTINCT id, p_partkey, p_type, p_name FROM top JOIN lineitem ON l_orderkey = id JOIN part ON p_partkey = l_partkey WHERE p_size > 10),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_type, p_name, p_partkey) AS place FROM named)
+SELECT slug, key, rank, coalesce((SELECT string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) FROM orders WHERE o_custkey = id), '') AS topics,
+  coalesce((SELECT string_agg(p_type || ':' || p_name, '|' ORDER BY place) FROM placed WHERE placed.id = top.id AND place <= 5), '') AS entities,
+  (SELECT count(*) FROM events WHERE user_id = id) AS n_figures, (SELECT arg_min(event_type, event_id) FROM events WHERE user_id = id) AS first_caption, (SELECT min('gh-' || s_name) FROM supplier WHERE s_suppkey = id) AS repo FROM top""")
+def search_enriched(spark, sf):
+    """A page of hits with what hangs on their documents: orders as topics, parts of order lines as entities, events as figures, suppliers as repositories."""
+    rows, own = _sections(spark, sf)
+    hits = search.page(search.ranked(own, rows.drop("body"), "the ering"), "key", 20).select("slug", "key", F.floor(F.col("key") / 1_000_000).cast("long").alias("id"), "rank")
+    of = lambda name, *columns: corpus.table(spark, sf, name).select(*columns)
+    found = enrich.enrich(
+        hits, "id", of("orders", F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("topic")), of("lineitem", F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("term_id")),
+        of("part", F.col("p_partkey").alias("term_id"), F.when(F.col("p_size") > 10, "entity").otherwise("topic").alias("term_type"), F.col("p_type").alias("entity_type"), F.col("p_name").alias("canonical_name")),
+        of("events", F.col("user_id").alias("id"), F.col("event_id").alias("number"), F.col("event_type").alias("caption")), of("supplier", F.col("s_suppkey").alias("id"), F.concat(F.lit("gh-"), "s_name").alias("slug"), F.lit("u").alias("url")),
+    )
+    joined = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["name"])), "|")
+    return found.select("slug", "key", "rank", F.array_join("topics", "|").alias("topics"), joined.alias("entities"), F.col("figures.count").alias("n_figures"), "figures.first_caption", F.col("repo.slug").alias("repo"))
+
+
+@query("""WITH m AS (SELECT DISTINCT 'paper' AS kind, o_custkey AS id FROM orders WHERE o_orderpriority LIKE '1%' UNION SELECT 'repo', p_partkey FROM part WHERE p_size > 30),
+t AS (SELECT 'paper' AS kind, c_custkey AS id, c_mktsegment AS topic FROM customer UNION ALL SELECT 'repo', p_partkey, p_type FROM part UNION ALL SELECT 'post', s_suppkey, 'x' FROM supplier)
+SELECT topic, count(*) AS n, CAST(sum(CASE WHEN kind = 'paper' THEN 1 ELSE 0 END) AS BIGINT) AS paper_n, CAST(sum(CASE WHEN kind = 'post' THEN 1 ELSE 0 END) AS BIGINT) AS post_n, CAST(sum(CASE WHEN kind = 'repo' THEN 1 ELSE 0 END) AS BIGINT) AS repo_n FROM t SEMI JOIN m USING (kind, id) GROUP BY topic""")
+def topics_in_collection(spark, sf):
+    orders, part, customer, supplier = (corpus.table(spark, sf, n) for n in ("orders", "part", "customer", "supplier"))
+    one = lambda df, kind, key, what, name: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), what.alias(name))
+    urgent = F.when(F.col("o_orderpriority").startswith("1"), "c").otherwise("other")
+    members = one(orders, "paper", "o_custkey", urgent, "collection").union(one(part, "repo", "p_partkey", F.when(F.col("p_size") > 30, "c"), "collection"))
+    topics = one(customer, "paper", "c_custkey", F.col("c_mktsegment"), "topic").union(one(part, "repo", "p_partkey", F.col("p_type"), "topic")).union(one(supplier, "post", "s_suppkey", F.lit("x"), "topic"))
+    return enrich.topics_in(topics, members, "c")
+
+
 def _rrf_sql() -> str:
     """Lists of 20 hits for each query and surface; sections are ranked by their document's best hit, then by their own; every place of a list counts."""
 

@@ -1,8 +1,10 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.engine import Engine
+from corpusloom.operators import enrich
 
 D = datetime.date
 
@@ -29,6 +31,9 @@ def engine(spark):
 def test_search_calls(engine):
     own = engine.bm25("search", scope="both")
     assert own["sections_total"] == 2 and own["readmes_total"] == 1 and own["sections"][0]["slug"] == "p1" and own["sections"][0]["hit_count"] == 2
+    first, readme = own["sections"][0], own["readmes"][0]
+    assert first["topics"] == ["search"] and first["entities"] == [{"name": "ColBERT", "type": "model"}] and first["figures"] == {"count": 1, "first_caption": "cap"} and first["repo"]["slug"] == "gh-a-b"
+    assert {h["snippet"] for h in first["hits"]} == {"dense [search] engines", "[search] trees"} and readme["hits"][0]["snippet"] == "a [search] tool" and readme["paper"] == "p1" and readme["topics"] == ["search"]
     assert engine.bm25("grow dense")["fallback"] == "OR" and engine.bm25("grow trees")["fallback"] is None
     assert engine.bm25("NOT x")["status"] == "malformed_query" and engine.bm25("a domain:rag", domain="vision")["status"] == "malformed_query"
     assert {h["slug"] for h in engine.bm25("dense", since="2022")["sections"]} == {"p1"}
@@ -39,6 +44,10 @@ def test_search_calls(engine):
     assert engine.lookup("col bert")["terms"][0]["sources"] == ["p1"]
     cover = engine.coverage("dense search")
     assert (cover["sections"], cover["sources"]) == (1, 1) and cover["similar"][0]["ratio"] == 100.0
+    near = engine.coverage("Colberd")["similar"]
+    assert [(n["bucket"], n["name"]) for n in near] == [("aliases", "col-bert"), ("entity", "ColBERT")] and near[0]["of"] == "ColBERT"
+    assert engine.coverage("Retrieval")["collections_exact"] == [{"collection": "retrieval", "domain": "rag"}] and engine.coverage("tool")["repos"] == 1
+    assert engine.coverage("(")["sections"] == 0
 
 
 def test_view_calls(engine):
@@ -60,3 +69,26 @@ def test_graph_and_code_calls(engine):
     assert engine.read_code("gh-a-b", "m.py", (2, 3))["content"] == "b\nc\n" and engine.read_code("gh-a-b", "m.py", (3, 2))["status"] == "malformed_lines"
     assert engine.query("SELECT count(*) AS n FROM sources")["rows"] == [{"n": 3}]
     assert len(engine.tables()["tables"]) == 11
+
+
+def test_maintained_indexes_are_read_as_they_stand(spark, engine, tmp_path):
+    from corpusloom.engine import INDEXED
+    from corpusloom.operators.segments import Segments, term_rows
+
+    own = {"sections": Segments(spark, str(tmp_path / "s"), "key", "slug", INDEXED["sections"], buckets=2), "terms": Segments(spark, str(tmp_path / "t"), "term_id", "term_id", INDEXED["terms"], stemmed=True, buckets=2)}
+    own["sections"].rebuild(engine.t["sections"])
+    own["terms"].rebuild(term_rows(engine.t["terms"], engine.t["aliases"]))
+    held = Engine(spark, engine.t, engine.as_of, own)
+    drop = lambda out: {k: v for k, v in out.items() if k != "query"}
+    assert drop(held.bm25("search")) == drop(engine.bm25("search")) and held.lookup("searching") == engine.lookup("searching")
+    own["sections"].apply("b", engine.t["sections"].filter("slug = 'p2'").withColumn("body", F.lit("now search")), engine.t["sections"].filter("slug = 'p1'"))
+    assert [h["slug"] for h in held.bm25("search")["sections"]] == ["p2"]
+
+
+def test_children_are_held_to_the_page(spark, tmp_path):
+    spark.createDataFrame([(i, f"t{i}") for i in range(100)], "id long, topic string").write.parquet(str(tmp_path / "t"))
+    plan = enrich.held_to(spark.read.parquet(str(tmp_path / "t")), "id", [3, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(id, [3,5])]" in plan
+    with pytest.raises(ValueError):
+        none = spark.createDataFrame([], "id long, topic string, term_id long, term_type string, entity_type string, canonical_name string, number int, caption string, slug string, url string")
+        enrich.enrich(spark.range(60), "id", none, none, none, none, none)

@@ -28,6 +28,7 @@ def brute(text, wanted, width):
         rank = (-len({x[0] for x in held}), -len(spans), start)
         best = min(best or (rank, spans), (rank, spans))
     start, spans = (best[0][2], best[1]) if best else (0, [])
+    start = max(0, min(start, len(words) - width))
     stop = min(len(words), start + width)
     opens = {s for s, _ in spans if not any(a < s < b for a, b in spans)}
     closes = {e for _, e in spans if not any(a < e < b for a, b in spans)}
