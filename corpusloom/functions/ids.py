@@ -115,6 +115,11 @@ def chapter_slug(book: Column, number: Column, title: Column) -> Column:
     return F.when(number.between(1, 99), F.concat(book, F.lit("__ch"), F.lpad(number.cast("string"), 2, "0"), F.lit("_"), words))
 
 
+def in_slot(slug: Column, book: Column, number: Column) -> Column:
+    """Whether a slug is a chapter in that slot of the book, whatever its title; `_` and `%` in the book's slug stand for themselves."""
+    return F.startswith(slug, F.concat(book, F.lit("__ch"), F.lpad(number.cast("string"), 2, "0"), F.lit("_")))
+
+
 def pdf_date(raw: Column) -> Column:
     """YYYY-MM-DD of a PDF date D:YYYYMMDD...; null for others."""
     return _or_null(F.regexp_replace(F.regexp_extract(raw, r"^D:(\d{8})", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))

@@ -60,3 +60,8 @@ def first_line(x: Column) -> Column:
 
 def head(x: Column, most: int) -> Column:
     return F.substring(x, 1, most)
+
+
+def figure_refs(x: Column) -> Column:
+    """array<int>: numbers of a text's `(figure:N)` references, each once, in the order of their first places."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(r"\(figure:(\d{1,9})\)"), F.lit(1)), lambda n: n.cast("int")))

@@ -29,6 +29,12 @@ def recency(score: Column, date: Column, boost: float, as_of: datetime.date) ->
     return score * (1 + boost * F.coalesce(F.exp(F.datediff(date, F.lit(as_of)) / F.lit(float(E_FOLD_DAYS))), F.lit(0.0)))
 
 
+def recency_steps(score: Column, date: Column, boost: float, as_of: datetime.date) -> Column:
+    """The same by steps, where no exponential is to be had: 1 in the first year, a half in the next two, a tenth later; no date, no boost."""
+    days = F.datediff(F.lit(as_of), date)
+    return score * (1 + boost * F.when(date.isNull(), 0.0).when(days < 365, 1.0).when(days < 1095, 0.5).otherwise(0.1))
+
+
 def ranked(index: Index, rows: DataFrame, query: str | Parsed, sources: DataFrame | None = None, members: DataFrame | None = None, boost: float = 0.0, since: str | None = None, as_of: datetime.date | None = None, keep_undated: bool = False) -> DataFrame:
     """Matching rows with score and rank (from 1), best first, ties by key.
 

@@ -69,12 +69,12 @@ class Segments:
     def _write(self, name: str, seq: int, tables: dict[str, DataFrame]) -> None:
         """rebalance: a task's share of a bucket is bounded by size, so a very common term is written by many tasks."""
         for kind, df in tables.items():
-            df = df.withColumn("seq", F.lit(seq))
             if kind == "postings":
                 df = df.withColumn("bucket", bucket_of(self.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", self.key, "col", "pos")
             elif kind == "rows":
                 df = df.sortWithinPartitions(self.key)
-            (df.write.partitionBy("bucket") if kind == "postings" else df.write).parquet(f"{self.path}/{kind}/segment={name}")
+            df = df.withColumn("seq", F.lit(seq)).write.option("compression", "zstd")
+            (df.partitionBy("bucket") if kind == "postings" else df).parquet(f"{self.path}/{kind}/segment={name}")
 
     def _of_rows(self, rows: DataFrame, name: str, seq: int, gone: DataFrame) -> None:
         own = tokenised(rows, self.keys, self.columns, self.stemmed)

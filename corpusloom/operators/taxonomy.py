@@ -28,6 +28,42 @@ def overview(sources: DataFrame) -> DataFrame:
     return alone.unionByName(sources.groupBy("domain", "collection").agg(F.count("*").alias("n")))
 
 
+KINDS = ("paper", "post", "repo")
+
+
+def _by_kind(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*(F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in KINDS))
+
+
+def tree(domains: DataFrame, definitions: DataFrame, sources: DataFrame, members: DataFrame) -> DataFrame:
+    """domain, collection, n_paper, n_post, n_repo of every domain (null collection) and every collection that is defined, empty ones with zeros.
+
+    domains: domain. definitions: domain, collection. sources: kind, id, domain. members: kind, id, domain, collection; each counts once. The two levels are
+    counted apart, as a source is in several collections or in none.
+    """
+    top = domains.join(_by_kind(sources, "domain"), "domain", "left").withColumn("collection", F.lit(None).cast("string"))
+    low = definitions.join(_by_kind(members.distinct(), "domain", "collection"), ["domain", "collection"], "left")
+    counts = [F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS]
+    return top.select("domain", "collection", *counts).unionByName(low.select("domain", "collection", *counts))
+
+
+def collection_totals(members: DataFrame, limit: int) -> DataFrame:
+    """domain, collection, counts by kind, and by kind whether a page of `limit` leaves some out."""
+    own = _by_kind(members.distinct(), "domain", "collection")
+    return own.select("*", *((F.col(f"n_{k}") > limit).alias(f"more_{k}") for k in KINDS))
+
+
+def distinct_terms(mentions: DataFrame, key: str) -> DataFrame:
+    """key, n_terms: how many different terms each source names."""
+    return mentions.groupBy(key).agg(F.countDistinct("term").alias("n_terms"))
+
+
+def diversity(results: DataFrame) -> DataFrame:
+    """kind, n, first_slots: how often search results (query, rank, kind) are of a kind, and in how many queries the first is."""
+    first = results.groupBy("query").agg(F.min_by("kind", "rank").alias("kind")).groupBy("kind").agg(F.count("*").alias("first_slots"))
+    return results.groupBy("kind").agg(F.count("*").alias("n")).join(first, "kind", "left").select("kind", "n", F.coalesce("first_slots", F.lit(0).cast("long")).alias("first_slots"))
+
+
 def top_collections(sources: DataFrame, most: int) -> DataFrame:
     """domain, collection, n, place, overflow: the `most` largest collections of each domain and how many more there are."""
     counts = sources.groupBy("domain", "collection").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files, ids, text
-from corpusloom.operators import cascade, classify, documents, enrich, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
+from corpusloom.operators import cascade, classify, documents, enrich, entities, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
 from corpusloom.plans import guarded
 from corpusloom.plans.parser import parse, phrases
 from corpusloom.sources import corpus, formats, shared, store
@@ -522,6 +522,39 @@ def label_vote(spark, sf):
     return resolve.vote(own)
 
 
+GAZETTEER = """words AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
+names AS (SELECT array_to_string(w[1:1 + item_id % 3], ' ') AS phrase, 1 + item_id % 3 AS n, (['model', 'dataset', 'method'])[item_id % 3 + 1] AS label, 0.5 + item_id % 5 / 10.0 AS score FROM words
+  UNION ALL SELECT array_to_string(w[2:3], ' '), 2, (['metric', 'model'])[item_id % 2 + 1], 0.4 + item_id % 4 / 10.0 FROM words),
+gaz AS (SELECT phrase, n, label, max(score) AS score FROM names WHERE phrase <> '' GROUP BY ALL)"""
+
+
+def _gazetteer(spark: SparkSession, sf: str) -> DataFrame:
+    """Beginnings of the benchmark's items, which documents repeat: one to three first words, and the second and third."""
+    own = corpus.table(spark, sf, "benchmark").select("item_id", text.tokens(F.col("text")).alias("w"))
+    k = F.col("item_id")
+    one = own.select(F.array_join(F.slice("w", F.lit(1), (1 + k % 3).cast("int")), " ").alias("name"), F.element_at(F.array(*map(F.lit, ("model", "dataset", "method"))), (k % 3 + 1).cast("int")).alias("label"), (0.5 + k % 5 / 10.0).alias("score"))
+    return one.union(own.select(F.array_join(F.slice("w", 2, 2), " "), F.element_at(F.array(F.lit("metric"), F.lit("model")), (k % 2 + 1).cast("int")), 0.4 + k % 4 / 10.0))
+
+
+SPANS = f"""{GAZETTEER}, toks AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+pos AS (SELECT doc_id, unnest(w) AS first, unnest(range(len(w))) AS start FROM toks),
+found AS (SELECT DISTINCT doc_id, start, n, phrase FROM pos JOIN (SELECT DISTINCT phrase, n, split_part(phrase, ' ', 1) AS first FROM gaz) USING (first) JOIN toks USING (doc_id) WHERE array_to_string(w[start + 1:start + n], ' ') = phrase),
+spans AS (SELECT * FROM found a WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.doc_id = a.doc_id AND b.start < a.start + a.n AND a.start < b.start + b.n AND (b.n > a.n OR (b.n = a.n AND b.start < a.start))))"""
+
+
+@query(f"WITH {SPANS} SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(n AS INTEGER) AS n, phrase FROM spans")
+def entity_spans(spark, sf):
+    return entities.longest(entities.matches(corpus.table(spark, sf, "documents"), "doc_id", "text", _gazetteer(spark, sf)), "doc_id").select("doc_id", "start", "n", "phrase")
+
+
+@query(f"""WITH {SPANS}, best AS (SELECT doc_id, start, phrase, arg_max(label, (score, -r)) AS label, max(score) AS score FROM (SELECT spans.*, label, score, row_number() OVER (PARTITION BY doc_id, start ORDER BY label) AS r FROM spans JOIN gaz USING (phrase)) GROUP BY doc_id, start, phrase),
+kept AS (SELECT doc_id, {NORM.format(x='phrase')} AS norm, label FROM best WHERE score >= CASE label WHEN 'model' THEN 0.6 ELSE 0.45 END AND length(phrase) >= 3 AND lower(phrase) NOT IN ({', '.join(repr(x) for x in documents.NO_ENTITY)}) AND NOT regexp_matches(phrase, '^[0-9]'))
+SELECT doc_id, norm, count(*) AS n FROM kept GROUP BY doc_id, norm""")
+def entity_chain(spark, sf):
+    """Entities of all documents and how often they stand there; labels decide which stand, and the SQL leaves out which of them the vote names."""
+    return entities.extract(corpus.table(spark, sf, "documents"), "doc_id", "text", _gazetteer(spark, sf), {"model": 0.6}).select("doc_id", "norm", "n")
+
+
 @query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY ord) AS n FROM {derived_sql('lit_evidence')}),
 f AS (SELECT term, CAST(0 AS BIGINT) AS n, '' AS label, CAST('-inf' AS DOUBLE) AS score FROM (SELECT DISTINCT term FROM e) UNION ALL
 SELECT f.term, e.n, CASE WHEN e.label <> '' AND e.label <> f.label AND e.score > f.score THEN e.label ELSE f.label END, CASE WHEN e.label <> '' AND e.label <> f.label AND e.score > f.score THEN e.score ELSE f.score END FROM f JOIN e ON e.term = f.term AND e.n = f.n + 1)
@@ -850,6 +883,75 @@ def ingest_stages(spark, sf):
     return own.run(requests, _fetched(docs), decisions).select("id", "slug", "status", "tier", "error", "domain", "n_sections")
 
 
+# ---- small views
+
+
+_MEMBERS = """m AS (SELECT DISTINCT * FROM (SELECT 'paper' AS kind, o_custkey AS id, o_orderstatus AS domain, o_orderpriority AS collection FROM orders UNION ALL SELECT 'repo', p_partkey, 'P', p_type FROM part UNION ALL SELECT 'post', s_suppkey, 'F', '1-URGENT' FROM supplier))"""
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    of = lambda name, kind, key, domain, collection: corpus.table(spark, sf, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), domain.alias("domain"), collection.alias("collection"))
+    return of("orders", "paper", "o_custkey", F.col("o_orderstatus"), F.col("o_orderpriority")).union(of("part", "repo", "p_partkey", F.lit("P"), F.col("p_type"))).union(of("supplier", "post", "s_suppkey", F.lit("F"), F.lit("1-URGENT")))
+
+
+_KIND_COUNTS = ", ".join(f"CAST(count(*) FILTER (WHERE kind = '{k}') AS BIGINT) AS n_{k}" for k in taxonomy.KINDS)
+
+
+@query(f"""WITH {_MEMBERS}, s AS (SELECT DISTINCT kind, id, domain FROM m), c AS (SELECT domain, NULL AS collection, {_KIND_COUNTS} FROM s GROUP BY domain UNION ALL SELECT domain, collection, {_KIND_COUNTS} FROM m GROUP BY domain, collection),
+named AS (SELECT DISTINCT o_orderstatus AS domain FROM orders UNION SELECT n_name FROM nation), defined AS (SELECT DISTINCT o_orderstatus AS domain, o_orderpriority AS collection FROM orders UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+every AS (SELECT domain, CAST(NULL AS VARCHAR) AS collection FROM named UNION ALL SELECT * FROM defined)
+SELECT every.domain, every.collection, coalesce(n_paper, 0) AS n_paper, coalesce(n_post, 0) AS n_post, coalesce(n_repo, 0) AS n_repo FROM every LEFT JOIN c ON c.domain = every.domain AND c.collection IS NOT DISTINCT FROM every.collection""")
+def taxonomy_tree(spark, sf):
+    """Order states and nations as domains; nations have no source, their collections no member."""
+    orders, nation, region = (corpus.table(spark, sf, n) for n in ("orders", "nation", "region"))
+    members = _members(spark, sf)
+    domains = orders.select(F.col("o_orderstatus").alias("domain")).union(nation.select("n_name")).distinct()
+    defined = orders.select(F.col("o_orderstatus").alias("domain"), F.col("o_orderpriority").alias("collection")).union(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")).distinct()
+    return taxonomy.tree(domains, defined, members.select("kind", "id", "domain").distinct(), members)
+
+
+@query(f"WITH {_MEMBERS} SELECT *, n_paper > 20 AS more_paper, n_post > 20 AS more_post, n_repo > 20 AS more_repo FROM (SELECT domain, collection, {_KIND_COUNTS} FROM m GROUP BY domain, collection)")
+def collection_totals(spark, sf):
+    return taxonomy.collection_totals(_members(spark, sf), 20)
+
+
+@query("SELECT l_orderkey AS id, count(DISTINCT p_name) AS n_terms FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
+def distinct_terms(spark, sf):
+    own = corpus.table(spark, sf, "lineitem").join(corpus.table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    return taxonomy.distinct_terms(own.select(F.col("l_orderkey").alias("id"), F.col("p_name").alias("term")), "id")
+
+
+@query("SELECT event_type AS kind, count(*) AS n, count(*) FILTER (WHERE event_id = first) AS first_slots FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS first FROM events) GROUP BY event_type")
+def search_diversity(spark, sf):
+    """Events as results: each user a query, in the order of their ids."""
+    return taxonomy.diversity(corpus.table(spark, sf, "events").select(F.col("user_id").alias("query"), F.col("event_id").alias("rank"), F.col("event_type").alias("kind")))
+
+
+@query("""SELECT o_orderkey AS id, round(-o_totalprice * (1 + 0.2 * CASE WHEN d IS NULL THEN 0.0 WHEN date_diff('day', d, DATE '2026-01-01') < 365 THEN 1.0 WHEN date_diff('day', d, DATE '2026-01-01') < 1095 THEN 0.5 ELSE 0.1 END), 4) AS score
+FROM (SELECT *, CASE WHEN o_orderkey % 10 > 0 THEN CAST(o_orderdate AS DATE) + INTERVAL 2 YEAR END AS d FROM orders)""")
+def recency_by_steps(spark, sf):
+    date = F.when(F.col("o_orderkey") % 10 > 0, F.add_months(F.to_date("o_orderdate"), 24))
+    return corpus.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round(search.recency_steps(-F.col("o_totalprice"), date, 0.2, AS_OF), 4).alias("score"))
+
+
+@query("""SELECT id, array_to_string(list_distinct_in_order, ',') AS refs FROM (SELECT id, list_filter(f, lambda x, i: list_position(f, x) = i) AS list_distinct_in_order
+FROM (SELECT o_orderkey AS id, list_transform(regexp_extract_all('see (figure:' || o_custkey || ') and ![x](figure:0' || o_orderkey % 7 || '), again (figure:' || o_custkey || '), (figure: 3) (figure:x) (figure:' || o_orderkey % 7 || ')', '\\(figure:(\\d{1,9})\\)', 1), lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)) AS f FROM orders))""")
+def figure_refs(spark, sf):
+    key, seventh = F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 7).cast("string")
+    said = F.concat(F.lit("see (figure:"), key, F.lit(") and ![x](figure:0"), seventh, F.lit("), again (figure:"), key, F.lit("), (figure: 3) (figure:x) (figure:"), seventh, F.lit(")"))
+    return corpus.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(F.transform(text.figure_refs(said), lambda n: n.cast("string")), ",").alias("refs"))
+
+
+@query("""SELECT p_partkey AS id FROM part WHERE (replace(p_name, ' ', '_') || '__ch' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '_x') LIKE (replace(replace(CASE WHEN p_partkey % 3 = 0 THEN left(p_name, 2) || '%' ELSE replace(p_name, ' ', '_') END, '%', '!%'), '_', '!_') || '!_!_ch' || lpad(CAST(p_size - p_size % 2 AS VARCHAR), 2, '0') || '!_%') ESCAPE '!'""")
+def chapter_slots(spark, sf):
+    """Chapters in the even slots of their own books; every third book is asked for by a name with a wildcard, which matches nothing."""
+    size = F.col("p_size")
+    plain = F.replace("p_name", F.lit(" "), F.lit("_"))
+    slug = F.concat(plain, F.lit("__ch"), F.lpad(size.cast("string"), 2, "0"), F.lit("_x"))
+    book = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.left("p_name", F.lit(2)), F.lit("%"))).otherwise(plain)
+    return corpus.table(spark, sf, "part").filter(ids.in_slot(slug, book, size - size % 2)).select(F.col("p_partkey").alias("id"))
+
+
 # ---- guarded SQL and the catalog
 
 
