@@ -179,11 +179,12 @@ class Engine:
 
     def collection(self, names: list[str], domain: str | None = None, limit: int = 20) -> dict:
         """Members of up to 16 collections, newest first; names that are none are told."""
-        names = list(dict.fromkeys(names))[:NAMES_MOST]
+        asked = list(dict.fromkeys(names))
+        names = asked[:NAMES_MOST]
         own = self.t["sources"].drop("collection", "domain").join(self.t["members"], "slug")
         own = own if domain is None else own.filter(F.col("domain") == domain)
         rows = _dicts(taxonomy.collection_detail(own, names, limit).orderBy("domain", "collection", "place"))
-        return {"status": "ok", "members": rows, "missing": [n for n in names if n not in {r["collection"] for r in rows}]}
+        return {"status": "ok", "members": rows, "missing": [n for n in names if n not in {r["collection"] for r in rows}], "not_asked": asked[NAMES_MOST:]}
 
     def coverage(self, topic: str, domain: str | None = None, most: int = 5, least: int = 70) -> dict:
         """How much there is on a topic: sources that match on each surface and the best of them, collections of that name, and the likest names of each kind."""
@@ -257,15 +258,25 @@ class Engine:
         return {"status": "ok", "total": own.count(), "citing": _dicts(own.orderBy(F.desc_nulls_last("date"), "slug").offset(offset).limit(limit))}
 
     def repo(self, slug: str) -> dict:
+        """A repository with its topics and the paper it is linked to."""
         row = self.t["repos"].filter(F.col("slug") == slug).first()
-        return {"status": "ok", "repo": row.asDict()} if row else {"status": "not_found", "repo": slug}
-
-    def repo_tree(self, repo: str) -> dict:
-        if self.repo(repo)["status"] != "ok":
+        if row is None:
+            return {"status": "not_found", "repo": slug}
+        topics = [r["topic"] for r in self.t["topics"].filter(F.col("slug") == slug).select("topic").distinct().orderBy("topic").collect()]
+        paper = self.t["sources"].filter(F.col("slug") == row["paper"]).select("slug", "title").first() if row["paper"] else None
+        return {"status": "ok", "repo": row.asDict(), "topics": topics, "paper": paper.asDict() if paper else None}
+
+    def repo_tree(self, repo: str, limit: int | None = 1000, offset: int = 0) -> dict:
+        """A repository's files by path, a page of them, with totals of all; truncated tells that there are more."""
+        row = self.t["repos"].filter(F.col("slug") == repo).first()
+        if row is None:
             return {"status": "no_repo", "repo": repo}
+        if str(row["status"] or "").startswith("failed") or row["status"] == "orphaned":
+            return {"status": "failed_repo", "repo": repo, "repo_status": row["status"]}
         own = self.t["code_files"].filter(F.col("repo") == repo)
         total = own.agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")).first()
-        return {"status": "ok", "files": total["files"], "bytes": total["bytes"] or 0, "paths": _dicts(own.orderBy("path").select("path", "language", "size_bytes").limit(1000))}
+        paged = own.orderBy("path").select("path", "language", "size_bytes").offset(offset)
+        return {"status": "ok", "paper_name": row["paper"], "files": total["files"], "bytes": total["bytes"] or 0, "paths": _dicts(paged if limit is None else paged.limit(limit)), "truncated": limit is not None and total["files"] > offset + limit}
 
     def read_code(self, repo: str, path: str, lines: tuple[int, int] | None = None) -> dict:
         """A file, or lines first to last of it, counted from 1."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import files, ids, text
-from corpusloom.operators import cascade, classify, documents, enrich, entities, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
+from corpusloom.operators import books, cascade, classify, documents, enrich, entities, fuzzy, graph, html, index, mutate, resolve, search, segments, snippets, taxonomy
 from corpusloom.plans import guarded
 from corpusloom.plans.parser import parse, phrases
 from corpusloom.sources import corpus, formats, shared, store
@@ -692,6 +692,28 @@ def outline_chapters(spark, sf):
     return documents.chapters(derived(spark, sf, "lit_outline"), F.col("pages"))
 
 
+_BOOKS = "p AS (SELECT source AS book, doc_id AS page, text FROM documents), c AS (SELECT 'src' || item_id % 6 AS book, item_id AS chapter, left(text, 30) AS title, item_id * 13 + 5 AS page_start FROM benchmark)"
+
+
+def _books(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Sources as books with documents as pages, and benchmark items as their chapters."""
+    pages = corpus.table(spark, sf, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
+    chapters = corpus.table(spark, sf, "benchmark").select(F.concat(F.lit("src"), F.col("item_id") % 6).alias("book"), F.col("item_id").alias("chapter"), F.left("text", F.lit(30)).alias("title"), (F.col("item_id") * 13 + 5).alias("page_start"))
+    return pages, chapters
+
+
+@query(f"WITH {_BOOKS} SELECT p.book, page, chapter, title FROM p ASOF LEFT JOIN c ON p.book = c.book AND p.page >= c.page_start")
+def page_chapters(spark, sf):
+    return books.page_chapters(*_books(spark, sf)).select("book", "page", "chapter", "title")
+
+
+@query(f"""WITH {_BOOKS}, j AS (SELECT p.book, page, text, chapter, title FROM p ASOF JOIN c ON p.book = c.book AND p.page >= c.page_start),
+g AS (SELECT book, chapter, count(DISTINCT page) AS n_pages, string_agg(coalesce(text, ''), chr(10) ORDER BY page) AS said FROM j GROUP BY book, chapter)
+SELECT book, chapter, n_pages, CASE WHEN chapter BETWEEN 1 AND 99 AND length(trim(said)) >= 200 THEN md5(said) END AS digest, CASE WHEN chapter NOT BETWEEN 1 AND 99 THEN 'no slug for this number' WHEN length(trim(said)) < 200 THEN 'too little text' END AS error FROM g""")
+def chapter_sources(spark, sf):
+    return books.chapter_sources(*_books(spark, sf)).select("book", "chapter", "n_pages", F.md5("markdown").alias("digest"), "error")
+
+
 @query()
 def acronym_pairs(spark, sf):
     return derived(spark, sf, "lit_acronyms").select("id", F.explode(documents.acronyms(F.col("text"))).alias("p")).select("id", "p.short", "p.long")

@@ -65,6 +65,9 @@ def test_graph_and_code_calls(engine):
     own = engine.citations("p1")
     assert [len(own[k]) for k in ("resolved", "missing", "unresolvable")] == [1, 1, 1]
     assert engine.citations("p2", "inbound")["citing"][0]["slug"] == "p1" and engine.citations("gh-a-b", "inbound")["status"] == "unsupported_direction"
+    assert engine.repo("gh-a-b")["paper"] == {"slug": "p1", "title": "Dense Search"} and engine.repo("no")["status"] == "not_found"
+    tree = engine.repo_tree("gh-a-b")
+    assert tree["paper_name"] == "p1" and not tree["truncated"] and engine.repo_tree("gh-a-b", limit=0)["truncated"]
     assert engine.repo_tree("gh-a-b")["bytes"] == 6 and engine.repo_tree("no")["status"] == "no_repo"
     assert engine.read_code("gh-a-b", "m.py", (2, 3))["content"] == "b\nc\n" and engine.read_code("gh-a-b", "m.py", (3, 2))["status"] == "malformed_lines"
     assert engine.query("SELECT count(*) AS n FROM sources")["rows"] == [{"n": 3}]

@@ -86,8 +86,14 @@ def test_recency_and_since(spark, own):
 
 
 def test_fusion(spark):
-    lists = [spark.createDataFrame(r, "item string, rank long") for r in ([("a", 1), ("b", 2), ("b", 5)], [("b", 1), ("c", 2)])]
+    lists = list(enumerate(spark.createDataFrame(r, "item string, rank long") for r in ([("a", 1), ("b", 2), ("b", 5)], [("b", 1), ("c", 2)])))
     got = [(r["item"], round(r["fused"], 9), r["matched_queries"], r["rank"]) for r in search.fuse(lists).orderBy("rank").collect()]
-    assert got == [("b", round(1 / 62 + 1 / 61, 9), "0,1", 1), ("a", round(1 / 61, 9), "0", 2), ("c", round(1 / 62, 9), "1", 3)]
+    # an item counts for each of its places in a list
+    assert got == [("b", round(1 / 62 + 1 / 65 + 1 / 61, 9), "0,1", 1), ("a", round(1 / 61, 9), "0", 2), ("c", round(1 / 62, 9), "1", 3)]
     with pytest.raises(QueryError):
-        search.fuse(lists * 5)
+        search.fuse([(q, lists[0][1]) for q in range(9)])
+
+
+def test_pages_are_ranked_anew_by_source(spark):
+    page = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("c", 4), ("b", 5)], "slug string, rank int")
+    assert [(r["slug"], r["rank"]) for r in search.flattened(page).orderBy("rank").collect()] == [("a", 1), ("a", 2), ("b", 3), ("b", 4), ("c", 5)]
