@@ -147,8 +147,8 @@ class Engine:
         sources = self.t["aliases"].groupBy("term_id").agg(F.sort_array(F.collect_set("slug")).alias("sources"))
         return {"status": "ok", "terms": _dicts(search.page(hits, "term_id", min(limit, PAGE_MOST), offset).drop("slug").join(sources, "term_id", "left").orderBy("rank")), "total": hits.count()}
 
-    def browse(self, which: str, domain: str | None = None, limit: int | None = None, offset: int = 0) -> dict:
-        """collections, topics, entity_type or aliases with their counts, or needs_review: sources marked so; total and truncated tell what a limit leaves out."""
+    def browse(self, which: str, domain: str | None = None, limit: int | None = 1000, offset: int = 0) -> dict:
+        """collections, topics, entity_type or aliases with their counts, or needs_review: sources marked so; total and truncated tell what a limit leaves out; None is all of it, on the driver."""
         members = self.t["members"] if domain is None else self.t["members"].filter(F.col("domain") == domain)
         terms = self.t["terms"] if domain is None else self.t["terms"].filter(F.col("domain") == domain)
         views = {
