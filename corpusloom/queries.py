@@ -595,7 +595,21 @@ def identifiers(spark, sf):
     return derived(spark, sf, "lit_ids").select("raw", ids.preprint_id(raw).alias("preprint"), ids.anthology_id(raw).alias("anthology"), ids.repo_url(raw).alias("repo"))
 
 
-@query()
+def _id_segments(at: str) -> str:
+    """How many path segments behind the `at`-th are a preprint id, its version aside."""
+    bare = lambda x: f"regexp_replace({x}, 'v\\d+$', '')"
+    return f"CASE WHEN regexp_full_match({bare(f'parts[{at} + 1]')}, '\\d{{4}}\\.\\d{{4,5}}') THEN 1 WHEN regexp_full_match(parts[{at} + 1] || '/' || {bare(f'parts[{at} + 2]')}, '[a-z\\-]+/\\d{{7}}') THEN 2 ELSE 0 END"
+
+
+_HOST_SHORT = " ".join(f"WHEN '{h}' THEN '{x}'" for h, x in ids.HOSTS.items())
+_PLAIN = lambda i: f"nullif(regexp_replace(regexp_replace(lower(regexp_extract(u, '{REPO_PARTS}', {i})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '')"
+
+
+@query(f"""WITH b AS (SELECT raw, rtrim(trim(raw), '{ids.TRAILING}') AS u, string_split(raw, '/') AS parts FROM {derived_sql('lit_ids')}), c AS (SELECT *, coalesce(list_position(parts, 'html'), 0) AS h FROM b),
+d AS (SELECT *, {_id_segments('h')} AS n, {_id_segments('4')} AS m, CASE lower(regexp_extract(u, '{REPO_PARTS}', 1)) {_HOST_SHORT} END AS short FROM c)
+SELECT raw, concat_ws('-', short, CASE WHEN short IS NOT NULL THEN {_PLAIN(2)} END, CASE WHEN short IS NOT NULL THEN {_PLAIN(3)} END) AS slug,
+  CASE WHEN h > 0 AND n > 0 AND len(parts) > h + 2 * n AND array_to_string(parts[h + 1:h + n], '/') = regexp_replace(array_to_string(parts[h + n + 1:h + 2 * n], '/'), 'v\\d+$', '') THEN array_to_string(parts[:h] || parts[h + n + 1:], '/') ELSE raw END AS figure,
+  CASE WHEN array_to_string(parts[:4], '/') = 'https://arxiv.org/html' AND m > 0 AND array_to_string(parts[m + 5:], '/') <> '' THEN 'https://ar5iv.labs.arxiv.org/html/' || regexp_replace(array_to_string(parts[5:m + 4], '/'), 'v\\d+$', '') || '/assets/' || array_to_string(parts[m + 5:], '/') END AS mirror FROM d""")
 def identifier_urls(spark, sf):
     raw = F.col("raw")
     return derived(spark, sf, "lit_ids").select("raw", ids.repo_slug(ids.repo_url(raw)).alias("slug"), ids.figure_url(raw).alias("figure"), ids.figure_mirror(raw).alias("mirror"))

@@ -1,4 +1,4 @@
-"""Small literal tables for what the driver's tables have no rows of; the same rows make a DataFrame and a SQL VALUES list."""
+"""Small literal tables of hard cases."""
 
 from __future__ import annotations
 
@@ -67,21 +67,3 @@ SAMPLES: dict[str, tuple[str, list[tuple]]] = {
 def frame(spark: SparkSession, name: str) -> DataFrame:
     schema, rows = SAMPLES[name]
     return spark.createDataFrame(rows, schema)
-
-
-def values(name: str) -> str:
-    """A SQL subquery of the sample's rows, with its name and columns."""
-    schema, rows = SAMPLES[name]
-    kinds = [c.split() for c in schema.split(", ")]
-    sql = {"long": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
-
-    def one(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, str):
-            parts = v.replace("'", "''").split("\n")
-            return "'" + "' || chr(10) || '".join(parts) + "'"
-        return str(v)
-
-    body = ", ".join("(" + ", ".join(f"CAST({one(v)} AS {sql[k]})" for v, (_, k) in zip(r, kinds, strict=True)) + ")" for r in rows)
-    return f"(SELECT * FROM (VALUES {body}) AS {name}({', '.join(c for c, _ in kinds)})) AS {name}"
