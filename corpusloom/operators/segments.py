@@ -158,6 +158,11 @@ class Segments:
         postings = self._live(self._read("postings", held.segments, held.schema), held.segments, held.schema)
         return Index(self.key, postings, None, self.stemmed, self.buckets, (held.rows, held.length))
 
+    def intact(self) -> bool:
+        """Whether every live segment's postings and rows are still there; a shared folder may have been cleaned up."""
+        live = {f"segment={n}" for n, _ in self.manifest().segments}
+        return bool(live) and all(live <= set(shared.names(self.spark, f"{self.path}/{kind}")) for kind in ("postings", "rows"))
+
     def rows(self) -> DataFrame:
         """The live rows."""
         held = self._held()

@@ -54,11 +54,11 @@ _saved: dict[tuple[str, str, str], Segments] = {}
 
 
 def saved_index(spark: SparkSession, sf_dir: str, surface: str) -> Segments:
-    """The index of a folder's sections, readmes or terms: built in the shared folder at its first use in an application, read from there afterwards."""
+    """The index of a folder's sections, readmes or terms: built in the shared folder at its first use in an application, read from there afterwards, and built again if the folder was cleaned up."""
     kinds = {"sections": ("key", "slug", SECTION_COLUMNS, sections), "readmes": ("key", "slug", README_COLUMNS, readmes), "terms": ("term_id", "term_id", ["domain", "term_type", "canonical_name"], terms)}
     key, owner, columns, rows = kinds[surface]
     name = (spark.sparkContext.applicationId, sf_dir, surface)
-    if name not in _saved:
+    if name not in _saved or not _saved[name].intact():
         own = Segments(spark, fresh_path(spark, f"index-{surface}"), key, owner, columns)
         own.rebuild(rows(spark, sf_dir))
         _saved[name] = own

@@ -120,3 +120,15 @@ def test_empty_sections_are_left_out(spark, tmp_path):
     segments.index_source(own, "b", spark.createDataFrame([("d1", 1, "red", " \n "), ("d1", 2, "red", "blue"), ("d1", 3, "t", None)], SCHEMA))
     assert [r["key"] for r in own.rows().collect()] == [2]
     assert search.page(index.bm25(own.index(), parse("red").node), "key", 5).count() == 1
+
+
+def test_a_saved_index_that_is_gone_is_built_again(spark, sf):
+    from corpusloom.sources.corpus import saved_index
+
+    first = saved_index(spark, sf, "readmes")
+    assert saved_index(spark, sf, "readmes") is first and first.intact()
+    fs, p = shared.file_system(spark, f"{first.path}/postings")
+    fs.delete(p, True)
+    assert not first.intact()
+    again = saved_index(spark, sf, "readmes")
+    assert again is not first and again.rows().count() == spark.read.parquet(f"{sf}/benchmark.parquet").count()
