@@ -95,16 +95,22 @@ class Ingest:
         self.store.replace(changes | {"papers": self.store.merged("papers", papers, ["id"])})
 
     def fetch(self, requests: DataFrame, fetched: DataFrame) -> None:
-        """requests: id, title, published, raw_id. Those that are held already are left as they are; forced ones have no status and keep slug and first date."""
+        """requests: id, title, published, raw_id. Those that are held already are left as they are; forced ones have no status and keep slug and first date.
+
+        A source without a body names its slug though it is in use; one with a body must have its own, so a forced one that had none is named again.
+        """
         held = self.store.read("papers")
         new = requests.filter("id is not null").dropDuplicates(["id"]).join(held.filter("status is not null"), "id", "left_anti")
         kept = held.filter("status is null").select("id", F.col("slug").alias("old"), F.col("ingested_at").alias("since"))
-        named = slugs(new.join(kept, "id", "left_anti"), held)
+        # of sources with one slug it belongs to one with a body, else to the smallest id
+        owner = held.filter("slug is not null").groupBy(F.col("slug").alias("old")).agg(F.min(F.struct(F.col("tier").isNull().alias("bare"), "id")).alias("m")).select("old", F.col("m.id").alias("id"))
+        kept = kept.join(owner.withColumn("own", F.lit(True)), ["id", "old"], "left").withColumn("old", F.when(F.col("own"), F.col("old"))).drop("own")
+        named = slugs(new.join(kept.filter("old is not null"), "id", "left_anti"), held)
         bodies = self._made(first_valid(fetched.join(new.select("id"), "id", "left_semi")), "bodies")
         got = new.join(bodies.select("id", "tier"), "id", "left").join(kept, "id", "left").join(named, "id", "left")
         found = F.col("tier").isNotNull()
         rows = got.select(
-            "id", F.coalesce("old", F.when(~F.col("taken"), F.col("slug"))).alias("slug"), "title", "published", "raw_id", "tier", *(F.lit(None).cast("string").alias(c) for c in ("domain", "collection")),
+            "id", F.coalesce("old", F.when(~F.col("taken") | ~found, F.col("slug"))).alias("slug"), "title", "published", "raw_id", "tier", *(F.lit(None).cast("string").alias(c) for c in ("domain", "collection")),
             (~found | F.coalesce("taken", F.lit(False))).alias("needs_review"), F.when(found & ~F.coalesce("taken", F.lit(False)), "fetched").otherwise("failed_html").alias("status"),
             F.when(~found, "no tier has a usable body").when(F.col("taken"), F.concat(F.lit("slug in use: "), F.col("slug"))).alias("error"), F.coalesce("since", F.lit(self.as_of)).alias("ingested_at"), F.lit(0).cast("long").alias("n_terms"), F.lit(0).cast("long").alias("n_sections"),
         )
