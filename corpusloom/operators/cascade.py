@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources import shared
 from corpusloom.sources.store import Store
 
 
@@ -67,6 +68,18 @@ def _mark(rows: DataFrame, edges: list[Edge], lost: dict[str, DataFrame]) -> Dat
     return rows.select(*columns, dead.alias("dead"), *((~dead & hit).alias(f"empty_{c}") for c, hit in empty.items()))
 
 
+def _kept(store: Store, parent: str, dead: DataFrame) -> DataFrame:
+    """The keys that a parent loses, worked out once and written to the shared folder: every edge and both passes read them there."""
+    rows = dead.select(*sorted({e.key for e in EDGES if e.parent == parent})).distinct()
+    return _written(store, f"lost-{parent}", rows)
+
+
+def _written(store: Store, what: str, rows: DataFrame) -> DataFrame:
+    path = shared.fresh_path(store.spark, what)
+    rows.write.parquet(path)
+    return store.spark.read.schema(rows.schema).parquet(path)
+
+
 def plan(store: Store, root: str, gone: DataFrame, topics_too: bool = True) -> tuple[dict[str, DataFrame], dict[str, dict]]:
     """(marked rows, counts) of each table that deleting `gone` (the root table's key columns, `id` at least) touches, without changing anything.
 
@@ -78,22 +91,24 @@ def plan(store: Store, root: str, gone: DataFrame, topics_too: bool = True) -> t
     own = store.read(root, bucketed=True)
     ids = gone.select(F.col("id").alias("key0")).filter("key0 is not null").distinct()
     marked[root] = own.join(ids, F.col("id") == F.col("key0"), "left").withColumn("dead", F.col("key0").isNotNull()).drop("key0")
-    lost = {root: marked[root].filter("dead")}
+    parents = {e.parent for e in EDGES}
+    lost = {root: _kept(store, root, marked[root].filter("dead"))}
     order = list(dict.fromkeys(e.child for e in EDGES))
     for child in [c for c in order if c not in ("aliases", "vectors")] + ["terms", "aliases", "vectors"]:
         if child not in held or child in marked:
             continue
         if child == "terms":
             if topics_too and "topics" in marked:
-                live = marked["topics"].filter("not dead").select(F.col("topic").alias("bound"), F.col("domain").alias("there")).distinct()
+                live = _written(store, "live", marked["topics"].filter("not dead").select(F.col("topic").alias("bound"), F.col("domain").alias("there")).distinct())
                 mine = store.read("terms", bucketed=True).join(live, (F.col("canonical_name") == F.col("bound")) & (F.col("domain") == F.col("there")), "left")
                 marked[child] = mine.withColumn("dead", (F.col("term_type") == "topic") & F.col("bound").isNull()).drop("bound", "there")
-                lost[child] = marked[child].filter("dead")
+                lost[child] = _kept(store, child, marked[child].filter("dead"))
             continue
         edges = [e for e in EDGES if e.child == child and e.parent in lost]
         if edges:
             marked[child] = _mark(store.read(child, bucketed=True), edges, lost)
-            lost[child] = marked[child].filter("dead")
+            if child in parents:
+                lost[child] = _kept(store, child, marked[child].filter("dead"))
     counts = {}
     for name, rows in marked.items():
         empties = [c for c in rows.columns if c.startswith("empty_")]
