@@ -38,3 +38,15 @@ def test_no_posting_is_shuffled(spark, tmp_path):
     before = shuffled(spark)
     own.rebuild(spark.createDataFrame(ROWS, SCHEMA))
     assert sum(n for stage, n in shuffled(spark).items() if stage not in before) < 40  # of 88 postings
+
+
+def test_postings_are_not_sorted_for_their_buckets(spark, tmp_path):
+    own = segments.Segments(spark, str(tmp_path / "i"), "key", "owner", ["title", "body"], buckets=4)
+    most, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before, real = spark.conf.get(most), segments.bucket_of
+    segments.bucket_of = lambda n: seen.append(spark.conf.get(most)) or real(n)
+    try:
+        own.rebuild(spark.createDataFrame(ROWS, SCHEMA))
+    finally:
+        segments.bucket_of = real
+    assert seen == ["5"] and spark.conf.get(most) == before, "a writer for each bucket, and the session as it was"
