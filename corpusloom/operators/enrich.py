@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources import shared
+
 PAGE_MOST, PREVIEW = 50, 5
 
 
@@ -23,6 +25,9 @@ def enrich(hits: DataFrame, key: str, topics: DataFrame, aliases: DataFrame, ter
     hits: a page, of at most PAGE_MOST keys. topics: key, topic. aliases: key, term_id. terms: term_id, term_type, entity_type, canonical_name. figures: key,
     number, caption. repos: key, slug, url. Sources without any have empty arrays, a count of 0, null. Null keys are enriched with nothing; of several repositories the first slug stands.
     """
+    spark, path = hits.sparkSession, shared.fresh_path(hits.sparkSession, "page")
+    hits.write.parquet(path)  # so that the search runs once
+    hits = spark.read.schema(hits.schema).parquet(path)
     wanted = sorted(r[0] for r in hits.select(key).filter(F.col(key).isNotNull()).distinct().limit(PAGE_MOST + 1).collect())
     if len(wanted) > PAGE_MOST:
         raise ValueError(f"a page of {PAGE_MOST} sources at most is enriched")
