@@ -23,6 +23,7 @@ SHORT = ("1", "11", "111", "1111")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BITS = 20
+SLICE = 1 << 20  # bytes of texts that are compared at once; arrays over them take about 50 times as much
 
 
 @functools.lru_cache(maxsize=2)
@@ -192,6 +193,12 @@ class Index:
         return out
 
 
+def compared(batches: Iterator[pa.RecordBatch], index: Index, text_column: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int, int, int, int]]]]:
+    """Slices of the batches and their texts' overlaps."""
+    for batch in slices(batches, text_column, SLICE):
+        yield batch, index.overlaps(batch.column(batch.schema.get_field_index(text_column)).to_pylist())
+
+
 def indexes(benchmark: DataFrame, id_column: str, text_column: str, most_chars: int = 4 << 20) -> Iterator[tuple[Index, bool]]:
     """The benchmark in blocks of about most_chars characters, and whether the block is the last; each is collected and indexed when it is asked for."""
     rows = benchmark.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).filter("t is not null")
@@ -219,8 +226,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
         held = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text_column):
-                if found := held.value.overlaps(batch.column(1).to_pylist()):
+            for batch, found in compared(batches, held.value, text_column):
+                if found:
                     text, item, *rest = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array([held.value.ids[i] for i in item], item_type), *(pa.array(c, pa.int64()) for c in rest)], names=fields.names)
 
@@ -234,14 +241,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without an overlap, all columns as they are, by the rule of find_overlaps(); written anew for each block of the benchmark but the last."""
-    columns = docs.columns
     for index, last in indexes(benchmark, item_column, item_text):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, text_column):
+            for batch, found in compared(batches, held.value, text_column):
                 clean = np.ones(batch.num_rows, bool)
-                clean[[t for t, *_ in held.value.overlaps(batch.column(columns.index(text_column)).to_pylist())]] = False
+                clean[[t for t, *_ in found]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = spread(docs).mapInArrow(run, docs.schema)
