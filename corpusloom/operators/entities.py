@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalize_term, tokens
 from corpusloom.operators import documents, resolve
+from corpusloom.sources.shared import fresh_path
 
 CHUNK, OVERLAP, LONGEST = 350, 20, 8
 
@@ -50,6 +51,13 @@ def longest(found: DataFrame, key: str) -> DataFrame:
     return found.withColumn("others", other).filter(~beaten).drop("others")
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows written to the shared folder: counts and votes both read them, and the documents are matched once."""
+    path = fresh_path(rows.sparkSession, "spans")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def extract(docs: DataFrame, key: str, text: str, names: DataFrame, thresholds: dict[str, float] | None = None, labels: list[str] | None = None) -> DataFrame:
     """key, norm, label, n: entities of each document with the label that the corpus votes for and how often they stand there.
 
@@ -60,7 +68,8 @@ def extract(docs: DataFrame, key: str, text: str, names: DataFrame, thresholds:
     spans = spans.withColumn("ord", F.row_number().over(Window.partitionBy(key, "start").orderBy("label")))
     best = resolve.over_threshold(resolve.best_label(spans.withColumn("norm", F.col("phrase")), [key, "start"]), thresholds or {})
     best = best.filter(~documents.is_garbage(F.col("norm"), labels or []))
-    defined = docs.select(key, F.explode(documents.acronyms(F.col(text))).alias("p")).select(key, _joined(tokens(F.col("p.short"))).alias("norm"), _joined(tokens(F.col("p.long"))).alias("long")).dropDuplicates([key, "norm"])
-    own = best.join(defined, [key, "norm"], "left").withColumn("norm", normalize_term(F.coalesce("long", "norm"))).drop("long")
-    voted = resolve.vote(own.select("norm", "label", "score", F.xxhash64(key, "start").alias("ord")))
+    defined = docs.filter(F.col(text).rlike(r"\([^()]{2,40}\)")).select(key, F.explode(documents.acronyms(F.col(text))).alias("p")).select(key, _joined(tokens(F.col("p.short"))).alias("norm"), _joined(tokens(F.col("p.long"))).alias("long")).dropDuplicates([key, "norm"])
+    own = best.join(defined, [key, "norm"], "left").withColumn("norm", normalize_term(F.coalesce("long", "norm")))
+    own = written(own.select(key, "norm", "label", "score", F.xxhash64(key, "start").alias("ord")))
+    voted = resolve.vote(own.select("norm", "label", "score", "ord"))
     return own.groupBy(key, "norm").agg(F.count("*").alias("n")).join(voted.select("norm", "label"), "norm").select(key, "norm", "label", "n")
